@@ -13,8 +13,9 @@ gives an empty result.  Texts of any length are handled whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,13 @@ LATER = "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a
 # Fixed value: the byte-level pre-tokenisation pattern of the public vocabulary; {L} and {N} are letters and numbers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\p{White_Space}{L}{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: Bytes of a word up to which words are merged a round at a time; longer ones have a heap.  What stands for no merge.
+SHORT, NONE = 64, 1 << 62
+#: Places of the hash table of merges, a power of two, several times their number.
+SLOTS = 1 << 19
+#: Characters of text whose new words are learnt together.
+BLOCK = 2_000_000
+
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
@@ -57,6 +65,10 @@ def patterns() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
     return regex.compile(plain), regex.compile(f"[{later}]"), regex.compile(older, regex.V1)
 
 
+def hashed(code: np.ndarray) -> np.ndarray:
+    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
 class Vocabulary:
     """Tokens as bytes, merge ranks by pair of ids, and special tokens."""
 
@@ -73,12 +85,19 @@ class Vocabulary:
             self.tokens[i] = token
         for text, i in self.special.items():
             self.tokens[i] = text.encode()
+        self.single = [self.ids[bytes([k])] for k in range(256)]
+        self.single_ = np.array(self.single, np.int64)
         self.longest = max(map(len, self.ids))
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair of ids to rank and merged id, each pair in one number
         for rank, merge in enumerate(said["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b = to_bytes(left), to_bytes(right)
-            self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            self.merges.setdefault(self.ids[a] << 32 | self.ids[b], rank << 32 | self.ids[a + b])
+        self.keys, self.values = np.full(SLOTS, -1), np.zeros(SLOTS, np.int64)
+        for code, slot in zip(self.merges, hashed(np.fromiter(self.merges, np.int64, len(self.merges))).tolist()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (SLOTS - 1)
+            self.keys[slot], self.values[slot] = code, self.merges[code]
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -95,29 +114,71 @@ class Vocabulary:
                 raise ValueError("the vocabulary lacks a byte")
         return out
 
-    def exact(self, word: bytes) -> list[int]:
-        """Merge the pair of the lowest rank, the leftmost first, until none is left; near-linear for long words."""
-        import heapq
+    def rank(self, code: np.ndarray) -> np.ndarray:
+        """Rank and merged id of each pair of ids, ``NONE`` without a merge; by a hash table with linear probing."""
+        out, todo = np.full(len(code), NONE), np.arange(len(code))
+        slot = hashed(code)
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == code[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (key >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
 
-        ids = [self.ids[word[k : k + 1]] for k in range(len(word))]
-        n = len(ids)
+    def exact(self, words: list[bytes]) -> list[list[int]]:
+        """For each word: merge the pair of the lowest rank, from the left, until none is left; all words a round at a time."""
+        out: list[list[int]] = [self.exact_long([self.single[x] for x in w]) if len(w) > SHORT else [] for w in words]
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT]
+        ids = self.single_[np.frombuffer(b"".join([words[k] for k in short]), np.uint8)]
+        n = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
+        word, who = np.repeat(np.arange(len(short)), n), np.array(short, np.int64)
+        while len(ids):
+            pair = np.full(len(ids), NONE)
+            inside = np.flatnonzero(word[:-1] == word[1:])
+            pair[inside] = self.rank(ids[inside] << 32 | ids[inside + 1])
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(pair, first)
+            size = np.diff(np.append(first, len(ids)))
+            done = best == NONE
+            if done.any():
+                ended = np.repeat(done, size)
+                parts = np.split(ids[ended], np.cumsum(size[done])[:-1])
+                for k, part in zip(who[word[first[done]]].tolist(), parts):
+                    out[k] = part.tolist()
+                ids, word, pair = ids[~ended], word[~ended], pair[~ended]
+                best, size = best[~done], size[~done]
+                if not len(ids):
+                    break
+            hit = pair == np.repeat(best, size)
+            # Of hits in a row, which share a token, every second one counts.
+            at = np.flatnonzero(hit)
+            begins = np.concatenate(([True], np.diff(at) > 1))
+            at = at[(at - np.repeat(at[begins], np.diff(np.append(np.flatnonzero(begins), len(at))))) % 2 == 0]
+            ids[at] = pair[at] & 0xFFFFFFFF
+            left = np.ones(len(ids), bool)
+            left[at + 1] = False
+            ids, word = ids[left], word[left]
+        return out
+
+    def exact_long(self, ids: list[int]) -> list[int]:
+        """The same in near-linear time, with a heap of the pairs."""
+        n, get = len(ids), self.merges.get
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = []
-        for k in range(n - 1):
-            if m := self.merges.get((ids[k], ids[k + 1])):
-                heap.append((m[0], k, ids[k], ids[k + 1], m[1]))
+        heap = [(m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := get(ids[k] << 32 | ids[k + 1])) is not None]
+        # Equal ranks are equal pairs, so order is by rank, then place.
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, made = heapq.heappop(heap)
+            m, k, a, b = heapq.heappop(heap)
             r = after[k]
             if not alive[k] or r < 0 or ids[k] != a or ids[r] != b:
                 continue
-            ids[k], alive[r], after[k] = made, False, after[r]
+            ids[k], alive[r], after[k] = m & 0xFFFFFFFF, False, after[r]
             if after[r] >= 0:
                 before[after[r]] = k
             for left in (before[k], k):
-                if left >= 0 and (right := after[left]) >= 0 and (m := self.merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right], m[1]))
+                if left >= 0 and (right := after[left]) >= 0 and (m := get(ids[left] << 32 | ids[right])) is not None:
+                    heapq.heappush(heap, (m, left, ids[left], ids[right]))
         return [ids[k] for k in range(n) if alive[k]]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -128,6 +189,14 @@ class Vocabulary:
         return self.bytes[np.arange(total) + np.repeat(self.starts[ids] - (ends - n), n)].tobytes()
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Speculative encoder with bounded memories of words and of checked pairs."""
 
@@ -164,11 +233,8 @@ class Encoder:
         if not known.all():
             new = asked[~known]
             tokens = self.v.tokens
-            said = []
-            for x in new.tolist():
-                i, j = x >> 32, (x & 0xFFFFFFFF) - 1
-                want = [i] if j < 0 else [i, j]
-                said.append(self.v.exact(b"".join(tokens[k] for k in want)) == want)
+            want = [[x >> 32] if not x & 0xFFFFFFFF else [x >> 32, (x & 0xFFFFFFFF) - 1] for x in new.tolist()]
+            said = [got == x for got, x in zip(self.v.exact([b"".join([tokens[k] for k in x]) for x in want]), want)]
             if len(self.codes) + len(new) > self.most_pairs:
                 fine = np.empty(len(asked), bool)
                 fine[known] = self.fine[at_[known]]
@@ -196,13 +262,13 @@ class Encoder:
         fine = np.ones(len(flat), bool)
         fine[~single] = self.compatible(flat[~single], nxt[~single])
         failing = np.unique(of[~fine])
-        for k in failing.tolist():
-            ids[k] = self.v.exact(raw[k])
+        for k, merged in zip(failing.tolist(), self.v.exact([raw[k] for k in failing.tolist()])):
+            ids[k] = merged
         self.proposed, self.failed = self.proposed + len(ids), self.failed + len(failing)
         self.add(words, ids)
 
     def find(self, text: str) -> list[str]:
-        return (self.plain if text.isascii() or not self.later.search(text) else self.older).findall(text)
+        return (self.plain if latin(text) or not self.later.search(text) else self.older).findall(text)
 
     def cut(self, text: str) -> list[str]:
         if self.split is None or not any(x in text for x in self.v.special):
@@ -216,12 +282,27 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids of a whole text, as an array and as comma-separated text."""
-        words = self.cut(text)
-        if new := set(words).difference(self.words):
-            if len(self.words) + len(new) > self.most_words:
-                self.forget()
-                new = set(words).difference(self.words)
-            self.learn(new)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
+        """``encode`` of each text; new words are learnt once for a block of texts."""
+        at = 0
+        while at < len(texts):
+            block, size = [], 0
+            while at < len(texts) and (not block or size + len(texts[at]) <= BLOCK):
+                block.append(self.cut(texts[at]))
+                size += len(texts[at])
+                at += 1
+            every = set().union(*block)
+            if new := every.difference(self.words):
+                if len(self.words) + len(new) > self.most_words:
+                    self.forget()
+                    new = every.difference(self.words)
+                self.learn(new)
+            for words in block:
+                yield self.spell(words)
+
+    def spell(self, words: list[str]) -> tuple[np.ndarray, str]:
         if not words:
             return np.zeros(0, np.int32), ""
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
@@ -251,8 +332,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             got: dict[str, list] = {k: [] for k in outputs}
-            for text in b.column("text").to_pylist():
-                ids, said = e.encode(text)
+            for ids, said in e.encode_all(b.column("text").to_pylist()):
                 raw = e.v.decode(ids) if any(k.startswith("decoded") for k in outputs) else b""
                 decoded = raw.decode("utf-8", "replace")
                 if "n_tokens" in got:
