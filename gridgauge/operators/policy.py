@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from gridgauge.dims import TIERS
 
-NEVER = F.lit(None)
-
-
 def finite(c: Column) -> Column:
     """AGG-03's input rule: NaN is missing, zero is a value."""
     return F.when(~F.isnan(c), c)

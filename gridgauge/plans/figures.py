@@ -50,7 +50,12 @@ def points(df: DataFrame, x: Column, y: Column, drop_zero_x: bool = False) -> Da
     return (got.where("x > 0") if drop_zero_x else got).select("tool_name", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
-f1 = policy.metric_value("f1_score")
+
+
+def f1() -> Column:
+    return policy.metric_value("f1_score")
+
+
 tool_sql = lambda cols, where="", having="": f"select tool_name, label, {cols} from pol {where} group by all {having}"
 tiers_sql = lambda v, tiers=dims.TIERS, missing="0.0", where="true": f"select tool_name, {', '.join(f'coalesce(round(avg({v}) filter (tier = {t!r} and {where}), 6), {missing}) as {t}' for t in tiers)} from pol group by tool_name"
 lines_sql = lambda v, tiers=dims.TIERS: f"select t.tier, {', '.join(f'round(avg({v}) filter (tool_name = {n!r}), 6) as {n}' for n in dims.TOOLS)} from fx_tier t left join pol on pol.tier = t.tier where t.tier in {tuple(tiers)} group by t.tier"
@@ -85,23 +90,23 @@ def agg_06_mean_by_tool(spark, sf_dir):
 
 @query("select tool_name, tool_rank, label, round(median(strict_f1), 6) as median_f1 from pol group by all")
 def agg_07_median_by_tool(spark, sf_dir):
-    return by_tool(slots_of(spark, sf_dir), median_f1=r6(F.median(f1)))
+    return by_tool(slots_of(spark, sf_dir), median_f1=r6(F.median(f1())))
 
 
 @query(tiers_sql("strict_f1"))
 def agg_08_tool_by_tier(spark, sf_dir):
-    return tool_by_tier(slots_of(spark, sf_dir), F.avg(f1))
+    return tool_by_tier(slots_of(spark, sf_dir), F.avg(f1()))
 
 
 @query(lines_sql("strict_f1"))
 def agg_09_tier_by_tool(spark, sf_dir):
-    return tier_by_tool(slots_of(spark, sf_dir), F.avg(f1))
+    return tier_by_tool(slots_of(spark, sf_dir), F.avg(f1()))
 
 
 @query("""select tool_name, round(min(v), 6) as "min", round(list_sort(list(v))[cast(floor(0.25 * (count(*) - 1) + 0.5) as int) + 1], 6) as q1, round(list_sort(list(v))[cast(floor(0.5 * (count(*) - 1) + 0.5) as int) + 1], 6) as "median",
   round(list_sort(list(v))[cast(floor(0.75 * (count(*) - 1) + 0.5) as int) + 1], 6) as q3, round(max(v), 6) as "max", count(*) as n from (select tool_name, strict_f1 as v from pol where strict_f1 is not null) group by all""")
 def agg_05_10_box_by_tool(spark, sf_dir):
-    got = rollup.five_numbers(["tool_name"], slots_of(spark, sf_dir), f1)
+    got = rollup.five_numbers(["tool_name"], slots_of(spark, sf_dir), f1())
     return got.select("tool_name", *[r6(F.col(c)).alias(c) for c in ("min", "q1", "median", "q3", "max")], "n")
 
 
@@ -115,7 +120,7 @@ def agg_11_reliability_by_tool(spark, sf_dir):
 def agg_12_heatmap(spark, sf_dir):
     slots = slots_of(spark, sf_dir)
     cells = dims.tool_dim(spark).select("tool_name", F.explode(F.array(*map(F.lit, dims.TIERS))).alias("tier"))
-    got = slots.groupBy("tool_name", "tier").agg(F.count_if(F.col("reliability") == "complete_failure").alias("failures"), F.count_if(F.col("reliability") == "missing_f1").alias("missing_f1"), r6(F.avg(f1)).alias("mean_f1"))
+    got = slots.groupBy("tool_name", "tier").agg(F.count_if(F.col("reliability") == "complete_failure").alias("failures"), F.count_if(F.col("reliability") == "missing_f1").alias("missing_f1"), r6(F.avg(f1())).alias("mean_f1"))
     return cells.join(got, ["tool_name", "tier"], "left").fillna(0, ["failures", "missing_f1"])
 
 
@@ -131,7 +136,7 @@ def agg_13_time_by_tier(spark, sf_dir):
 
 @query("select tool_name, round(avg(cost_per_page), 6) as x, round(avg(strict_f1), 6) as y from pol group by all having avg(cost_per_page) > 0 and avg(strict_f1) is not null")
 def agg_14_scatter(spark, sf_dir):
-    return points(slots_of(spark, sf_dir), F.col("cost_per_page"), f1, drop_zero_x=True)
+    return points(slots_of(spark, sf_dir), F.col("cost_per_page"), f1(), drop_zero_x=True)
 
 
 @query("select tool_name, tier, round(avg(grits_top), 6) as x, coalesce(round(avg(case when not is_transient_failure then grits_con end), 6), 0.0) as y from slot where not is_transient_failure and grits_top is not null group by all")
@@ -160,18 +165,18 @@ def agg_18_f1_by_tool(spark, sf_dir):
     """Mean F1 by tool, the best first."""
     from pyspark.sql import Window
 
-    got = by_tool(slots_of(spark, sf_dir), f1=r6(F.avg(f1))).fillna(0.0, ["f1"])
+    got = by_tool(slots_of(spark, sf_dir), f1=r6(F.avg(f1()))).fillna(0.0, ["f1"])
     return got.select("tool_name", "label", "f1", F.row_number().over(Window.orderBy(F.desc("f1"), "tool_rank")).cast("long").alias("place"))  # seven rows
 
 
 @query(tiers_sql("strict_f1", THREE))
 def agg_19_f1_three_tiers(spark, sf_dir):
-    return tool_by_tier(slots_of(spark, sf_dir), F.avg(f1), THREE)
+    return tool_by_tier(slots_of(spark, sf_dir), F.avg(f1()), THREE)
 
 
 @query(lines_sql("strict_f1", THREE))
 def agg_20_f1_lines_three_tiers(spark, sf_dir):
-    return tier_by_tool(slots_of(spark, sf_dir).where(F.col("tier") != "unconfirmed"), F.avg(f1), THREE)
+    return tier_by_tool(slots_of(spark, sf_dir).where(F.col("tier") != "unconfirmed"), F.avg(f1()), THREE)
 
 
 @query("select tool_name, coalesce(round(avg(case when not is_transient_failure then grits_top end), 6), 0.0) as grits_top, coalesce(round(avg(case when not is_transient_failure then grits_con end), 6), 0.0) as grits_con from slot group by all")
@@ -183,13 +188,13 @@ def agg_21_grits_by_tool(spark, sf_dir):
 @query("select tool_name, case when open_source then 0.0 else round(avg(cost_per_page), 6) end as x, round(avg(strict_f1), 6) as y from pol group by tool_name, open_source having (open_source or avg(cost_per_page) is not null) and avg(strict_f1) is not null")
 def agg_22_cost_f1(spark, sf_dir):
     x = F.when(F.col("open_source"), F.lit(0.0)).otherwise(F.col("cost_per_page"))
-    return points(slots_of(spark, sf_dir), x, f1)
+    return points(slots_of(spark, sf_dir), x, f1())
 
 
 @query("select tool_name, round(avg(processing_time_ms), 6) as x, round(avg(strict_f1), 6) as y, round(log10(greatest(avg(processing_time_ms), 1)), 6) as log_x, round(avg(processing_time_ms) filter (has_extraction), 6) as x_of_runs from pol group by all having avg(strict_f1) is not null")
 def agg_23_mth_09_runtime_f1(spark, sf_dir):
     """Slots without a run count as 0 ms in ``x``; ``x_of_runs`` leaves them out; ``log_x`` is for a log axis."""
-    got = slots_of(spark, sf_dir).groupBy("tool_name").agg(F.avg("processing_time_ms").alias("x"), F.avg(f1).alias("y"), F.avg(F.when(F.col("has_extraction"), F.col("processing_time_ms"))).alias("r")).where("y is not null")
+    got = slots_of(spark, sf_dir).groupBy("tool_name").agg(F.avg("processing_time_ms").alias("x"), F.avg(f1()).alias("y"), F.avg(F.when(F.col("has_extraction"), F.col("processing_time_ms"))).alias("r")).where("y is not null")
     return got.select("tool_name", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), r6(F.log10(F.greatest(F.col("x"), F.lit(1.0)))).alias("log_x"), r6(F.col("r")).alias("x_of_runs"))
 
 
@@ -220,4 +225,4 @@ def flt_01_filter(spark, sf_dir):
 @query("select tool_name, count(*) filter (scored_tables > 0) as with_scores, count(strict_f1) as strict, count(zero_f1) as zero_imputed from pol group by all")
 def flt_10_11_pol_01_contributing(spark, sf_dir):
     slots = slots_of(spark, sf_dir)
-    return slots.groupBy("tool_name").agg(F.count_if(F.col("scored_tables") > 0).alias("with_scores"), F.count(f1).alias("strict"), F.count(policy.metric_value("f1_score", "zero_impute_failed")).alias("zero_imputed"))
+    return slots.groupBy("tool_name").agg(F.count_if(F.col("scored_tables") > 0).alias("with_scores"), F.count(f1()).alias("strict"), F.count(policy.metric_value("f1_score", "zero_impute_failed")).alias("zero_imputed"))

@@ -98,9 +98,9 @@ def snk_02_jn_05_slot_export(spark, sf_dir):
     return slot_export(slots_of(spark, sf_dir))
 
 
-@query("select document_id, tool_name, table_index, filename from fx_extraction join fx_document using (document_id) where document_id < 200", "tables")
+@query("select document_id, tool_name, table_index, filename from fx_extraction join fx_document using (document_id)", "tables")
 def jn_01_srt_01_extraction_document(spark, sf_dir):
-    return bridge.extractions(spark, sf_dir).join(bridge.documents(spark, sf_dir), "document_id").where("document_id < 200").select("document_id", "tool_name", "table_index", "filename").orderBy("filename", "tool_name", "table_index")
+    return bridge.extractions(spark, sf_dir).join(bridge.documents(spark, sf_dir), "document_id").select("document_id", "tool_name", "table_index", "filename").orderBy("filename", "tool_name", "table_index")
 
 
 @query("select document_id, filename, uploaded_at from fx_document order by uploaded_at, document_id", "tables")
