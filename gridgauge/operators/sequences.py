@@ -152,7 +152,7 @@ def text_regions(lines: DataFrame, by: list[str], order: str, line: str) -> Data
 def grown_region(cells: DataFrame, by: list[str], row: str = "r", col: str = "c", value: str = "v", density: float = 0.1) -> DataFrame:
     """WIN-22: from the first filled cell right and down while a column and a row stay denser than ``density``."""
 
-    def f(key, p: pd.DataFrame) -> pd.DataFrame:
+    def f(key, p):
         full = p[p[value].fillna("").str.strip() != ""]
         if full.empty:
             return pd.DataFrame(columns=[*by, "r0", "c0", "r1", "c1"])
