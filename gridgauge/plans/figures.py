@@ -31,9 +31,9 @@ def by_tool(df: DataFrame, **values: Column) -> DataFrame:
     return dims.tool_dim(df.sparkSession).select("tool_rank", "tool_name", "label").join(got, "tool_name", "left").select("tool_rank", "tool_name", "label", *values)
 
 
-def tool_by_tier(df: DataFrame, value: Column, tiers=dims.TIERS, missing: float | None = 0.0) -> DataFrame:
+def tool_by_tier(df: DataFrame, value: Column, tiers=dims.TIERS, missing: float | None = 0.0, digits: int = 6) -> DataFrame:
     """AGG-08: tools down, tiers across."""
-    got = df.groupBy("tool_name").pivot("tier", list(tiers)).agg(r6(value))
+    got = df.groupBy("tool_name").pivot("tier", list(tiers)).agg(F.round(value, digits))
     out = dims.tool_dim(df.sparkSession).select("tool_name").join(got, "tool_name", "left")
     return out.fillna(missing, list(tiers)) if missing is not None else out
 
@@ -57,7 +57,7 @@ def f1() -> Column:
 
 
 tool_sql = lambda cols, where="", having="": f"select tool_name, label, {cols} from pol {where} group by all {having}"
-tiers_sql = lambda v, tiers=dims.TIERS, missing="0.0", where="true": f"select tool_name, {', '.join(f'coalesce(round(avg({v}) filter (tier = {t!r} and {where}), 6), {missing}) as {t}' for t in tiers)} from pol group by tool_name"
+tiers_sql = lambda v, tiers=dims.TIERS, missing="0.0", where="true", digits=6: f"select tool_name, {', '.join(f'coalesce(round(avg({v}) filter (tier = {t!r} and {where}), {digits}), {missing}) as {t}' for t in tiers)} from pol group by tool_name"
 lines_sql = lambda v, tiers=dims.TIERS: f"select t.tier, {', '.join(f'round(avg({v}) filter (tool_name = {n!r}), 6) as {n}' for n in dims.TOOLS)} from fx_tier t left join pol on pol.tier = t.tier where t.tier in {tuple(tiers)} group by t.tier"
 THREE = dims.TIERS[:3]
 
@@ -124,9 +124,9 @@ def agg_12_heatmap(spark, sf_dir):
     return cells.join(got, ["tool_name", "tier"], "left").fillna(0, ["failures", "missing_f1"])
 
 
-@query(tiers_sql("cost_usd"))
+@query(tiers_sql("cost_usd", digits=9))
 def agg_13_cost_by_tier(spark, sf_dir):
-    return tool_by_tier(slots_of(spark, sf_dir), F.avg("cost_usd"))
+    return tool_by_tier(slots_of(spark, sf_dir), F.avg("cost_usd"), digits=9)
 
 
 @query(tiers_sql("processing_time_ms"))

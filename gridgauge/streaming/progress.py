@@ -38,14 +38,12 @@ def running(stream: DataFrame, by: str = "event_type") -> DataFrame:
 def breaker(stream: DataFrame, by: str = "user_id", failures: int = 3, reset_s: float = 300.0) -> DataFrame:
     """STM-07, STM-03: for each event whether the circuit of its key is open; it opens after so many failures in a row and closes after ``reset_s``.
 
-    A failure is an event without a positive value.  Keys idle for ten times the reset are forgotten.
+    A failure is an event without a positive value.  A key's state is two numbers and has no timeout, so that a
+    run over what is available ends.
     """
     kind = dict(stream.dtypes)[by]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, opened = state.get if state.exists else (0, 0.0)
         for p in batches:
             out = []
@@ -58,10 +56,9 @@ def breaker(stream: DataFrame, by: str = "user_id", failures: int = 3, reset_s:
                     opened = at
             yield pd.DataFrame(out, columns=[by, "ts", "open"])
         state.update((n, opened))
-        state.setTimeoutDuration(int(reset_s * 10_000))
 
     rows = stream.select(by, F.col("ts").cast("timestamp").alias("ts"), "value")
-    return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, ts timestamp, open boolean", "n int, opened double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, ts timestamp, open boolean", "n int, opened double", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest(stream: DataFrame, by: str = "user_id") -> DataFrame:
