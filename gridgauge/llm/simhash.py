@@ -35,6 +35,8 @@ FULL = 0xFFFFFFFFFFFFFFFF
 #: Fingerprints that the upper tree is fitted to, at most; fingerprints of one shard, about; shards of one tree, at least.
 SAMPLE, SHARD, LEAST_SHARDS = 16_384, 65_536, 8
 LEAF = 256
+#: Rows of one fingerprint from which it is hot: a thousandth of all, and this many.
+HOT, HOT_ROWS = 1000, 200
 
 
 def fingerprint(text: str, words: int = 4, block: int = 1 << 16) -> int:
@@ -252,14 +254,29 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` (the smallest reachable id) of every row."""
     docs, _ = written(fingerprints(df, id_col, text_col, words))
-    fps, _ = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
+    fps, _ = written(docs.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
     found, _ = written(links_between(fps, radius))
     joined = components(found, "fp", "to")
     # Only fingerprints that some link joins need their component's smallest id; the others have their own.
     linked = fps.join(joined, fps.fp == joined.node).select("fp", "root", "least")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component"))
-    final = fps.join(linked.join(of_root, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return docs.join(final, "fp").select(id_col, "fp", "component_id")
+    own = linked.join(of_root, "root").select("fp", "component")
+    final, _ = written(fps.join(own, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id")))
+    return with_component(docs, final).select(id_col, "fp", "component_id")
+
+
+def with_component(docs: DataFrame, final: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with the component of their fingerprint.
+
+    Fingerprints of more than ``1 / HOT`` of all rows, fewer than ``HOT``, are broadcast, so no task gets all
+    rows of one; the others meet in a join by fingerprint.
+    """
+    total = final.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(total // HOT, HOT_ROWS)
+    often = final.where(hot).select("fp", "component_id", F.lit(True).alias("often"))
+    docs = docs.join(F.broadcast(often), "fp", "left")
+    few = docs.where("often is null").drop("often", "component_id").join(final.where(~hot).select("fp", "component_id"), "fp")
+    return docs.where("often").drop("often").unionByName(few)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
