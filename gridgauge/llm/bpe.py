@@ -200,7 +200,7 @@ def latin(text: str) -> bool:
 class Encoder:
     """Speculative encoder with bounded memories of words and of checked pairs."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 400_000, most_pairs: int = 2_000_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000, most_pairs: int = 1_000_000):
         self.v, self.most_words, self.most_pairs = vocabulary, most_words, most_pairs
         self.plain, self.later, self.older = patterns()
         self.split = regex.compile("|".join(regex.escape(x) for x in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None

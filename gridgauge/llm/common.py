@@ -48,14 +48,18 @@ def with_text(df: DataFrame, text_col: str, *others: tuple[str, str]) -> DataFra
     return df.select(*[F.col(c).alias(to) for c, to in others], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Rows that a task turns into Python objects at once.
+ROWS = 512
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Map Arrow batches with what ``make()`` returns; it is called once in each task."""
+    """Map Arrow batches, ``ROWS`` rows at a time, with what ``make()`` returns; it is called once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for at in range(0, b.num_rows, ROWS):
+                yield f(b.slice(at, ROWS))
 
     return df.mapInArrow(run, schema)
 

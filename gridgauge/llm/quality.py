@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from gridgauge.llm.common import per_batch, with_text
 
-#: Rows of the two samples, about (twice that at most); quantile bins of a feature.
-POSITIVES, UNLABELLED, BINS = 8000, 16_000, 16
+#: Rows of the two samples, about (twice that at most); quantile bins of a feature, fewest and most: they grow with the sample's root.
+POSITIVES, UNLABELLED, BINS = 8000, 16_000, (8, 16)
 
 KINDS = np.zeros(256, np.int64)
 for k, chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:'-()", b"!?", b"|\t", b"#$%&*@^~_=+<>/\\{}[]`\""), 1):
@@ -76,7 +76,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     if not len(positive) or not len(unlabelled):
         return Model((), np.zeros(0), 0.0, prior)
     both = np.concatenate((positive, unlabelled))
-    edges = tuple(tuple(np.unique(np.quantile(both[:, k], np.arange(1, BINS) / BINS)).tolist()) for k in range(both.shape[1]))
+    bins = int(np.clip(len(both) ** 0.5 / 8, *BINS))
+    edges = tuple(tuple(np.unique(np.quantile(both[:, k], np.arange(1, bins) / bins)).tolist()) for k in range(both.shape[1]))
     model = Model(edges, np.zeros(sum(len(e) + 1 for e in edges)), 0.0, prior)
     cp, cu = model.columns(positive), model.columns(unlabelled)
     w, b = np.zeros(len(model.weights)), 0.0

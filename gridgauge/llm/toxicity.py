@@ -28,12 +28,12 @@ from gridgauge.llm.common import per_batch, with_text, words
 
 #: Labelled rows of the sample, about (twice that at most); hashed features; features that the model keeps.
 SAMPLE, HASHES, KEPT = 10_000, 1 << 22, 4096
-#: A feature is kept if so many toxic rows of the sample have it, in number and share, and its log odds speak for toxicity; weights aren't
-#: negative, so that a long text's harmless words never outweigh what is toxic in it.
-LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 4, 0.015, 2.0
+#: A feature is kept if its log odds speak for toxicity and if among all features none would be expected to be so
+#: one-sided by chance; weights aren't negative, so that a long text's harmless words never outweigh what is toxic in it.
+LEAST_ODDS = 2.0
 BEGINNINGS = (4, 6)
 GRADES = 4
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
 
 
 def of_word(w: bytes) -> tuple[int, ...]:
@@ -79,17 +79,19 @@ def prepared(model: Model) -> tuple[Features, np.ndarray]:
     return Features({f: k for k, f in enumerate(model.features)}), np.array(model.weights)
 
 
-def fit(rows: list[tuple[list[int], int]], steps: int = 800, rate: float = 0.1, ridge: float = 1e-5) -> Model:
-    """``rows``: (distinct feature numbers, toxic)."""
-    toxic = np.array([t for _, t in rows], bool)
-    n = np.array([len(f) for f, _ in rows], np.int64)
+def fit(features: np.ndarray, n: np.ndarray, toxic: np.ndarray, steps: int = 800, rate: float = 0.1, ridge: float = 1e-5) -> Model:
+    """``features``: the rows' distinct feature numbers, one row after the other; ``n``: how many a row has; ``toxic``: its label."""
     if not toxic.any() or toxic.all():
         return Model((), (), tuple([20.0 if not toxic.any() else -20.0] * (GRADES - 1)))
-    row = np.repeat(np.arange(len(rows)), n)
-    features, col = np.unique(np.fromiter((x for f, _ in rows for x in f), np.int64, int(n.sum())), return_inverse=True)
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    features, col = np.unique(features, return_inverse=True)
     bad, good = np.bincount(col[toxic[row]], minlength=len(features)), np.bincount(col[~toxic[row]], minlength=len(features))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    gain = odds * np.sqrt(bad + good) * ((bad >= max(LEAST_ROWS, LEAST_SHARE * toxic.sum())) & (odds > LEAST_ODDS))
+    base = toxic.mean()
+    seen = bad + good
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = bad * np.log(bad / (seen * base)) + np.where(good > 0, good * np.log(good / (seen * (1 - base))), 0)
+    gain = surprise * ((odds > LEAST_ODDS) & (bad > base * seen) & (surprise > np.log(len(features))))
     best = np.sort(np.argsort(-gain, kind="stable")[: min(KEPT, int((gain > 0).sum()))])
     place = np.full(len(features), -1)
     place[best] = np.arange(len(best))
@@ -97,14 +99,14 @@ def fit(rows: list[tuple[list[int], int]], steps: int = 800, rate: float = 0.1,
     row, col = row[used], place[col[used]]
     # Grades of toxic rows: by how much they hold that speaks for toxicity.
     strong = odds[best] * (odds[best] > 4)
-    evidence = np.bincount(row, strong[col], len(rows))
+    evidence = np.bincount(row, strong[col], len(n))
     lines = np.quantile(evidence[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(lines, evidence, "left"), 0)
     w, cut, gap = odds[best].copy(), np.log((~toxic).sum() / toxic.sum()), np.zeros(GRADES - 2)
     moment, square = np.zeros(len(w) + 1 + len(gap)), np.zeros(len(w) + 1 + len(gap))
     for step in range(1, steps + 1):
         cuts = np.concatenate(([cut], cut + np.cumsum(np.exp(gap))))
-        x = np.bincount(row, w[col], len(rows))
+        x = np.bincount(row, w[col], len(n))
         p = 1 / (1 + np.exp(np.clip(cuts[None, :] - x[:, None], -50, 50)))
         edges = np.concatenate((np.ones((len(x), 1)), p, np.zeros((len(x), 1))), axis=1)
         slope = np.concatenate((np.zeros((len(x), 1)), p * (1 - p), np.zeros((len(x), 1))), axis=1)
@@ -139,7 +141,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = dict(df.dtypes)[id_col]
     got = per_batch(rows, make, f"id {kind}, features array<int>, toxic int").toArrow().sort_by([("id", "ascending")])
-    return fit(list(zip(got.column("features").to_pylist(), got.column("toxic").to_pylist())))
+    lists = got.column("features").combine_chunks()
+    return fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), got.column("toxic").to_numpy().astype(bool))
 
 
 def grade(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

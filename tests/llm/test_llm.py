@@ -130,7 +130,7 @@ def test_redact(spark, odd):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     half = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 0
     model = toxicity.train(docs, labels.where(half))
@@ -231,7 +231,7 @@ def test_simhash_odd(spark, odd, monkeypatch):
 
 
 def test_quality_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = queries.op5_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
