@@ -34,6 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\p{White_Space}{L}{N}]
 SHORT, NONE = 64, 1 << 62
 #: Places of the hash table of merges, a power of two, several times their number.
 SLOTS = 1 << 19
+#: Factor of the rolling hashes.
+ROLL = np.uint64(0x100000001B3)
 #: Characters of text whose new words are learnt together.
 BLOCK = 2_000_000
 
@@ -98,6 +100,16 @@ class Vocabulary:
             while self.keys[slot] >= 0:
                 slot = (slot + 1) & (SLOTS - 1)
             self.keys[slot], self.values[slot] = code, self.merges[code]
+        self.token_hashes, self.token_ids = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1)
+        for token, i in self.ids.items():
+            if len(token) <= SHORT:
+                h = 0
+                for x in token:
+                    h = h * int(ROLL) + x + 1 & 0xFFFFFFFFFFFFFFFF
+                slot = int(hashed(np.array([h], np.uint64))[0])
+                while self.token_ids[slot] >= 0:
+                    slot = (slot + 1) & (SLOTS - 1)
+                self.token_hashes[slot], self.token_ids[slot] = h, i
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -114,6 +126,59 @@ class Vocabulary:
                 raise ValueError("the vocabulary lacks a byte")
         return out
 
+    def propose(self, words: list[bytes]) -> list[list[int]]:
+        """``greedy`` of each word, all words at once: the longest token at each byte by rolling hashes, then the way through.
+
+        What the hashes find is held against the words' own bytes; should one differ, all are cut one by one.
+        """
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT]
+        out = [[] if 0 < len(w) <= SHORT else self.greedy(w) for w in words]
+        raw = b"".join([words[k] for k in short])
+        data = np.frombuffer(raw, np.uint8)
+        n = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
+        end = np.repeat(np.cumsum(n), n)
+        longest, token = np.ones(len(data), np.int64), self.single_[data]
+        at, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
+        for size in range(1, int(n.max(initial=0)) + 1):
+            inside = at + size <= end[at]
+            at, h = at[inside], h[inside]
+            h = h * ROLL + data[at + size - 1] + np.uint64(1)
+            if size > 1:
+                found = self.token_of(h)
+                hit = found >= 0
+                longest[at[hit]], token[at[hit]] = size, found[hit]
+        word, place, parts = np.arange(len(short)), np.cumsum(n) - n, []
+        while len(word):
+            parts.append((word, token[place]))
+            place = place + longest[place]
+            on = place < np.cumsum(n)[word]
+            word, place = word[on], place[on]
+        if not parts:
+            return out
+        of, flat = np.concatenate([w for w, _ in parts]), np.concatenate([t for _, t in parts])
+        order = np.argsort(of, kind="stable")
+        flat = flat[order]
+        if self.decode(flat) != raw:
+            return [self.greedy(w) for w in words]
+        ends = np.cumsum(np.bincount(of, minlength=len(short))).tolist()
+        ids, start = flat.tolist(), 0
+        for k, stop in zip(short, ends):
+            out[k] = ids[start:stop]
+            start = stop
+        return out
+
+    def token_of(self, h: np.ndarray) -> np.ndarray:
+        """The token with each rolling hash, -1 for none."""
+        out, todo = np.full(len(h), -1), np.arange(len(h))
+        slot = hashed(h)
+        while len(todo):
+            held = self.token_ids[slot]
+            hit = (held >= 0) & (self.token_hashes[slot] == h[todo])
+            out[todo[hit]] = held[hit]
+            on = (held >= 0) & ~hit
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
     def rank(self, code: np.ndarray) -> np.ndarray:
         """Rank and merged id of each pair of ids, ``NONE`` without a merge; by a hash table with linear probing."""
         out, todo = np.full(len(code), NONE), np.arange(len(code))
@@ -252,7 +317,7 @@ class Encoder:
         if not (words := list(words)):
             return
         raw = [w.encode() for w in words]
-        ids = [self.v.greedy(x) for x in raw]
+        ids = self.v.propose(raw)
         n = np.array([len(x) for x in ids])
         flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
         of = np.repeat(np.arange(len(ids)), n)

@@ -113,8 +113,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = lambda rows, k, of: rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * k / max(of, 1)))
     trusted = some(said.where("label = 1"), positives, ones).select("id").limit(2 * positives)
     rows = docs.join(F.broadcast(trusted), "id").select("id", "text", F.lit(True).alias("positive"))
-    rows = rows.unionByName(some(docs, unlabelled, total).limit(2 * unlabelled).select("id", "text", F.lit(False).alias("positive")))
-    got = with_features(rows, ("id", "positive")).toArrow().sort_by([("id", "ascending"), ("positive", "ascending")])
+    web = with_features(some(docs, unlabelled, total).select("id", "text", F.lit(False).alias("positive")), ("id", "positive"))
+    got = with_features(rows, ("id", "positive")).unionByName(web.limit(2 * unlabelled)).toArrow().sort_by([("id", "ascending"), ("positive", "ascending")])
     x = np.array(got.column("features").to_pylist(), float).reshape(got.num_rows, -1)
     p = np.array(got.column("positive").to_pylist(), bool)
     return fit(x[p], x[~p], ones / max(n, 1))

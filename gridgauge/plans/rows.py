@@ -337,7 +337,10 @@ def snk_13_15_update(spark, sf_dir):
 
 def _stream(spark, sf_dir, build, mode: str) -> DataFrame:
     """What a stream over ``events`` has written once it has read all of it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridgauge-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="gridgauge-")
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     static = bridge.load(spark, sf_dir, "events")
     source = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")

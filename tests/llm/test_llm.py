@@ -419,6 +419,8 @@ def test_bpe_exact_forms_agree():
     rng = random.Random(5)
     words = ["".join(rng.choice("aabcdeérst") for _ in range(rng.randint(1, 30))).encode()[:64] for _ in range(500)]
     assert v.exact(words) == [v.exact_long([v.single[x] for x in w]) for w in words]
+    words += [b"", "日本".encode(), b" " * 90, b"-" * 64]
+    assert v.propose(words) == [v.greedy(w) for w in words] and v.propose([]) == []
 
 
 def test_bpe_odd(spark, odd):
