@@ -279,6 +279,26 @@ def with_component(docs: DataFrame, final: DataFrame) -> DataFrame:
     return docs.where("often").drop("often").unionByName(few)
 
 
+def digest(text_col: str):
+    """Digest of a text; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def keep_firsts(df: DataFrame, docs: DataFrame, links: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``df`` with one row of each component: of the smallest id, and of that id's texts there the one of the smallest digest.
+
+    ``docs`` has id, ``digest`` and ``fp`` of each row, ``links`` (fp, to) edges.  Rows without an id are kept as they are.
+    """
+    firsts = docs.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("gridgauge_id"), F.col("digest").alias("gridgauge_digest"))).alias("first"))
+    joined = components(links, "fp", "to")
+    rooted = firsts.join(joined, firsts.fp == joined.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    kept = df.join(stay, (df[id_col] == stay["gridgauge_id"]) & (digest(text_col) == stay["gridgauge_digest"]), "left_semi")
+    first = Window.partitionBy(id_col, digest(text_col)).orderBy(F.lit(0))
+    kept = kept.withColumn("gridgauge_nth", F.row_number().over(first)).where("gridgauge_nth = 1").drop("gridgauge_nth")
+    return kept.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """Rows of ``df`` with one document of each component: that of the smallest id; of repeated ids one row.
 
