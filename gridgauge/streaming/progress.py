@@ -5,9 +5,13 @@ Sources have event_id, ts, user_id (the job), event_type and value.
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,19 +39,43 @@ def running(stream: DataFrame, by: str = "event_type") -> DataFrame:
     return got.withColumn("success_rate", F.col("ok") / F.greatest(F.col("n"), F.lit(1)))
 
 
+def in_order(batches: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """All rows of ``batches`` by ts and value: each is sorted and spilled as a run, then the runs merge, ``rows`` at a time."""
+    with tempfile.TemporaryDirectory() as folder:
+        paths = []
+        for p in batches:
+            paths.append(f"{folder}/{len(paths)}")
+            table = pa.Table.from_pandas(p[["ts", "value"]].sort_values(["ts", "value"]), preserve_index=False)
+            with pa.ipc.new_file(paths[-1], table.schema) as f:
+                f.write_table(table, max_chunksize=512)
+        merged = heapq.merge(*map(run, paths))
+        while held := list(itertools.islice(merged, rows)):
+            yield pd.DataFrame(held, columns=["ts", "value"])
+
+
+def run(path: str) -> Iterator[tuple]:
+    """Rows of a spilled run, a block at a time."""
+    with pa.memory_map(path) as source:
+        f = pa.ipc.open_file(source)
+        for k in range(f.num_record_batches):
+            p = f.get_batch(k).to_pandas()
+            yield from zip(p["ts"], p["value"])
+
+
 def breaker(stream: DataFrame, by: str = "user_id", failures: int = 3, reset_s: float = 300.0) -> DataFrame:
     """STM-07, STM-03: for each event whether the circuit of its key is open; it opens after so many failures in a row and closes after ``reset_s``.
 
-    A failure is an event without a positive value.  A key's state is two numbers and has no timeout, so that a
+    A failure is an event without a positive value.  A micro-batch's events of a key are stepped through by time,
+    however many chunks they come in.  A key's state is two numbers and has no timeout, so that a
     run over what is available ends.
     """
     kind = dict(stream.dtypes)[by]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, opened = state.get if state.exists else (0, 0.0)
-        for p in batches:
+        for p in in_order(batches):
             out = []
-            for at, v in sorted(zip((p["ts"] - pd.Timestamp(0)).dt.total_seconds(), p["value"])):
+            for at, v in zip((p["ts"] - pd.Timestamp(0)).dt.total_seconds(), p["value"]):
                 if opened and at - opened >= reset_s:
                     n, opened = 0, 0.0
                 out.append((key[0], pd.Timestamp(round(at * 1e6), unit="us"), bool(opened)))
