@@ -9,7 +9,7 @@ from gridgauge.functions import text
 
 # What parts the two dates of a range.
 RANGE = r"(?i)\s+(?:through|thru|thr|to|-|–|—|until|till)\s+"
-FORMATS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "d.M.yyyy")
+FORMATS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "d.M.yyyy", "d/M/yyyy", "d-M-yyyy")
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 PATTERNS = (
     r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b",
@@ -18,12 +18,19 @@ PATTERNS = (
     rf"\b(?:{MONTHS})\.?\s+\d{{1,2}},?\s+\d{{4}}\b",
     rf"\b\d{{1,2}}\s+(?:{MONTHS})\.?,?\s+\d{{4}}\b",
     rf"\b(?:{MONTHS})\.?\s+\d{{4}}\b",
+    # blanks round the separators
+    r"\b(?:0?[1-9]|1[0-2])\s*[/-]\s*(?:0?[1-9]|[12]\d|3[01])\s*[/-]\s*(?:19|20)\d{2}\b",
+    # run together with other text; a digit ahead is no part of a month of two digits
+    r"(?:(?<![\d/-])(?:0?[1-9]|1[0-2])|(?<=\d)(?:0[1-9]|1[0-2]))[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}",
+    rf"(?:{MONTHS})\.?\d{{1,2}},?\d{{4}}",
+    r"(?<=StatementDate|PaymentDate)\d{1,2}[/-]\d{1,2}[/-]\d{4}",
 )
 
 
 def parse(c: Column) -> Column:
     """DAT-03: the date that a text is, by the first format that fits; years of two digits below 50 are of this century.  Else null."""
     v = F.regexp_replace(text.strip(c), r"\.(?=\s)", "")
+    v = F.regexp_replace(F.regexp_replace(v, r"(?<=\d)\s*([/-])\s*(?=\d)", "$1"), rf"(?i)^({MONTHS})\.?(\d{{1,2}}),?(\d{{4}})$", "$1 $2 $3")
     short = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2})$"
     part = lambda k: F.regexp_extract(v, short, k).try_cast("int")
     year = F.when(part(3) < 50, part(3) + 2000).otherwise(part(3) + 1900)
