@@ -44,6 +44,12 @@ MARKS = frozenset(
     " share sharing social follow newsletter subscribe subscription signup login related recommended recommendations trending"
     " search searchbox form copyright legal hidden".split()
 )
+#: Words of names of wrappers: what the page has or lacks; words for an article after one of its topics.
+WITH = frozenset("has with no not without".split())
+ARTICLES, TOPICS = frozenset("article articles content news page post story text".split()), frozenset("copyright discussion legal notice notices promotion search social".split())
+#: What can stand in a head; what a form around a whole page holds.
+HEAD = frozenset("base link meta noscript script style template title".split())
+PAGE = re.compile(r"<(?:article|main|h1)[\s/>]|</form\s*>", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
@@ -51,6 +57,14 @@ ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 INSIDE = frozenset(("article", "main"))
 
 
+def named(token: str) -> list[str]:
+    """Words of a class name or id that say what the container is; none of a name that says what a page has or lacks, or what its article is about."""
+    words = WORD.findall(token)
+    if not WITH.isdisjoint(words) or words and words[-1] in ARTICLES and MARKS.intersection(words) <= TOPICS:
+        return []
+    return words
+
+
 def marked(name: str, attributes: str, in_article: bool) -> bool:
     """Whether the container can't be part of an article."""
     if name in BOILERPLATE or name == "header" and not in_article:
@@ -62,7 +76,7 @@ def marked(name: str, attributes: str, in_article: bool) -> bool:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if key in ("class", "id", "role"):
-            said = set(WORD.findall(value))
+            said = {word for token in value.split() for word in named(token)}
             if said & MARKS and not (in_article and said & {"header", "masthead"} and not said & (MARKS - {"header", "masthead"})):
                 return True
     return False
@@ -91,11 +105,12 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
+        text = html[at : m.start() if m else n]
+        if stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
+        held.append(text)
         if m is None:
-            held.append(html[at:])
             break
-        if m.start() > at:
-            held.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
@@ -122,6 +137,11 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
                     if stack[k][0] in BLOCKS:
                         break
             continue
+        if stack[-1][0] == "head" and name not in HEAD:
+            close(len(stack) - 1)
+        if name in ("svg", "math") and m[0].endswith("/>"):
+            held.append(" ")
+            continue
         if name in RAW:
             if end := ENDS[name].search(html, at):
                 at = end.end()
@@ -143,7 +163,8 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
                 drop(stack, SIBLINGS[name], close, frozenset(("ul", "ol", "dl", "table")))
         if not m[0].endswith("/>") or name in BLOCKS:
             _, dull, inside = stack[-1]
-            now = dull or marked(name, m[3], inside)
+            whole = name == "form" and (page := PAGE.search(html, at)) and page[0][1] != "/"
+            now = dull or marked("div" if whole else name, m[3], inside)
             if now and not dull:
                 flush()
                 out.extend([("", 0, inside, False)] * WINDOW)
