@@ -1,4 +1,4 @@
-"""STM-01 to STM-08: progress and running statistics over event streams.
+"""STM-01 and STM-04 to STM-10: progress and running statistics over event streams.
 
 Sources have event_id, ts, user_id (the job), event_type and value.
 """
@@ -22,7 +22,7 @@ def events(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -
 
 
 def fan_out(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, job: int | None = None):
-    """STM-01, STM-02: every micro-batch to ``send``, of one job if given; restarts go on from the checkpoint."""
+    """STM-01: every micro-batch to ``send``, of one job if given; restarts go on from the checkpoint."""
     own = stream if job is None else stream.where(F.col("user_id") == job)
     return own.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -63,7 +63,7 @@ def run(path: str) -> Iterator[tuple]:
 
 
 def breaker(stream: DataFrame, by: str = "user_id", failures: int = 3, reset_s: float = 300.0) -> DataFrame:
-    """STM-07, STM-03: for each event whether the circuit of its key is open; it opens after so many failures in a row and closes after ``reset_s``.
+    """STM-07: for each event whether the circuit of its key is open; it opens after so many failures in a row and closes after ``reset_s``.
 
     A failure is an event without a positive value.  A micro-batch's events of a key are stepped through by time,
     however many chunks they come in.  A key's state is two numbers and has no timeout, so that a
