@@ -300,13 +300,11 @@ def keep_firsts(df: DataFrame, docs: DataFrame, links: DataFrame, id_col: str, t
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """Rows of ``df`` with one document of each component: that of the smallest id; of repeated ids one row.
+    """Rows of ``df`` with one row of each component: of the smallest id, and of that id's texts there one.
 
     Rows without an id are kept as they are.
     """
-    found = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, words, radius)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("gridgauge_id")).distinct()
-    kept = df.join(stay, df[id_col] == stay["gridgauge_id"], "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))  # the join has dealt the rows by id already
-    kept = kept.withColumn("gridgauge_nth", F.row_number().over(first)).where("gridgauge_nth = 1").drop("gridgauge_nth")
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    named = df.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), digest(text_col).alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    docs, _ = written(fingerprints(named, "key", "text", words).select(F.col("key.id").alias(id_col), "key.digest", "fp"))
+    found, _ = written(links_between(docs.select("fp").distinct(), radius))
+    return keep_firsts(df, docs, found, id_col, text_col)

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridgauge.llm import nearcopies
+from gridgauge.llm import nearcopies, simhash
 
 
 def brute_set(text, words=5):
@@ -55,3 +55,11 @@ def test_near_copies_odd(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 8]
     assert nearcopies.keep_apart(df.limit(0)).count() == 0
+
+
+def test_keep_one_repeated_id_of_different_texts(spark):
+    """Id 1 has a copy of 0's text and a text of its own, which stays."""
+    copied = "same text of a few words here"
+    for own in ("another text that stands for itself", "a third one that is no copy of any", "words of a fourth text alone"):
+        df = spark.createDataFrame([(0, copied), (1, copied), (1, own)], "doc_id long, text string")
+        assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(0, copied), (1, own)]
