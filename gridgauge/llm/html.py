@@ -1,15 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line for each block of text.  Text inside containers that never hold an article
-(menus, footers, sidebars, forms, adverts, reader comments and the like) becomes a line of weight zero,
-and so do the gaps between containers.  The weights of the lines are summed over a sliding window; the
-text surges where the sum rises over the threshold and dives where it falls to zero.  Of the stretches
-between a surge and its dive the article is the one in ``article`` or ``main``, or else every stretch that
-holds a share of the longest one's text.
-
-Cases: null or empty html has the empty text; broken, nested and unclosed markup is read as browsers do,
-as far as blocks are concerned; repeated rows give repeated texts; an empty table gives an empty result;
-pages are read whole.
+Markup is stripped to one line for each block of text; each boundary of a region (``div``, ``section``, ``td``
+and the like) is a window of empty lines.  Tag structure only weighs lines: a line counts its characters
+outside links, three times in ``article`` or ``main``, and nothing in a region that can't be part of an article
+(menus, footers, sidebars, forms, adverts, reader comments).  The weights are summed over a sliding window.
+The distribution of the sums gives the page's threshold, ``SURGE`` of their own-weighted mean: text surges
+where a sum rises to it and dives where a sum falls to zero, and what stands between is the article's core.
+
+Around the core stays what belongs to it: the other lines of the smallest region that holds all surging text
+(short paragraphs, captions, lists), a first heading before it, and sentences that stand beside it in regions
+of its kind.  Runs of lines that are only links go if they stand before or after the core, except in
+``article`` and ``main``.
+
+Cases: null or empty html, and pages without a line of text, have the empty text; broken, nested and unclosed
+markup is read as browsers do, as far as blocks are concerned, and in time in proportion to the page's length; a
+page of nothing but links keeps them; equal pages give equal texts, so repeated rows and ties change nothing; an
+empty table gives an empty result; pages are read whole.  Other columns of the table aren't looked at, whatever
+their names; ``keep`` columns named ``text`` or ``n_chars`` are refused.
 """
 
 from __future__ import annotations
@@ -24,199 +31,328 @@ from pyspark.sql import functions as F
 
 from gridgauge.llm.common import per_batch
 
-#: Lines in a window; characters in a window from which text surges; share of the longest stretch's text that another one needs.
-WINDOW, SURGE, SHARE = 3, 1, 0.25
+#: Lines in a window; threshold as a share of the windowed sums' own-weighted mean; weight of a character in article or main.
+WINDOW, SURGE, ARTICLE = 3, 0.25, 3
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas select textarea button audio video title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+REGIONS = frozenset("article aside body center details dialog div fieldset footer form head header main menu nav search section td th".split())
 BOILERPLATE = frozenset("nav aside footer form head menu dialog search".split())
 CLOSES_P = BLOCKS - frozenset("body caption dd dt head html legend li option optgroup summary tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Words in a class, an id or a role that mark a container as no part of an article.
+LISTS = ("ul", "ol", "dl", "table")
+#: What can stand in a head.
+HEAD = frozenset("base link meta noscript script style template title".split())
+INSIDE = frozenset(("article", "main"))
+#: Words of a class, an id or a role that mark a container as no part of an article, if all other words of the name are neutral.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner banners sponsor sponsored sponsors promo promos promotion promoted"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc toolbar topbar"
+    "ad ads advert adverts advertisement advertisements advertising advertorial banner banners sponsor sponsored sponsors promo promos promotion promotions promoted"
+    " nav navbar navigation menu menus menubar breadcrumb breadcrumbs pagination pager toc toolbar topbar"
     " sidebar sidebars aside rail widget widgets footer header masthead contentinfo complementary"
-    " notice notices cookie cookies consent gdpr alert popup modal overlay disclaimer paywall toast"
-    " comment comments commentlist respond disqus reply replies discussion reactions"
+    " notice notices cookie cookies consent gdpr alert alerts popup popups modal overlay disclaimer paywall toast dialog"
+    " comment comments commentlist commentary respond disqus reply replies discussion reactions"
     " share sharing social follow newsletter subscribe subscription signup login related recommended recommendations trending"
     " search searchbox form copyright legal hidden".split()
 )
-#: Words of names of wrappers: what the page has or lacks; words for an article after one of its topics.
-WITH = frozenset("has with no not without".split())
+NEUTRAL = frozenset(
+    "area article articles bar block body bottom box button buttons card cards col column container content desktop entry fixed float global group head holder icons inner item items"
+    " left level link links list main middle mobile module news outer page pane panel post posts primary reader readers right row secondary section site slot sticky story sub text"
+    " thread top unit user users view wrap wrapper zone".split()
+)
+#: Words for an article after one of its topics; words of names of an article's own header.
 ARTICLES, TOPICS = frozenset("article articles content news page post story text".split()), frozenset("copyright discussion legal notice notices promotion search social".split())
-#: What can stand in a head; what a form around a whole page holds.
-HEAD = frozenset("base link meta noscript script style template title".split())
-PAGE = re.compile(r"<(?:article|main|h1)[\s/>]|</form\s*>", re.I)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-WORD = re.compile(r"[a-z]+")
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
+OWN_HEADER = frozenset("article content entry post story".split())
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|href)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A quote that nothing closes is a character like any other, so a tag always ends at the first ``>`` outside quotes or with the page.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-INSIDE = frozenset(("article", "main"))
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
+#: A region's mark: none, by its element, by its name (or a form).
+PLAIN, BY_ELEMENT, BY_NAME = 0, 1, 2
 
 
-def named(token: str) -> list[str]:
-    """Words of a class name or id that say what the container is; none of a name that says what a page has or lacks, or what its article is about."""
-    words = WORD.findall(token)
-    if not WITH.isdisjoint(words) or words and words[-1] in ARTICLES and MARKS.intersection(words) <= TOPICS:
-        return []
-    return words
+def says_dull(token: str, in_article: bool) -> bool:
+    """Whether a class name or an id says that the container is no part of an article: all its words do, or are neutral."""
+    words = [w.lower() for w in NAME.findall(token)]
+    if not words:
+        return False
+    found = MARKS.intersection(words)
+    if "".join(words) in MARKS:
+        found = found | {"".join(words)}
+    elif not found or not MARKS.union(NEUTRAL).issuperset(words):
+        return False
+    if words[-1] in ARTICLES and found <= TOPICS:
+        return False
+    return not (found <= {"header", "masthead"} and (in_article or OWN_HEADER.intersection(words)))
 
 
-def marked(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether the container can't be part of an article."""
+def mark(name: str, attributes: str, in_article: bool) -> int:
+    """How the element is marked as no part of an article."""
+    if name == "form":
+        return BY_NAME
     if name in BOILERPLATE or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return BY_ELEMENT
+    if not attributes or name in ("html", "body", "main"):
+        return PLAIN
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role"):
-            said = {word for token in value.split() for word in named(token)}
-            if said & MARKS and not (in_article and said & {"header", "masthead"} and not said & (MARKS - {"header", "masthead"})):
-                return True
-    return False
-
-
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, weight, in article or main, whether a heading) by block; boilerplate and gaps are lines of weight zero without text."""
-    out: list[tuple[str, int, bool, bool]] = []
-    held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, whether boilerplate, whether in an article
-
-    def flush() -> None:
-        if held:
-            text = " ".join(unescape("".join(held)).split())
-            held.clear()
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return BY_ELEMENT
+        if key in ("class", "id", "role") and any(says_dull(token, in_article) for token in value.split()):
+            return BY_NAME
+    return PLAIN
+
+
+class Page:
+    """Lines of text with their places among all lines, and the tree of regions that they stand in.  A region comes after its parent."""
+
+    def __init__(self, html: str):
+        self.texts: list[str] = []
+        self.weights: list[int] = []
+        self.places: list[int] = []
+        self.of: list[int] = []  # region of a line
+        self.first_heading: list[bool] = []
+        self.parent, self.kind, self.marks, self.inside, self.holds = [0], [("", "")], [PLAIN], [False], [0]
+        self.place = 0
+        self.gap = True
+        self.held: list[str] = []
+        self.linked: list[str] = []
+        self.stack: list[tuple[str, int]] = [("", 0)]  # name, region
+        self.open: dict[str, list[int]] = {}  # places in the stack by name
+        self.blocks: list[int] = [0]  # places in the stack of blocks other than p
+        self.link = 0  # depth of the stack at an open link
+        self.read(html)
+        self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            text = " ".join(unescape("".join(self.held)).split())
+            self.held.clear()
             if text:
-                name, dull, inside = stack[-1]
-                out.append(("", 0, inside, False) if dull else (text, len(text), inside, name in HEADINGS))
-
-    def close(k: int) -> None:
-        flush()
-        if stack[k][0] in GAPS or stack[k][1] and not stack[k - 1][1]:
-            out.extend([("", 0, stack[k - 1][2], False)] * WINDOW)
-        del stack[k:]
-
-    at, n = 0, len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else n]
-        if stack[-1][0] == "head" and text.strip():
-            close(len(stack) - 1)
-        held.append(text)
-        if m is None:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:].removesuffix("]]>"))
-            continue
-        name = m[2].lower()
-        if m[1]:
-            if name == "br":
-                held.append(" ")
-            elif name in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                else:
-                    flush()
+                linked = len(" ".join(unescape("".join(self.linked)).split())) if self.linked else 0
+                name, region = self.stack[-1]
+                self.texts.append(text)
+                self.weights.append(max(0, len(text) - linked))
+                self.places.append(self.place)
+                self.of.append(region)
+                self.first_heading.append(name == "h1")
+                self.place += 1
+                self.gap = False
+            self.linked.clear()
+
+    def boundary(self) -> None:
+        if not self.gap:
+            self.place += WINDOW
+            self.gap = True
+
+    def say(self, text: str) -> None:
+        self.held.append(text)
+        if self.link:
+            self.linked.append(text)
+
+    def push(self, name: str, region: int) -> None:
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS and name != "p":
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, region))
+
+    def close(self, k: int) -> None:
+        """End the open elements from place ``k`` of the stack on."""
+        self.flush()
+        for at in range(len(self.stack) - 1, k - 1, -1):
+            name, region = self.stack.pop()
+            self.open[name].pop()
+            if self.blocks[-1] == at:
+                self.blocks.pop()
+            if region != self.stack[-1][1]:
+                self.boundary()
+        if len(self.stack) < self.link:
+            self.link = 0
+
+    def last(self, names) -> int:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
+    def start(self, name: str, attributes: str, alone: bool) -> None:
+        """A start tag that is neither void nor raw."""
+        if name in BLOCKS:
+            self.flush()
+            if name in CLOSES_P and (k := self.last(("p",))) > self.blocks[-1]:
+                self.close(k)
+            if name in SIBLINGS and (k := self.last(SIBLINGS[name])) > self.last(LISTS):
+                self.close(k)
+        region = self.stack[-1][1]
+        if name == "a":
+            self.link = len(self.stack) if any(m[1].lower() == "href" for m in ATTRIBUTE.finditer(attributes)) else 0
+        said = mark(name, attributes, self.inside[region])
+        if name in INSIDE and not said:
+            self.holds[region] |= 1 if name == "article" else 2
+        if name == "h1":
+            self.holds[region] |= 4
+        if name in REGIONS or said and not self.marks[region]:
+            if alone and name not in BLOCKS:
+                return
+            self.flush()
+            self.boundary()
+            self.link = 0
+            names = " ".join(sorted((m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class")) if attributes else ""
+            self.parent.append(region)
+            self.kind.append((name, names))
+            self.marks.append(said)
+            self.inside.append(self.inside[region] or name in INSIDE and not said)
+            self.holds.append(0)
+            self.push(name, len(self.parent) - 1)
+        elif name in BLOCKS:
+            self.push(name, region)
+
+    def end(self, name: str) -> None:
+        if name == "br":
+            self.say(" ")
+        elif name == "a":
+            self.link = 0
+        elif name in BLOCKS:
+            if k := self.last((name,)):
+                self.close(k)
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        if stack[k][1]:
-                            flush()
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            continue
-        if stack[-1][0] == "head" and name not in HEAD:
-            close(len(stack) - 1)
-        if name in ("svg", "math") and m[0].endswith("/>"):
-            held.append(" ")
-            continue
-        if name in RAW:
-            if end := ENDS[name].search(html, at):
-                at = end.end()
+                self.flush()
+        elif (k := self.last((name,))) > self.blocks[-1]:
+            self.close(k)
+
+    def read(self, html: str) -> None:
+        at, n = 0, len(html)
+        absent: set[str] = set()  # raw elements that nothing ends from here on
+        while at < n:
+            m = TOKEN.search(html, at)
+            text = html[at : m.start() if m else n]
+            if self.stack[-1][0] == "head" and text.strip():
+                self.close(len(self.stack) - 1)
+            self.say(text)
+            if m is None:
+                break
+            at = m.end()
+            if m[2] is None:
+                if m[0].startswith("<![CDATA["):
+                    self.say(m[0][9:].removesuffix("]]>"))
+                continue
+            name = m[2].lower()
+            if m[1]:
+                self.end(name)
+                continue
+            if self.stack[-1][0] == "head" and name not in HEAD:
+                self.close(len(self.stack) - 1)
+            alone = m[0].endswith("/>")
+            if name in RAW:
+                self.say(" ")
+                if alone and name in ("svg", "math"):
+                    continue
+                if name not in absent and (end := ENDS[name].search(html, at)):
+                    at = end.end()
+                else:
+                    absent.add(name)
+                    at = n if name in ("script", "style", "title", "textarea") else at
+            elif name in VOID:
+                if name == "hr":
+                    self.flush()
+                elif name == "br":
+                    self.say(" ")
             else:
-                at = n if name in ("script", "style", "title", "textarea") else at
-            held.append(" ")
-            continue
-        if name in VOID:
-            if name == "hr":
-                flush()
-            elif name in ("br", "wbr"):
-                held.append(" " if name == "br" else "")
-            continue
-        if name in BLOCKS:
-            flush()
-            if name in CLOSES_P:
-                drop(stack, ("p",), close, BLOCKS - {"p"})
-            if name in SIBLINGS:
-                drop(stack, SIBLINGS[name], close, frozenset(("ul", "ol", "dl", "table")))
-        if not m[0].endswith("/>") or name in BLOCKS:
-            _, dull, inside = stack[-1]
-            whole = name == "form" and (page := PAGE.search(html, at)) and page[0][1] != "/"
-            now = dull or marked("div" if whole else name, m[3], inside)
-            if now and not dull:
-                flush()
-                out.extend([("", 0, inside, False)] * WINDOW)
-            if name in BLOCKS or now != dull:
-                stack.append((name, now, inside or name in INSIDE and not now))
-    flush()
-    return out
-
-
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-GAPS = frozenset(("article", "main"))
-
-
-def drop(stack, names, close, stop) -> None:
-    """End an open element that the next one can't stand in."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in names:
-            close(k)
-            return
-        if stack[k][0] in stop:
-            return
-
-
-def stretches(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """(first line, line after the last) between each surge point and the dive that follows it."""
-    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :] if len(weights) else weights  # of the line and the ones after it
-    back = np.convolve(weights, np.ones(window, np.int64))[: len(weights)]  # of the line and the ones before it
-    inside = ((sums >= surge) | (back >= surge)) & (weights > 0)
-    bridged = (sums > 0) & (back > 0)  # a window without text on either side dives
-    inside |= bridged
-    edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
-
-
-def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
-    if not html:
-        return ""
-    said = lines(html)
-    if any(inside and w for _, w, inside, _ in said):
-        said = [x if x[2] else ("", 0, False, False) for x in said]
-    weights = np.array([w for _, w, *_ in said], np.int64)
-    found = stretches(weights, window, surge)
-    if not found:
+                self.start(name, m[3], alone)
+
+
+def dull_regions(page: Page) -> np.ndarray:
+    """Regions without text of the article.
+
+    A region marked only by its name, or a form, isn't dull if it wraps the page: if it holds a ``main``, an ``article`` with a first heading, or, for forms, any of them.
+    """
+    holds = list(page.holds)
+    for k in range(len(holds) - 1, 0, -1):
+        holds[page.parent[k]] |= holds[k]
+    dull = np.zeros(len(holds), bool)
+    for k in range(1, len(holds)):
+        wraps = holds[k] & 2 or (holds[k] if page.kind[k][0] == "form" else holds[k] & 5 == 5)
+        dull[k] = dull[page.parent[k]] or page.marks[k] == BY_ELEMENT or page.marks[k] == BY_NAME and not wraps
+    return dull
+
+
+def core(weights: np.ndarray, window: int = WINDOW, surge: float = SURGE) -> np.ndarray:
+    """For each line whether it stands between a surge point and the dive point after it."""
+    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :]  # of the line and the ones after it
+    total = sums.sum()
+    if not total:
+        return np.zeros(len(weights), bool)
+    threshold = surge * float(np.square(sums, dtype=float).sum()) / float(total)
+    place = np.arange(len(sums))
+    starts = (sums > 0) & np.concatenate(([True], sums[:-1] == 0))
+    begun = np.maximum.accumulate(np.where(starts, place, 0))
+    surged = np.maximum.accumulate(np.where(sums >= threshold, place, -1))
+    return (sums > 0) & (surged >= begun)
+
+
+def kept(page: Page, window: int = WINDOW, surge: float = SURGE) -> np.ndarray:
+    """For each line of text whether it belongs to the main text."""
+    n = len(page.texts)
+    of, places = np.array(page.of), np.array(page.places)
+    usable = ~dull_regions(page)[of]
+    in_article = np.array(page.inside)[of]
+    own = np.array(page.weights, np.int64) * usable
+    if not own.any():
+        own = np.array([len(x) for x in page.texts], np.int64) * usable
+    lines = np.zeros(page.place + window, np.int64)
+    lines[places] = own * np.where(in_article, ARTICLE, 1)
+    central = core(lines, window, surge)[places] & usable
+    if not (central & (own > 0)).any():
+        return central
+    first, last = np.flatnonzero(central & (own > 0))[[0, -1]]
+    at = np.arange(n)
+    between = (at >= first) & (at <= last)
+    central &= between
+    # The smallest region that holds all surging text.
+    counts = np.bincount(of[central], minlength=len(page.parent))
+    direct = counts > 0
+    for k in range(len(counts) - 1, 0, -1):
+        counts[page.parent[k]] += counts[k]
+    home = int(np.flatnonzero(counts == central.sum())[-1])
+    whole = page.kind[home][0] in ("", "body")
+    under = np.zeros(len(counts), bool)
+    under[home] = True
+    for k in range(home + 1, len(counts)):
+        under[k] = under[page.parent[k]]
+    links_only = usable & (own == 0)
+    beside = np.concatenate(([False], links_only[:-1])) | np.concatenate((links_only[1:], [False]))
+    menu = links_only & beside & ~between & ~in_article
+    if whole:
+        near = direct[of] | between & (own > 0)
+        kinds = {(page.parent[k], page.kind[k]) for k in np.flatnonzero(direct).tolist()}
+    else:
+        near = under[of]
+        kinds = {(page.parent[home], page.kind[home])}
+    up = {home}
+    k = home
+    while k:
+        k = page.parent[k]
+        up.add(k)
+    for k in np.flatnonzero(usable & ~central & ~near & (own > 0)).tolist():
+        region, text = page.of[k], page.texts[k]
+        if page.first_heading[k] and k < first and region in up:
+            near[k] = True
+        elif region in up or (page.parent[region], page.kind[region]) in kinds:
+            near[k] = bool(SENTENCE.search(text)) and text.count(" ") >= 2
+    return central | usable & near & ~menu
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    page = Page(html or "")
+    if not page.texts:
         return ""
-    sizes = [int(weights[a:b].sum()) for a, b in found]
-    if not any(x[2] for x in said):
-        found = [x for x, n in zip(found, sizes) if n >= share * max(sizes)]
-    return "\n\n".join(x[0] for a, b in found for x in said[a:b] if x[1])
+    return "\n\n".join(x for x, y in zip(page.texts, kept(page, window, surge).tolist()) if y)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """``id_col``, the ``keep`` columns, ``text`` and ``n_chars`` of each page, in one pass without a shuffle."""
+    if clash := {"text", "n_chars"}.intersection((id_col, *keep)):
+        raise ValueError(f"columns of the result: {sorted(clash)}; rename those of the table first")
     kinds = dict(df.dtypes)
     df = df.select(id_col, *keep, F.col(html_col).cast("string").alias("gridgauge_html"))
 
