@@ -8,9 +8,10 @@ the sample itself associates with toxicity.  The expected severity is the sum of
 The model is fitted to a bounded sample of labelled rows (``SAMPLE``); the driver collects hashed
 features, no texts.  Every document is scored over its whole text.
 
-Cases: null or empty text has no features and gets the base rate; repeated rows get equal grades; rows
-without a label or with a null one aren't trained on; without any usable label no row is toxic; an empty
-table gives an empty result.
+Cases: null or empty text has no features and gets the base rate; very long texts are read whole; repeated
+rows get equal grades; rows without a label or with a null one aren't trained on; an id labelled both ways
+counts as toxic; without any usable label no row is toxic; of equally likely grades the lowest is said; an
+empty table gives an empty result.  Columns other than id and text are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from gridgauge.llm.common import per_batch, with_text, words
 
-#: Labelled rows of the sample, about (twice that at most); hashed features; features that the model keeps.
-SAMPLE, HASHES, KEPT = 10_000, 1 << 22, 4096
+#: Labelled ids of the sample, at most; hashed features.
+SAMPLE, HASHES = 10_000, 1 << 22
 #: A feature is kept if its log odds speak for toxicity and if among all features none would be expected to be so
 #: one-sided by chance; weights aren't negative, so that a long text's harmless words never outweigh what is toxic in it.
 LEAST_ODDS = 2.0
@@ -92,7 +93,7 @@ def fit(features: np.ndarray, n: np.ndarray, toxic: np.ndarray, steps: int = 800
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = bad * np.log(bad / (seen * base)) + np.where(good > 0, good * np.log(good / (seen * (1 - base))), 0)
     gain = surprise * ((odds > LEAST_ODDS) & (bad > base * seen) & (surprise > np.log(len(features))))
-    best = np.sort(np.argsort(-gain, kind="stable")[: min(KEPT, int((gain > 0).sum()))])
+    best = np.flatnonzero(gain > 0)
     place = np.full(len(features), -1)
     place[best] = np.arange(len(best))
     used = place[col] >= 0
@@ -105,18 +106,7 @@ def fit(features: np.ndarray, n: np.ndarray, toxic: np.ndarray, steps: int = 800
     w, cut, gap = odds[best].copy(), np.log((~toxic).sum() / toxic.sum()), np.zeros(GRADES - 2)
     moment, square = np.zeros(len(w) + 1 + len(gap)), np.zeros(len(w) + 1 + len(gap))
     for step in range(1, steps + 1):
-        cuts = np.concatenate(([cut], cut + np.cumsum(np.exp(gap))))
-        x = np.bincount(row, w[col], len(n))
-        p = 1 / (1 + np.exp(np.clip(cuts[None, :] - x[:, None], -50, 50)))
-        edges = np.concatenate((np.ones((len(x), 1)), p, np.zeros((len(x), 1))), axis=1)
-        slope = np.concatenate((np.zeros((len(x), 1)), p * (1 - p), np.zeros((len(x), 1))), axis=1)
-        at = np.arange(len(x))
-        own = np.maximum(edges[at, grade] - edges[at, grade + 1], 1e-9)
-        gx = -(slope[at, grade] - slope[at, grade + 1]) / own / len(x)
-        g_cut = np.zeros(GRADES - 1)
-        np.add.at(g_cut, np.maximum(grade - 1, 0), np.where(grade > 0, slope[at, grade] / own, 0) / len(x))
-        np.add.at(g_cut, np.minimum(grade, GRADES - 2), np.where(grade < GRADES - 1, -slope[at, grade + 1] / own, 0) / len(x))
-        g = np.concatenate((np.bincount(col, gx[row], len(w)) + ridge * w, [g_cut.sum()], np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(gap)))
+        _, g = loss(w, cut, gap, row, col, grade, ridge)
         moment, square = 0.9 * moment + 0.1 * g, 0.99 * square + 0.01 * g * g
         move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         w, cut, gap = np.maximum(w - move[: len(w)], 0), cut - move[len(w)], gap - move[len(w) + 1 :]
@@ -124,11 +114,28 @@ def fit(features: np.ndarray, n: np.ndarray, toxic: np.ndarray, steps: int = 800
     return Model(tuple(features[best].tolist()), tuple(w.tolist()), tuple(cuts.tolist()))
 
 
+def loss(w: np.ndarray, cut: float, gap: np.ndarray, row: np.ndarray, col: np.ndarray, grade: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the grades with its ridge, and its gradient by weights, first cut and logarithms of the gaps between cuts."""
+    n = len(grade)
+    cuts = np.concatenate(([cut], cut + np.cumsum(np.exp(gap))))
+    x = np.bincount(row, w[col], n)
+    p = 1 / (1 + np.exp(np.clip(cuts[None, :] - x[:, None], -50, 50)))
+    edges = np.concatenate((np.ones((n, 1)), p, np.zeros((n, 1))), axis=1)
+    slope = np.concatenate((np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))), axis=1)
+    at = np.arange(n)
+    own = np.maximum(edges[at, grade] - edges[at, grade + 1], 1e-9)
+    gx = -(slope[at, grade] - slope[at, grade + 1]) / own / n
+    g_cut = np.zeros(GRADES - 1)
+    np.add.at(g_cut, np.maximum(grade - 1, 0), np.where(grade > 0, slope[at, grade] / own, 0) / n)
+    np.add.at(g_cut, np.minimum(grade, GRADES - 2), np.where(grade < GRADES - 1, -slope[at, grade + 1] / own, 0) / n)
+    g = np.concatenate((np.bincount(col, gx[row], len(w)) + ridge * w, [g_cut.sum()], np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(gap)))
+    return float(-np.log(own).mean() + ridge / 2 * (w @ w)), g
+
+
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from about ``sample`` labelled rows, chosen by the hash of their id."""
+    """A model from at most ``sample`` labelled ids, those of the smallest hashes; of a repeated id one row counts, the one of the least features."""
     said = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
-    n = said.count()
-    few = said.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample / max(n, 1))).limit(2 * sample)
+    few = said.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = with_text(df, text_col, (id_col, "id")).join(F.broadcast(few), "id").select("id", "text", "toxic")
 
     def make():
@@ -140,7 +147,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return f
 
     kind = dict(df.dtypes)[id_col]
-    got = per_batch(rows, make, f"id {kind}, features array<int>, toxic int").toArrow().sort_by([("id", "ascending")])
+    some = per_batch(rows, make, f"id {kind}, features array<int>, toxic int")
+    got = some.groupBy("id").agg(F.min(F.struct("features", "toxic")).alias("one")).select("id", "one.*").toArrow().sort_by([("id", "ascending")])
     lists = got.column("features").combine_chunks()
     return fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), got.column("toxic").to_numpy().astype(bool))
 
