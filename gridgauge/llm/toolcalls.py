@@ -4,18 +4,23 @@ Messages are read into calls and results.  A message may carry them explicitly:
 ``tool_calls`` (a list of ``id``, ``name`` or ``function``, ``arguments``, and ``after``, identifiers that
 must come first) or with ``tool_call_id`` and ``content``, as the whole text or between
 ``<tool_call>``/``<tool_response>`` tags.  A plain message of anyone but the assistant is a call of the
-tool ``reply``, identified by its turn, and an assistant's plain message is the result of the turn before.
+tool ``reply``, identified by its turn; it comes after the one two turns before, if there is one, whose
+reply stands between.  An assistant's plain message is the result of the turn before.
 
 Calls and results meet in one hash join by conversation and identifier.  Results are reduced to the
 first of each identifier, with their number, before the join, so repeated identifiers can't multiply
 rows.  ``level`` orders calls topologically: 0 without dependencies, else one more than the highest
-dependency; it is worked out by rounds over the dependency edges only.  Arguments are checked against
-JSON schemas, and each row is serialised as canonical JSON: sorted keys, no white space.
+dependency.  Chains are followed by pointer doubling, so their length costs its logarithm in rounds, and
+rounds over the calls with several dependencies close the rest.  Arguments are checked against JSON
+schemas, and each row is serialised as canonical JSON: sorted keys, no white space.
 
 Cases: null text is an empty message; a null conversation or turn is a value like any other; results
-without a call and calls without a result are kept; of repeated results the first counts; unreadable
-arguments are invalid; calls in a cycle, and those behind one, have no level; an empty table gives an empty
-result; texts are read whole.
+without a call and calls without a result are kept; of repeated results the first counts (ties: the least
+text); repeated calls are rows of their own with the level of their common identifier; calls, arguments,
+identifiers and dependencies of a wrong kind, and numbers that aren't finite, are invalid calls (results:
+``null``); lone surrogates become U+FFFD; calls in a cycle, those behind one, and those that name a missing
+dependency have no level; other columns, whatever their names, are never read; an empty table gives an
+empty result; texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,18 +31,58 @@ import re
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridgauge.llm.common import drop_written, per_batch, written
 
-TAGGED = re.compile(r"<(tool_call|tool_response)>(.*?)</\1>", re.S)
+TAG = re.compile(r"<(tool_call|tool_response)>")
 REPLY = {"type": "object", "required": ["role", "text"], "properties": {"role": {"type": "string"}, "text": {"type": "string", "minLength": 1}}, "additionalProperties": False}
 KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
+SURROGATES = re.compile("[\ud800-\udfff]")
+
+
+def plain(x: Any) -> Any:
+    """``x`` with lone surrogates replaced, as UTF-8 has none."""
+    if isinstance(x, str):
+        return SURROGATES.sub("\ufffd", x)
+    if isinstance(x, list):
+        return [plain(y) for y in x]
+    return {plain(k): plain(y) for k, y in x.items()} if isinstance(x, dict) else x
+
+
 def canonical(x: Any) -> str:
-    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Canonical JSON; ValueError if ``x`` has a number that isn't finite or is nested too deeply."""
+    try:
+        return json.dumps(plain(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except RecursionError as e:
+        raise ValueError("too deep") from e
+
+
+def as_id(x: Any) -> str:
+    """An identifier as text."""
+    if isinstance(x, str):
+        return plain(x)
+    try:
+        return canonical(x)
+    except ValueError:
+        return "not JSON"
+
+
+def tagged(text: str) -> list[str]:
+    """What stands between the tags; a tag that nothing ends has nothing."""
+    out, at, absent = [], 0, set()
+    while m := TAG.search(text, at):
+        at = m.end()
+        if m[1] not in absent:
+            if (end := text.find(f"</{m[1]}>", at)) >= 0:
+                out.append(text[at:end])
+                at = end
+            else:
+                absent.add(m[1])
+    return out
 
 
 def _refuse(name: str):
@@ -90,46 +135,60 @@ def faults(x: Any, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def read_call(c: Any, schemas: dict[str, dict]) -> tuple:
+    """(kind, identifier, name, canonical arguments, valid, faults, dependencies, whether those may be missing) of one call."""
+    if not isinstance(c, dict):
+        return ("call", "", "", "null", False, ["$: no call"], [], False)
+    own = c.get("function") if isinstance(c.get("function"), dict) else c
+    name, arguments = own.get("name") or c.get("function") or "", own.get("arguments", {})
+    after = c.get("after")
+    wrong = [] if isinstance(name, str) else ["$: name"]
+    if after is not None and not isinstance(after, list):
+        wrong.append("$: after")
+        after = None
+    name = as_id(name)
+    try:
+        if isinstance(arguments, str):
+            arguments = read_json(arguments)
+        body = canonical(arguments)
+        wrong += [plain(x) for x in faults(arguments, schemas[name])] if name in schemas else [f"no tool {name}"]
+    except (ValueError, RecursionError):
+        body = "null"
+        wrong.append("$: not JSON")
+    return ("call", as_id(c.get("id")), name, body, not wrong, wrong, [as_id(a) for a in after or []], False)
+
+
 def read_message(turn: int | None, role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
-    """(kind, identifier, name, canonical arguments or content, valid, faults, dependencies) of one message."""
+    """(kind, identifier, name, canonical arguments or content, valid, faults, dependencies, whether those may be missing) of one message."""
     text = text or ""
-    found: list[Any] = []
-    pieces = [m[2] for m in TAGGED.finditer(text)] if "<tool_" in text else [text] if text.lstrip()[:1] == "{" else []
+    out: list[tuple] = []
+    pieces = tagged(text) if "<tool_" in text else [text] if text.lstrip()[:1] == "{" else []
     for piece in pieces:
         try:
             x = read_json(piece)
         except ValueError:
             continue
-        if isinstance(x, dict) and ("tool_calls" in x or "tool_call_id" in x):
-            found.append(x)
-    out = []
-    for x in found:
-        for c in x.get("tool_calls") or []:
-            if not isinstance(c, dict):
-                continue
-            own = c.get("function") if isinstance(c.get("function"), dict) else c
-            name, arguments = str(own.get("name") or c.get("function") or ""), own.get("arguments", {})
-            wrong = None
-            if isinstance(arguments, str):
-                try:
-                    arguments = read_json(arguments)
-                except ValueError:
-                    wrong = ["$: not JSON"]
-            wrong = wrong or (faults(arguments, schemas[name]) if name in schemas else [f"no tool {name}"])
-            out.append(("call", str(c.get("id")), name, canonical(arguments), not wrong, wrong, [str(a) for a in c.get("after") or []]))
+        if not isinstance(x, dict):
+            continue
+        if "tool_calls" in x and x["tool_calls"] is not None:
+            out += [read_call(c, schemas) for c in x["tool_calls"]] if isinstance(x["tool_calls"], list) else [read_call(None, schemas)]
         if "tool_call_id" in x:
-            out.append(("result", str(x["tool_call_id"]), None, canonical(x.get("content")), None, None, None))
+            try:
+                body = canonical(x.get("content"))
+            except ValueError:
+                body = "null"
+            out.append(("result", as_id(x["tool_call_id"]), None, body, None, None, None, None))
     if out:
         return out
     if role == "assistant":
-        return [("result", f"turn-{(turn or 0) - 1}", None, canonical(text), None, None, None)]
+        return [("result", f"turn-{(turn or 0) - 1}", None, canonical(text), None, None, None, None)]
     arguments = {"role": role or "", "text": text}
     wrong = faults(arguments, schemas["reply"]) if "reply" in schemas else ["no tool reply"]
-    return [("call", f"turn-{turn or 0}", "reply", canonical(arguments), not wrong, wrong, [])]
+    return [("call", f"turn-{turn or 0}", "reply", canonical(arguments), not wrong, wrong, [f"turn-{(turn or 0) - 2}"], True)]
 
 
 def read_messages(df: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each call and result: conv, turn, nth, kind, id, name, body, valid, faults, after."""
+    """One row for each call and result: conv, turn, nth, kind, id, name, body, valid, faults, after, optional (whether what it comes after may be missing)."""
     kind = dict(df.dtypes)[conv_col]
     df = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     texts = pa.list_(pa.string())
@@ -140,37 +199,62 @@ def read_messages(df: DataFrame, schemas: dict[str, dict], conv_col: str = "conv
             for nth, x in enumerate(read_message(turn, role, text, schemas)):
                 at.append(k)
                 rows.append((nth, *x))
-        cols = list(zip(*rows)) or [[]] * 8
-        types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), texts, texts)
+        cols = list(zip(*rows)) or [[]] * 9
+        types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), texts, texts, pa.bool_())
         take = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([b.column("conv").take(take), b.column("turn").take(take), *(pa.array(c, t) for c, t in zip(cols, types))], names=["conv", "turn", "nth", "kind", "id", "name", "body", "valid", "faults", "after"])
+        return pa.RecordBatch.from_arrays([b.column("conv").take(take), b.column("turn").take(take), *(pa.array(c, t) for c, t in zip(cols, types))], names=["conv", "turn", "nth", "kind", "id", "name", "body", "valid", "faults", "after", "optional"])
 
-    return per_batch(df, lambda: f, f"conv {kind}, turn long, nth int, kind string, id string, name string, body string, valid boolean, faults array<string>, after array<string>")
+    return per_batch(df, lambda: f, f"conv {kind}, turn long, nth int, kind string, id string, name string, body string, valid boolean, faults array<string>, after array<string>, optional boolean")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv, id, level) of the calls with dependencies; the level is null in and behind a cycle or an identifier that no call has.
+    """(key, level) of the calls with dependencies; the level is null in and behind a cycle or an identifier that no call has.
 
-    Each round is one join over the dependency edges that are still open.
+    A call with one dependency points to it, and doubling the pointers brings each to the first call that isn't such a
+    one, in as many rounds as the longest chain has binary digits.  Rounds over the calls with several dependencies
+    follow, each adding the levels that it finds and nothing else.
     """
     spark = calls.sparkSession
-    edges, edge_path = written(calls.where(F.size("after") > 0).select("conv", "id", F.explode("after").alias("before")).distinct())
-    if not edges.count():
-        return edges.select("conv", "id", F.lit(None).cast("int").alias("level"))
-    nodes = calls.join(edges.select("conv", F.col("before").alias("id")).distinct(), ["conv", "id"], "left_semi").select("conv", "id", (F.size("after") > 0).alias("open")).groupBy("conv", "id").agg(F.max("open").alias("open"))
-    done, path = written(nodes.where("not open").select("conv", "id", F.lit(0).alias("level")))
-    while True:
-        # A call is ready once each of its dependencies has a level.
-        known = edges.join(done.select("conv", F.col("id").alias("before"), "level"), ["conv", "before"], "left")
-        ready = known.groupBy("conv", "id").agg(F.max("level").alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready")).where("ready").select("conv", "id", (F.col("level") + 1).alias("level"))
-        new, new_path = written(ready.join(done, ["conv", "id"], "left_anti"))
+    paths = []
+
+    def table(df: DataFrame) -> DataFrame:
+        got, path = written(df)
+        paths.append(path)
+        return got
+
+    ids = calls.select("key").distinct()
+    said = calls.where(F.size("after") > 0).select("key", "optional", "prefix", F.explode("after").alias("id")).select("key", "optional", F.concat("prefix", "id").alias("before"))
+    held = said.join(ids.select(F.col("key").alias("before"), F.lit(True).alias("there")), "before", "left").where("there or not optional")
+    edges = table(held.groupBy("key", "before").agg(F.max("there").alias("there")).withColumn("n", F.count("*").over(Window.partitionBy("key"))))
+    # Chains: (key, to, far): ``to`` is ``far`` calls away; the end of a chain is no chained call, or missing, or in a cycle.
+    chain = table(edges.where("n = 1").select("key", F.col("before").alias("to"), F.lit(1).cast("long").alias("far")))
+    for _ in range(max(chain.count(), 1).bit_length() + 1):  # in a cycle a pointer moves for ever
+        ahead = chain.select(F.col("key").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        chain = table(chain.join(ahead, "to", "left").select("key", F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved")))
+        moved = chain.where("moved").limit(1).count()
+        chain = chain.drop("moved")
+        if not moved:
+            break
+    ends = chain.join(chain.select(F.col("key").alias("to")).distinct(), "to", "left_anti").join(ids.select(F.col("key").alias("to")), "to", "left_semi")
+    # Levels of calls with several dependencies, from those of calls without any.
+    several = edges.where("n > 1").select("key", "before").join(ends.select(F.col("key").alias("before"), "to", "far"), "before", "left")
+    open_ = table(several.select("key", F.coalesce("to", "before").alias("before"), F.coalesce("far", F.lit(0)).cast("long").alias("far")))
+    base = table(ids.join(edges.select("key").distinct(), "key", "left_anti").join(open_.select(F.col("before").alias("key")).union(ends.select(F.col("to").alias("key"))).distinct(), "key", "left_semi").select("key", F.lit(0).cast("long").alias("level")))
+    done = base
+    while open_.count():
+        known = open_.join(done.select(F.col("key").alias("before"), "level"), "before", "left")
+        new = known.groupBy("key").agg(F.max(F.col("level") + F.col("far") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready")).where("ready").select("key", "level")
+        new = table(new)
         if not new.count():
             break
-        done, next_path = written(done.unionByName(new))
+        done = done.unionByName(new)
+        open_ = table(open_.join(new, "key", "left_anti"))
+    of_chain = ends.join(done.select(F.col("key").alias("to"), "level"), "to").select("key", (F.col("level") + F.col("far")).alias("level"))
+    found = done.join(edges.select("key").distinct(), "key", "left_semi").unionByName(of_chain)
+    out, _ = written(edges.select("key").distinct().join(found, "key", "left").select("key", F.col("level").cast("int")))
+    for path in paths:
         drop_written(spark, path)
-        drop_written(spark, new_path)
-        path = next_path
-    return edges.select("conv", "id").distinct().join(done, ["conv", "id"], "left")
+    return out
 
 
 def link(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -180,13 +264,13 @@ def link(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str =
     """
     schemas = {"reply": REPLY} if schemas is None else schemas
     said, _ = written(read_messages(df, schemas, conv_col, turn_col, role_col, text_col))
-    calls = said.where("kind = 'call'")
+    prefix = F.coalesce(F.concat(F.length(F.col("conv").cast("string")).cast("string"), F.lit(":"), F.col("conv").cast("string"), F.lit("/")), F.lit("null/"))
+    calls = said.where("kind = 'call'").withColumn("key", F.concat(prefix, "id"))
     first = F.min(F.struct("turn", "nth", "body")).alias("first")
     results = said.where("kind = 'result'").groupBy(F.col("conv").alias("r_conv"), F.col("id").alias("r_id")).agg(first, F.count("*").alias("n_results"))
     same = F.col("conv").eqNullSafe(F.col("r_conv")) & F.col("id").eqNullSafe(F.col("r_id"))
     both = calls.join(results.hint("shuffle_hash"), same, "full_outer")
-    deep = levels(calls).select(F.col("conv").alias("l_conv"), F.col("id").alias("l_id"), "level", F.lit(True).alias("dependent"))
-    both = both.join(deep, F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("id") == F.col("l_id")), "left")
+    both = both.join(levels(calls.select("key", "after", "optional", prefix.alias("prefix"))).withColumn("dependent", F.lit(True)), "key", "left")
     text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
     null = F.lit("null")
     as_json = F.concat(F.lit('{"arguments":'), F.coalesce("body", null), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), F.when(F.col("name").isNull(), null).otherwise(text("name")), F.lit(',"result":'), F.coalesce("result", null), F.lit("}"))
@@ -204,9 +288,11 @@ def oracle() -> str:
     return """with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations),
       calls as (select conv_id, turn, 'turn-' || turn as id, '{"role":' || cast(to_json(coalesce(role, '')) as varchar) || ',"text":' || cast(to_json(text) as varchar) || '}' as body, text <> '' as valid
                 from c where role is distinct from 'assistant'),
+      numbered as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2 order by turn) as nth from (select distinct conv_id, turn from calls)),
+      levels as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2, turn - 2 * nth order by turn) - 1 as level from numbered),
       results as (select conv_id, 'turn-' || (turn - 1) as id, count(*) as n_results, min(turn) as turn, arg_min(cast(to_json(text) as varchar), turn) as body from c where role = 'assistant' group by all)
       select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.turn, r.turn) as turn, 0 as nth, coalesce(c.id, r.id) as call_id, case when c.id is not null then 'reply' end as name,
-        case when c.id is not null then 0 end as level, coalesce(c.valid, false) as valid, case when c.id is null then 'no call' when c.valid then '' else '$.text: length' end as faults,
+        l.level as level, coalesce(c.valid, false) as valid, case when c.id is null then 'no call' when c.valid then '' else '$.text: length' end as faults,
         c.id is not null and r.id is not null as linked, coalesce(n_results, 0) as n_results,
         sha256('{"arguments":' || coalesce(c.body, 'null') || ',"id":"' || coalesce(c.id, r.id) || '","name":' || case when c.id is null then 'null' else '"reply"' end || ',"result":' || coalesce(r.body, 'null') || '}') as json_sha256
-      from calls c full outer join results r on c.conv_id = r.conv_id and c.id = r.id"""
+      from calls c full outer join results r on c.conv_id = r.conv_id and c.id = r.id left join levels l on c.conv_id = l.conv_id and c.turn = l.turn"""

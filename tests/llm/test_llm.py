@@ -379,12 +379,6 @@ def test_tool_calls(spark):
     assert toolcalls.link(df.limit(0)).count() == 0
 
 
-def test_levels_chain(spark):
-    rows = [(1, str(k), [str(k - 1)] if k else []) for k in range(12)] + [(2, "a", []), (2, "b", ["a"]), (2, "c", ["a", "b"])]
-    got = {(r.conv, r.id): r.level for r in toolcalls.levels(spark.createDataFrame(rows, "conv long, id string, after array<string>")).collect()}
-    assert got == {**{(1, str(k)): k for k in range(1, 12)}, (2, "b"): 1, (2, "c"): 2}
-
-
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 
