@@ -4,14 +4,18 @@ Documents are cut into overlapping passages, and every passage queries the index
 divided by the score of the item's own text, so 1 is the most any passage can reach and one threshold
 holds for all items.  Terms split into essential ones, which are rare, and the others, whose whole
 weight in an item, ``rest``, stays below half of the threshold.  Items lie in blocks; each essential
-posting knows its block's maximum.  A (passage, block) pair is skipped if the block maxima of the
-passage's essential terms plus the block's largest ``rest`` stay below the threshold; then a (passage,
-item) pair by its own bound; what is left is scored exactly, and hits are verified by the share of the
-item's word n-grams, of question and answer, that stand in the passage.  No hit is lost: both bounds are
-upper bounds of the score.
-
-Cases: null texts are empty; an empty document or item has no hits; repeated rows give repeated hits
-before ``distinct``; empty tables give an empty result; texts are read whole.
+posting knows its block's maximum.  A passage has a pivot only if its terms' largest weights anywhere
+plus the largest ``rest`` reach the threshold; without one it is left before any posting is read.  A (passage,
+block) pair is skipped if the block maxima of the passage's essential terms plus the block's largest
+``rest`` stay below the threshold; then a (passage, item) pair by its own bound; what is left is scored
+exactly.  No hit is lost: all three are upper bounds of the score.  ``Index.work`` counts what each step left.
+Hits are verified by the shares of the question's and of the answer's word n-grams that stand in the
+passage: each has to reach the bound, so a question alone is none.
+
+Cases: null texts are empty; an empty document or item has no hits; an item of one part is verified by that
+one; items of equal text all hit, so there are no ties to break; repeated rows give repeated hits before
+``distinct``; other columns, whatever their names, are never read; empty tables give an empty result; texts
+are read whole.
 """
 
 from __future__ import annotations
@@ -98,6 +102,10 @@ class Index:
         self.block = np.array([b for _, b in most], np.int64)
         self.block_most = np.array([*most.values()])
         self.block_first = np.searchsorted(np.array([t for t, _ in most], np.int64), np.arange(len(self.terms) + 1))
+        self.term_most = np.zeros(len(self.terms))
+        np.maximum.at(self.term_most, np.array([t for t, *_ in posts], np.int64), self.weight)
+        self.most_rest = self.rest.max(initial=0.0)
+        self.work = {"passages": 0, "pivots": 0, "blocks": 0, "open_blocks": 0, "items": 0, "scored": 0}
         self.grams = [(grams(q, GRAM), grams(a, GRAM)) for q, a in self.parts]
 
     @staticmethod
@@ -134,6 +142,10 @@ class Index:
         both = (cell > 0) & (owners_[earlier] == owners_[cell])
         pairs = np.unique(np.concatenate((cell, earlier[both])) * len(self.terms) + np.concatenate((term, term[both])))
         passage, term = pairs // len(self.terms), pairs % len(self.terms)
+        # Passages with a pivot.
+        reach = np.bincount(passage, self.term_most[term], base) + self.most_rest >= self.threshold
+        used = reach[passage]
+        passage, term = passage[used], term[used]
         # Bound by blocks.
         n_blocks = len(self.block_rest)
         of, at = self.spread(self.block_first, term)
@@ -150,7 +162,10 @@ class Index:
         keys, back = np.unique(passage[of] * len(self.ids) + self.item[at], return_inverse=True)
         bound = np.bincount(back, self.weight[at], len(keys)) + self.rest[keys % len(self.ids)]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for key in keys[bound >= self.threshold].tolist():
+        left = keys[bound >= self.threshold].tolist()
+        for k, x in zip(self.work, (base, int(reach.sum()), len(self.block[self.spread(self.block_first, term)[1]]), len(open_), len(keys), len(left))):
+            self.work[k] += x
+        for key in left:
             p, i = divmod(key, len(self.ids))
             k = owners[p]
             part = cut[k][starts[p] : starts[p] + 2 * self.stride]
@@ -158,7 +173,7 @@ class Index:
             score = sum(v for t, v in self.weights[i].items() if t in held)
             if score < self.threshold:
                 continue
-            shares, found, total = [], 0, 0
+            shares, found = [], True
             have: dict[int, set[bytes]] = {}
             for own, g in zip(self.parts[i], self.grams[i]):
                 n = min(GRAM, len(own))
@@ -166,8 +181,8 @@ class Index:
                     have[n] = grams(part, n)
                 hits = len(g & have[n])
                 shares.append(hits / len(g) if g else 1.0)
-                found, total = found + hits, total + len(g)
-            if found >= verify * total:
+                found &= hits >= verify * len(g)
+            if found:
                 best[k, i] = max(best.get((k, i), (0.0, 0.0, 0.0)), (score, *shares))
         return [(k, i, *x) for (k, i), x in best.items()]
 
@@ -175,7 +190,7 @@ class Index:
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.5) -> DataFrame:
     """(``id_col``, ``item_col``, score, question_overlap, answer_overlap) of all documents that hold test items.
 
-    ``threshold``: share of an item's own BM25 score; ``verify``: share of its n-grams.  The index is sent
+    ``threshold``: share of an item's own BM25 score; ``verify``: share of its question's and of its answer's n-grams.  The index is sent
     to every task in parts of at most ``INDEX_BYTES`` of item text; each part reads the documents once.
     """
     kinds = dict(df.dtypes) | {"item": dict(benchmark.dtypes)[item_col]}

@@ -2,11 +2,15 @@
 
 ``mux`` stores a payload losslessly as one private elementary stream: a program association table, a
 program map table, and packets of 188 bytes whose elementary packets carry a time stamp.  Each
-elementary packet starts with a random-access point.  ``demux`` parses the tables, checks sync bytes,
-continuity counters and checksums, and reassembles the elementary packets.
+elementary packet starts with a random-access point.  ``streams`` parses the tables (over several packets
+if need be) of all programs, checks sync bytes, checksums and the continuity counters of every packet
+identifier, drops repeated packets, and reassembles the elementary packets of every stream, of open length
+too.  ``demux`` is its first stream.  The time stamps and random-access points are stored in ``units``.
 
 Cases: null text is the empty text; the payload has at least one unit; texts of any length are handled
-whole; equal texts give equal streams; a damaged stream raises ``ValueError``.
+whole; equal texts give equal streams, so ties and repeated rows change nothing; rows without an id are kept;
+other columns, whatever their names, are never read; an empty table gives an empty result; a damaged stream
+raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from gridgauge.llm.common import per_batch, with_text
 
 # Fixed values of the transport stream format.
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID, PROGRAM, PRIVATE_TYPE, STREAM_ID = 188, 0x47, 0, 0x1000, 0x100, 1, 0x06, 0xBD
-CLOCK = 90_000
+CLOCK, NULL_PID = 90_000, 0x1FFF
 #: Payload bytes of one elementary packet, and the ticks from one to the next.
 UNIT, TICKS = 48_000, 1800
 PAD = 192
@@ -99,52 +103,124 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def parse_section(packet: bytes, table_id: int) -> bytes:
-    at = 5 + packet[4]
-    size = (packet[at + 1] & 15) << 8 | packet[at + 2]
-    said = packet[at : at + 3 + size]
-    if said[0] != table_id or crc32_mpeg(said):
-        raise ValueError("a damaged table")
-    return said[8:-4]
-
-
-def demux(media: bytes) -> tuple[bytes, list[dict]]:
-    """Payload, and one entry for each elementary packet: time stamp, payload offset, byte of its packet, random access."""
+def sections(p: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """The sections that the packets ``p`` of one identifier carry, checksums tested, each once."""
+    held, out = bytearray(), {}
+
+    def take(done: bool) -> None:
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + ((held[1] & 15) << 8 | held[2])
+            if len(held) < size:
+                break
+            said = bytes(held[:size])
+            if crc32_mpeg(said):
+                raise ValueError("a damaged table")
+            out[said[0], said[3:5], said[6]] = said
+            del held[:size]
+        if done:
+            held.clear()
+
+    begun = False
+    for row, at in zip(p, begins.tolist()):
+        data = row[at:].tobytes()
+        if row[1] & 0x40:
+            if begun:
+                held += data[1 : 1 + data[0]]
+                take(True)
+            held += data[1 + data[0] :]
+            begun = True
+        elif begun:
+            held += data
+        take(False)
+    return list(out.values())
+
+
+def streams(media: bytes) -> list[dict]:
+    """All elementary streams by program and place in its map: ``program``, ``pid``, ``type``, ``payload`` and ``units``.
+
+    A unit is an elementary packet: time stamp (or none), payload offset, byte of its packet, random access.
+    """
     if len(media) % PACKET or not media:
         raise ValueError("not whole packets")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (p[:, 0] != SYNC).any() or (p[:, 1] & 0x80).any():
         raise ValueError("a packet without sync or with an error mark")
     pid = (p[:, 1].astype(np.int32) & 31) << 8 | p[:, 2]
-    pat = parse_section(p[np.flatnonzero(pid == PAT_PID)[0]].tobytes(), 0)
-    pmt_pid = next((pat[k + 2] & 31) << 8 | pat[k + 3] for k in range(0, len(pat), 4) if pat[k] << 8 | pat[k + 1])
-    pmt = parse_section(p[np.flatnonzero(pid == pmt_pid)[0]].tobytes(), 2)
-    at = 4 + ((pmt[2] & 15) << 8 | pmt[3])
-    own = np.flatnonzero(pid == ((pmt[at + 1] & 31) << 8 | pmt[at + 2]))
-    q = p[own]
-    control = q[:, 3] >> 4 & 3
-    carries = (control & 1).astype(bool)
-    counters = (q[carries, 3] & 15).astype(np.int64)
-    if ((np.diff(counters) - 1) % 16).any():
-        raise ValueError("a packet is lost or repeated")
-    begins = np.where(control >= 2, 5 + q[:, 4].astype(np.int64), 4)
+    control = p[:, 3] >> 4 & 3
+    begins = np.where(control >= 2, 5 + p[:, 4].astype(np.int64), 4)
+    if (begins > PACKET).any():
+        raise ValueError("an adaptation field beyond its packet")
+    of: dict[int, np.ndarray] = {}
+    for x in np.unique(pid[pid != NULL_PID]).tolist():
+        own = np.flatnonzero((pid == x) & (control & 1).astype(bool))
+        step = np.diff((p[own, 3] & 15).astype(np.int64)) % 16
+        again = np.flatnonzero(step == 0) + 1
+        if len(again):  # a packet may come twice
+            if (p[own[again], 4:] != p[own[again - 1], 4:]).any() or (np.diff(again) == 1).any():
+                raise ValueError("a packet is lost or repeated")
+            own = np.delete(own, again)
+            step = np.diff((p[own, 3] & 15).astype(np.int64)) % 16
+        jumps = np.flatnonzero(step != 1) + 1
+        told = (control[own[jumps]] >= 2) & (p[own[jumps], 4] > 0) & (p[own[jumps], 5] & 0x80 > 0)  # a break that the stream announces
+        if not told.all():
+            raise ValueError("a packet is lost or repeated")
+        of[x] = own
+    none = np.zeros(0, np.int64)
+    out = []
+    pat = sections(p[of.get(PAT_PID, none)], begins[of.get(PAT_PID, none)])
+    if not pat:
+        raise ValueError("no program table")
+    for table in pat:
+        for k in range(8, len(table) - 4, 4):
+            program, pmt_pid = table[k] << 8 | table[k + 1], (table[k + 2] & 31) << 8 | table[k + 3]
+            if not program:
+                continue
+            own = of.get(pmt_pid, none)
+            maps = [x for x in sections(p[own], begins[own]) if x[0] == 2 and x[3] << 8 | x[4] == program]
+            if not maps:
+                raise ValueError("a program without a map")
+            pmt = maps[-1][8:-4]
+            at = 4 + ((pmt[2] & 15) << 8 | pmt[3])
+            while at + 5 <= len(pmt):
+                stream = (pmt[at + 1] & 31) << 8 | pmt[at + 2]
+                own = of.get(stream, none)
+                payload, units = elementary(p[own], control[own], begins[own], own)
+                out.append({"program": program, "pid": stream, "type": pmt[at], "payload": payload, "units": units})
+                at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
+    return out
+
+
+def elementary(q: np.ndarray, control: np.ndarray, begins: np.ndarray, own: np.ndarray) -> tuple[bytes, list[dict]]:
+    """Payload and units of one stream's packets."""
     starts = np.flatnonzero(q[:, 1] & 0x40)
-    payload, entries, size = [], [], 0
+    if len(q) and (not len(starts) or starts[0]):
+        raise ValueError("an elementary packet without its beginning")
+    payload, units, size = [], [], 0
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(q)]):
-        body = bytearray(q[a, begins[a] :].tobytes())
-        k = a + 1
-        plain = b - k - (1 if b > k and control[b - 1] >= 2 else 0)
-        body += q[k : k + plain, 4:].tobytes()
-        for j in range(k + plain, b):
+        odd = np.flatnonzero(control[a:b] >= 2) + a
+        body, k = bytearray(), a
+        for j in odd.tolist():  # packets with an adaptation field stand between runs of plain ones
+            body += q[k:j, 4:].tobytes()
             body += q[j, begins[j] :].tobytes()
-        if body[:3] != b"\x00\x00\x01" or (body[4] << 8 | body[5]) != len(body) - 6:
+            k = j + 1
+        body += q[k:b, 4:].tobytes()
+        said = body[4] << 8 | body[5] if len(body) >= 9 else -1
+        if body[:3] != b"\x00\x00\x01" or said and said != len(body) - 6 or len(body) < 9 + body[8]:
             raise ValueError("a damaged elementary packet")
-        part = body[9 + body[8] :]
+        part = bytes(body[9 + body[8] :])
         access = bool(control[a] & 2 and q[a, 4] and q[a, 5] & 0x40)
-        entries.append({"pts": read_stamp(body[9:14]), "offset": size, "packet": int(own[a]) * PACKET, "random_access": access})
-        payload.append(bytes(part))
+        units.append({"pts": read_stamp(body[9:14]) if body[7] & 0x80 else None, "offset": size, "packet": int(own[a]) * PACKET, "random_access": access})
+        payload.append(part)
         size += len(part)
-    return b"".join(payload), entries
+    return b"".join(payload), units
+
+
+def demux(media: bytes) -> tuple[bytes, list[dict]]:
+    """Payload and units of the first stream."""
+    found = streams(media)
+    if not found:
+        raise ValueError("no stream")
+    return found[0]["payload"], found[0]["units"]
 
 
 def padded(raw: bytes) -> bytes:

@@ -293,11 +293,9 @@ def brute_hits(texts, items, verify=0.5):
     for item, t in items.items():
         q, a = decontaminate.question_answer(t)
         g = [(p, min(5, len(p)), decontaminate.grams(p, 5)) for p in (q, a)]
-        total = sum(len(x) for *_, x in g)
         for i, d in texts.items():
             w = decontaminate.words(d)
-            hits = sum(len(x & {b" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}) for _, n, x in g if n)
-            if total and hits >= verify * total:
+            if g[0][2] | g[1][2] and all(len(x & {b" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}) >= verify * len(x) for _, n, x in g if n):
                 want.add((i, item))
     return want
 
