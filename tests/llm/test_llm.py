@@ -265,13 +265,34 @@ def test_sharding(spark, sf_dir, texts):
     groups = Counter()
     for t in texts.values():
         groups[t] += len(t.encode()) + 16
-    assert max(loads.values()) <= 1.1 * max(max(groups.values()), sum(groups.values()) / 40)
+    # A plain heap with one entry a group gives each shard as many groups of each size.
+    want = plain_schedule(groups.values(), 40)
+    had = Counter((groups[t.decode()], *s) for t, s in of_text.items())
+    assert had == Counter(want)
+
+
+def plain_schedule(sizes, shards):
+    import heapq
+
+    heap, out = [(0, k) for k in range(shards)], []
+    for size in sorted(sizes, reverse=True):
+        load, k = heapq.heappop(heap)
+        out.append((size, k))
+        heapq.heappush(heap, (load + size, k))
+    return out
 
 
 def test_schedule():
-    jobs = [(7, "a"), (5, "b"), (5, "c"), (4, "d"), (3, "e")]
-    assert sharding.schedule(jobs, 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
-    assert sharding.schedule([], 3) == {}
+    rng = random.Random(7)
+    assert sharding.schedule([], 3) == []
+    for _ in range(300):
+        sizes = Counter(rng.choice((1, 2, 3, 5, 8, rng.randint(1, 400))) for _ in range(rng.choice((3, 30, 900))))
+        shards = rng.randint(1, 9)
+        got = Counter()
+        for size, ends, order in sharding.schedule(list(sizes.items()), shards):
+            for k in range(shards):
+                got[size, k] += (np.diff([0, *ends])[k] if ends else 0) + order.count(k)
+        assert +got == Counter(plain_schedule(sizes.elements(), shards))
 
 
 def test_sharding_odd(spark, odd, monkeypatch):
