@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Paths of the tables that are written while ``scratch`` is open.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, read back without its lineage; and the table's path."""
     path = f"{shared_dir(df.sparkSession)}/gridgauge-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def drop_written(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Drop what ``written`` writes inside, but for the paths that are handed to the function it gives."""
+    kept: set[str] = set()
+    _made.append([])
+    try:
+        yield kept.add
+    finally:
+        drop_written(spark, *(x for x in _made.pop() if x not in kept))
 
 
 def with_text(df: DataFrame, text_col: str, *others: tuple[str, str]) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgauge.llm.common import per_batch, with_text, words, written
+from gridgauge.llm.common import drop_written, per_batch, with_text, words, written
 
 K1, B = 1.2, 0.75
 #: Items of one block; bytes of item text in one broadcast index, at most: larger benchmarks are searched in parts.
@@ -199,7 +199,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         said = [words(x) for x in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("item"), b.column("text"), pa.array([sorted({w.decode() for w in x}) for x in said], pa.list_(pa.string())), pa.array(map(len, said), pa.int64())], names=["item", "text", "terms", "n"])
 
-    items, _ = written(per_batch(with_text(benchmark.where(F.col(item_col).isNotNull()), item_text_col, (item_col, "item")), lambda: tokens, f"item {kinds['item']}, text string, terms array<string>, n long").where("n > 0"))
+    items, path = written(per_batch(with_text(benchmark.where(F.col(item_col).isNotNull()), item_text_col, (item_col, "item")), lambda: tokens, f"item {kinds['item']}, text string, terms array<string>, n long").where("n > 0"))
     count, mean, size = items.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_parts = max(1, -(-size // INDEX_BYTES))
     part_of = F.pmod(F.xxhash64("item", "text"), F.lit(n_parts))
@@ -230,6 +230,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         found = per_batch(docs, make, schema)
         out = found if out is None else out.unionByName(found)
+    drop_written(df.sparkSession, path)
     return out
 
 

@@ -7,19 +7,25 @@ within ``m`` of ``v`` go one way, the others the other way.  By the triangle bou
 are sent along as visitors to the outer side, and visitors follow each branch that the bound leaves
 open.  Inside a shard the tree goes on down to small leaves, which are compared exactly.
 
-A node may measure distance on all 64 bits (radius ``r``) or on one half of them (radius ``r // 2``): two
-fingerprints within ``r`` are within ``r // 2`` in at least one half, so one tree for each half finds every
-pair, and half distances prune far more.  Linked fingerprints join inside a shard first; what is left
-between shards is closed by alternating star contraction, each round a written table.
+A node may measure distance on all 64 bits (radius ``r``) or on a part of them.  Fingerprints are cut into
+``r + c`` blocks; two within ``r`` of each other agree in at least ``c`` of them, so one tree for each choice of
+``c`` blocks, with radius 0 on those, finds every pair.  Such a node sends no visitors, so the rows that are
+shuffled are as many as there are choices, whatever the number of shards: 5 for each fingerprint with one
+block, 15 with two.  ``c`` grows with the number of fingerprints (``choices``); the result doesn't depend on
+it.  A shard that would hold too many is split further by the hash of its blocks, as linked ones agree in
+them.  Linked fingerprints join inside a shard first; what is left between shards is closed by alternating
+star contraction, each round a written table.
 
 Cases: null text is empty; a text without words has fingerprint zero and links like any other; repeated
-ids and rows are kept, an id's smallest reachable id is its component; an empty table gives an empty
-result; texts are read whole, in blocks.
+ids and rows are kept, an id's smallest reachable id is its component; rows without an id are kept, alone in
+their component if no id is reachable; other columns, whatever their names, are never read; an empty table
+gives an empty result; texts are read whole, in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +36,26 @@ from pyspark.sql import functions as F
 from gridgauge.llm.common import drop_written, per_batch, with_text, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
 FULL = 0xFFFFFFFFFFFFFFFF
 #: Fingerprints that the upper tree is fitted to, at most; fingerprints of one shard, about; shards of one tree, at least.
 SAMPLE, SHARD, LEAST_SHARDS = 16_384, 65_536, 8
 LEAF = 256
+#: An odd factor that spreads the bits of a fingerprint.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of one fingerprint from which it is hot: a thousandth of all, and this many.
 HOT, HOT_ROWS = 1000, 200
 
 
+def choices(n: int, radius: int) -> list[int]:
+    """Masks of ``c`` of ``radius + c`` blocks of 64 bits, all choices; ``c`` is the least whose blocks have values enough for shards of ``SHARD``."""
+    c = 1
+    while (1 << 64 * c // (radius + c)) * SHARD < n and c < 4:
+        c += 1
+    cuts = [64 * k // (radius + c) for k in range(radius + c + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(x) for x in combinations(blocks, c)]
+
+
 def fingerprint(text: str, words: int = 4, block: int = 1 << 16) -> int:
     """Majority bits over the hashes of all word shingles of ``text``; ``block`` bounds memory."""
     parts = text.encode().translate(LOWER).split()
@@ -74,17 +91,17 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class Tree:
     """Upper levels of a vantage-point tree: for each inner node mask, radius, vantage point, distance and children; leaves are shards."""
 
-    def __init__(self, sample: np.ndarray, half: int, radius: int, leaf: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, part: int, radius: int, leaf: int, seed: int = 7):
         self.nodes: list[tuple] = []
         self.shards = 0
         self.rng = np.random.default_rng(seed)
-        self.root = self.grow(sample, half, radius, max(leaf, 2))
+        self.root = self.grow(sample, part, radius, max(leaf, 2))
 
-    def grow(self, x: np.ndarray, half: int, radius: int, leaf: int) -> int:
+    def grow(self, x: np.ndarray, part: int, radius: int, leaf: int) -> int:
         """Number of the node, or -1 - shard of a leaf."""
         best = None
         if len(x) > leaf:
-            for mask, r in ((half, radius // 2), (FULL, radius)):
+            for mask, r in ((part, 0), (FULL, radius)):
                 v = x[self.rng.integers(len(x))]
                 d = np.bitwise_count((x ^ v) & np.uint64(mask)).astype(np.int64)
                 m = int(np.median(d))
@@ -102,7 +119,7 @@ class Tree:
         _, mask, r, v, m, d = best
         at = len(self.nodes)
         self.nodes.append(())
-        self.nodes[at] = (np.uint64(mask), r, v, m, self.grow(x[d <= m], half, radius, leaf), self.grow(x[d > m], half, radius, leaf))
+        self.nodes[at] = (np.uint64(mask), r, v, m, self.grow(x[d <= m], part, radius, leaf), self.grow(x[d > m], part, radius, leaf))
         return at
 
     def route(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -146,7 +163,7 @@ class Links:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def shard_links(home: np.ndarray, visiting: np.ndarray, half: int, radius: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(home: np.ndarray, visiting: np.ndarray, part: int, radius: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smaller fingerprint that it is linked to) for all that any link joins in this shard.
 
     Home items are compared with each other and with the visitors.
@@ -160,7 +177,7 @@ def shard_links(home: np.ndarray, visiting: np.ndarray, half: int, radius: int,
         if len(h) > LEAF:
             x = every[h]
             best = None
-            for mask, r in ((half, radius // 2), (FULL, radius)):
+            for mask, r in ((part, 0), (FULL, radius)):
                 v = x[rng.integers(len(x))]
                 d = np.bitwise_count((x ^ v) & np.uint64(mask)).astype(np.int64)
                 m = int(np.median(d))
@@ -206,23 +223,32 @@ def links_between(fps: DataFrame, radius: int = 4) -> DataFrame:
     n = fps.count()
     some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / max(n, 1))).limit(2 * SAMPLE)
     sample = np.sort(np.array([r[0] for r in some.collect()], np.int64)).view(np.uint64)
+    masks = choices(n, radius)
     leaf = len(sample) * min(SHARD / max(n, 1), 1 / LEAST_SHARDS)
-    trees = [Tree(sample, half, radius, int(leaf)) for half in HALVES]
-    bases = [0, trees[0].shards]
+    trees = [Tree(sample, part, radius, int(leaf)) for part in masks]
+    splits = [max(1, int(n / (SHARD * tree.shards))) for tree in trees]
+    bases = np.cumsum([0, *(tree.shards * split for tree, split in zip(trees, splits))]).tolist()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("fp").to_numpy().view(np.uint64)
-            parts = [(base + shard, part, visits) for tree, base in zip(trees, bases) for shard, home, visiting in tree.route(x) for part, visits in ((home, False), (visiting, True))]
-            n = [len(part) for _, part, _ in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([k for k, _, _ in parts], np.int32), n)), pa.array(np.concatenate([part for _, part, _ in parts]).view(np.int64)), pa.array(np.repeat([v for _, _, v in parts], n))], names=["shard", "fp", "visits"])
+            shards, fps_, visits = [], [], []
+            for tree, part, split, base in zip(trees, masks, splits, bases):
+                for shard, *both in tree.route(x):
+                    for y, v in zip(both, (False, True)):
+                        own = ((y & np.uint64(part)) * SPREAD >> np.uint64(33)) % np.uint64(split)
+                        shards.append(base + shard * split + own.astype(np.int64))
+                        fps_.append(y)
+                        visits.append(np.full(len(y), v))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(np.concatenate(fps_).view(np.int64)), pa.array(np.concatenate(visits))], names=["shard", "fp", "visits"])
 
     def search(key, t):
         x, v = t.column("fp").to_numpy().view(np.uint64), t.column("visits").to_numpy()
-        a, b = shard_links(x[~v], x[v], HALVES[key[0].as_py() >= bases[1]], radius)
+        part = masks[int(np.searchsorted(bases, key[0].as_py(), "right")) - 1]
+        a, b = shard_links(x[~v], x[v], part, radius)
         return pa.table({"fp": a.view(np.int64), "to": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(deal, "shard int, fp long, visits boolean").groupBy("shard").applyInArrow(search, "fp long, to long")
+    return fps.select("fp").mapInArrow(deal, "shard long, fp long, visits boolean").groupBy("shard").applyInArrow(search, "fp long, to long")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -254,14 +280,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` (the smallest reachable id) of every row."""
     docs, _ = written(fingerprints(df, id_col, text_col, words))
-    fps, _ = written(docs.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
-    found, _ = written(links_between(fps, radius))
+    fps, fps_path = written(docs.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
+    found, found_path = written(links_between(fps, radius))
     joined = components(found, "fp", "to")
     # Only fingerprints that some link joins need their component's smallest id; the others have their own.
     linked = fps.join(joined, fps.fp == joined.node).select("fp", "root", "least")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component"))
     own = linked.join(of_root, "root").select("fp", "component")
     final, _ = written(fps.join(own, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id")))
+    drop_written(df.sparkSession, fps_path, found_path)
     return with_component(docs, final).select(id_col, "fp", "component_id")
 
 
@@ -287,16 +314,25 @@ def digest(text_col: str):
 def keep_firsts(df: DataFrame, docs: DataFrame, links: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``df`` with one row of each component: of the smallest id, and of that id's texts there the one of the smallest digest.
 
-    ``docs`` has id, ``digest`` and ``fp`` of each row, ``links`` (fp, to) edges.  Rows without an id are kept as they are.
+    ``docs`` has id, ``digest`` and ``fp`` of each row, ``links`` (fp, to) edges.  All is decided on these; texts meet
+    only the keys that go, in an anti-join.  Of rows of equal id and text the one of the smallest hash of all columns
+    stays.  Rows without an id are kept as they are.
     """
-    firsts = docs.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("gridgauge_id"), F.col("digest").alias("gridgauge_digest"))).alias("first"))
+    keys = docs.groupBy(F.col(id_col).alias("gridgauge_id"), F.col("digest").alias("gridgauge_digest")).agg(F.min("fp").alias("fp"), F.count("*").alias("rows"))
+    keys, _ = written(keys)
+    firsts = keys.groupBy("fp").agg(F.min(F.struct("gridgauge_id", "gridgauge_digest")).alias("first"))
     joined = components(links, "fp", "to")
     rooted = firsts.join(joined, firsts.fp == joined.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    kept = df.join(stay, (df[id_col] == stay["gridgauge_id"]) & (digest(text_col) == stay["gridgauge_digest"]), "left_semi")
-    first = Window.partitionBy(id_col, digest(text_col)).orderBy(F.lit(0))
-    kept = kept.withColumn("gridgauge_nth", F.row_number().over(first)).where("gridgauge_nth = 1").drop("gridgauge_nth")
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    on = ["gridgauge_id", "gridgauge_digest"]
+    stays, _ = written(keys.join(stay.withColumn("stays", F.lit(True)), on, "left").select(*on, "rows", F.coalesce("stays", F.lit(False)).alias("stays")).where("not stays or rows > 1"))
+    same = lambda d: (df[id_col] == d["gridgauge_id"]) & (digest(text_col) == d["gridgauge_digest"])
+    kept = df.join(stays, same(stays), "left_anti")
+    again = stays.where("stays").select(*on)
+    if again.isEmpty():
+        return kept
+    one = F.min_by(F.struct(*df.columns), F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])).alias("one")
+    return kept.unionByName(df.join(again, same(again), "left_semi").groupBy(F.col(id_col).alias("gridgauge_id"), digest(text_col).alias("gridgauge_digest")).agg(one).select("one.*"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:

@@ -187,8 +187,11 @@ def test_simhash_brute_force(spark, sf_dir, texts):
         assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == want[r.doc_id]
 
 
-def test_simhash_links_of_random_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize(("shard", "masks"), [(65_536, 5), (1 << 4, 5), (1, 5), (1 / 64, 15)])
+def test_simhash_links_of_random_fingerprints(spark, monkeypatch, shard, masks):
     monkeypatch.setattr(simhash, "LEAF", 16)
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    assert len(simhash.choices(800, 4)) == masks
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     near = base.copy()
@@ -208,6 +211,16 @@ def test_simhash_links_of_random_fingerprints(spark, monkeypatch):
     assert sorted(map(sorted, group.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_replication_is_bounded():
+    """Rows that are shuffled for each fingerprint, at 10 and 100 million."""
+    rng = np.random.default_rng(1)
+    sample, x = np.sort(rng.integers(0, 1 << 64, simhash.SAMPLE, np.uint64)), rng.integers(0, 1 << 64, 20_000, np.uint64)
+    for n, most in ((10**7, 5.5), (10**8, 6.5)):
+        leaf = int(len(sample) * simhash.SHARD / n)
+        sent = sum(len(h) + len(v) for m in simhash.choices(n, 4) for _, h, v in simhash.Tree(sample, m, 4, leaf).route(x))
+        assert 5 * len(x) <= sent < most * len(x)
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges, "a", "b").collect()}
@@ -448,13 +461,13 @@ def test_bpe_odd(spark, odd):
 
 def test_pipeline_brute_force(spark, sf_dir, docs, labels, tokenizer):
     import corpus_pipeline
+    from test_nearcopies import brute_kept
 
     rows = {r.doc_id: r.text for r in docs.collect()}
     model = toxicity.train(docs, labels)
     toxic = {r.doc_id for r in toxicity.grade(docs, model).where("toxic = 1").collect()}
     civil = {i: t for i, t in rows.items() if i not in toxic}
-    comp = brute_components({i: brute_fp(t) for i, t in civil.items()})
-    unique = {i: t for i, t in civil.items() if comp[i] == i}
+    unique = {i: civil[i] for i in brute_kept(civil)}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     leaks = {i for i, _ in brute_hits(unique, items)}
     clean = {i: t for i, t in unique.items() if i not in leaks}

@@ -63,3 +63,36 @@ def test_keep_one_repeated_id_of_different_texts(spark):
     for own in ("another text that stands for itself", "a third one that is no copy of any", "words of a fourth text alone"):
         df = spark.createDataFrame([(0, copied), (1, copied), (1, own)], "doc_id long, text string")
         assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(0, copied), (1, own)]
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Nulls, repeated ids with equal and different texts, an empty table; nothing clean is lost and nothing is left behind."""
+    rows = [(1, None, None), (2, "", "s"), (3, "clean words of a third text that stands alone", "s"), (3, "a fourth text with the same id but other words in it", "s"), (None, "no id here", "s"), (5, "clean words of a third text that stands alone", "t"), (3, "clean words of a third text that stands alone", "s")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], schema)
+    for name, d in (("some", df), ("none", df.limit(0))):
+        sf = tmp_path / name
+        d.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (900, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, str(sf)).collect()
+        assert sorted((r.doc_id or 0) for r in got) == ([0, 1, 3, 3] if name == "some" else [])
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    df = spark.createDataFrame([(1, "same text of a few words here", s) for s in "abcab"], "doc_id long, text string, source string")
+    want = simhash.keep_one(df).collect()
+    assert len(want) == 1 and all(simhash.keep_one(df.orderBy(F.rand(k)).repartition(3)).collect() == want for k in range(3))
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from gridgauge.llm.common import scratch, shared_dir, written
+
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    with scratch(spark) as keep:
+        written(spark.range(3))
+        df, path = written(spark.range(4))
+        keep(path)
+    assert df.count() == 4 and len(set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before) == 1
