@@ -32,8 +32,8 @@ def match(pred: DataFrame, truth: DataFrame, page: str = "page", least: float =
     """
     def celled(df: DataFrame, name: str) -> DataFrame:
         at = lambda c: F.floor(F.col(c) / CELL).cast("int")
-        rows, cols = F.explode(F.sequence(at("y0"), at("y1"))), F.explode(F.sequence(at("x0"), at("x1")))
-        return df.select(page, F.col("id").alias(f"{name}_id"), F.struct("x0", "y0", "x1", "y1").alias(name), rows.alias("gy")).join(df.select(page, F.col("id").alias(f"{name}_id"), cols.alias("gx")), [page, f"{name}_id"])
+        rows, cols = F.explode(F.sequence(at("y0"), at("y1"))), F.sequence(at("x0"), at("x1")).alias("cols")
+        return df.select(page, F.col("id").alias(f"{name}_id"), F.struct("x0", "y0", "x1", "y1").alias(name), cols, rows.alias("gy")).select(page, f"{name}_id", name, "gy", F.explode("cols").alias("gx"))
 
     a, b = celled(pred, "pred"), celled(truth, "true")
     pairs = a.join(b, [page, "gx", "gy"])
@@ -59,8 +59,11 @@ CELL = 200.0
 
 def detection(pred: DataFrame, truth: DataFrame, matched: DataFrame) -> DataFrame:
     """AGG-33: true and false positives, false negatives, precision, recall, F1 and mean IoU over all pages."""
-    p, t = pred.agg(F.count("*").alias("n_pred")), truth.agg(F.count("*").alias("n_true"))
-    got = matched.agg(F.count("*").alias("tp"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou")).join(p).join(t)
+    side = lambda df, p, t, m, iou: df.select(F.lit(p).alias("p"), F.lit(t).alias("t"), F.lit(m).alias("m"), iou.alias("iou"))
+    none = F.lit(None).cast("double")
+    every = side(pred, 1, 0, 0, none).unionByName(side(truth, 0, 1, 0, none)).unionByName(side(matched, 0, 0, 1, F.col("iou")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    got = every.agg(total("p").alias("n_pred"), total("t").alias("n_true"), total("m").alias("tp"), F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return got.select("tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_true") - F.col("tp")).alias("fn"), ratio(F.col("tp"), F.col("n_pred")).alias("precision"), ratio(F.col("tp"), F.col("n_true")).alias("recall"), ratio(2 * F.col("tp"), F.col("n_pred") + F.col("n_true")).alias("f1"), "mean_iou")
 

@@ -5,6 +5,8 @@ Pairs have key columns and the arrays ``pred_headers``, ``pred_rows``, ``true_he
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -86,33 +88,48 @@ def grid(headers: Column, rows: Column) -> Column:
     return F.concat(F.when(F.size(heads) > 0, F.array(heads)).otherwise(tb.no_rows()), normal(rows))
 
 
-def multiset_jaccard(a: Column, b: Column) -> Column:
-    """Shared cells over all cells, as multisets; of two empty ones 1."""
-    n = lambda s, x: F.size(F.filter(s, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(n(a, x), n(b, x)))
-    every = F.size(a) + F.size(b) - shared
-    return F.when(every == 0, 1.0).otherwise(shared / every)
-
-
 def columns_of(g: Column) -> Column:
     """Columns of a grid; rows that are too short have no cell in a column."""
     return F.transform(tb.numbers_to(F.coalesce(F.array_max(F.transform(g, F.size)), F.lit(0))), lambda i: F.transform(F.filter(g, lambda r: F.size(r) > i), lambda r: F.get(r, i)))
 
 
-def best_mean(a: Column, b: Column) -> Column:
-    """Mean over ``a`` of the best likeness to any of ``b``; two empty ones 1, one empty 0.  Not symmetric."""
-    total = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.array_max(F.transform(b, lambda y: multiset_jaccard(x, y))))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(total / F.size(a))
+def likeness(a: list[list[str]], b: list[list[str]]) -> float:
+    """Mean over the lines of ``a`` of the best likeness to any of ``b``, shared cells over all cells as multisets; two empty ones 1, one empty 0.  Not symmetric."""
+    if not a or not b:
+        return float(not a and not b)
+    places: dict[str, list[tuple[int, int]]] = {}
+    for j, line in enumerate(b):
+        for cell, n in Counter(line).items():
+            places.setdefault(cell, []).append((j, n))
+    held = {cell: np.array(x).T for cell, x in places.items()}
+    sizes = np.array([len(x) for x in b])
+    total = 0.0
+    for line in a:
+        shared = np.zeros(len(b), np.int64)
+        for cell, n in Counter(line).items():
+            if cell in held:
+                j, m = held[cell]
+                shared[j] += np.minimum(m, n)
+        every = len(line) + sizes - shared
+        total += float(np.where(every == 0, 1.0, shared / np.maximum(every, 1)).max())
+    return total / len(a)
 
 
 def grits(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """MTH-04 to MTH-06: likeness of shape, of rows and of columns; row by row, without a shuffle."""
+    """MTH-04 to MTH-06: likeness of shape, of rows and of columns; pair by pair in Arrow batches, without a shuffle."""
     t = pairs.select(*keys, grid(F.col("pred_headers"), F.col("pred_rows")).alias("p"), grid(F.col("true_headers"), F.col("true_rows")).alias("t"))
     t = t.withColumns({"pc": columns_of(F.col("p")), "tc": columns_of(F.col("t"))})
     ratio = lambda a, b: F.when(F.greatest(F.size(a), F.size(b)) > 0, F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))).otherwise(1.0)
     none, one = (F.size("p") == 0) & (F.size("t") == 0), (F.size("p") == 0) | (F.size("t") == 0)
-    top = F.when(none, 1.0).when(one, 0.0).otherwise(ratio("p", "t") * ratio("pc", "tc"))
-    return t.select(*keys, top.alias("grits_top"), best_mean(F.col("p"), F.col("t")).alias("grits_con"), best_mean(F.col("pc"), F.col("tc")).alias("grits_loc"))
+    t = t.withColumn("grits_top", F.when(none, 1.0).when(one, 0.0).otherwise(ratio("p", "t") * ratio("pc", "tc")))
+    kinds = dict(t.dtypes)
+
+    def run(batches):
+        for b in batches:
+            said = [pa.array([likeness(x, y) for x, y in zip(b.column(c).to_pylist(), b.column(d).to_pylist())], pa.float64()) for c, d in (("p", "t"), ("pc", "tc"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("grits_top"), *said], names=[*keys, "grits_top", "grits_con", "grits_loc"])
+
+    return t.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "grits_top double, grits_con double, grits_loc double"]))
 
 
 def scores(pairs: DataFrame, keys: list[str], zero: Column | None = None) -> DataFrame:

@@ -128,7 +128,7 @@ def percent_quality(tables: DataFrame, by: list[str]) -> DataFrame:
     """AGG-51: whole percent of the most that a run's tables could score, 1.5 each: headers .5, rows .5, completeness .5."""
     h, r = F.col("headers"), F.col("rows")
     one = F.when(F.size(h) > 0, 0.5).otherwise(0.0) + F.when(F.size(r) > 0, 0.5).otherwise(0.0) + 0.5 * tb.completeness(h, r)
-    return tables.groupBy(*by).agg(F.floor(100 * F.sum(one) / (1.5 * F.count("*"))).alias("percent"))
+    return tables.groupBy(*by).agg(F.floor(F.round(100 * F.sum(one) / (1.5 * F.count("*")), 9)).alias("percent"))
 
 
 def preservation(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:

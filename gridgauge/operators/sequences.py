@@ -120,8 +120,9 @@ def consolidate(tables: DataFrame, by: list[str]) -> DataFrame:
     """WIN-18, TBL-41: tables of the same header names in any order become one; a data-like header is a row, a repeated header row goes."""
     key = F.array_join(F.array_sort(text.headers(F.col("headers"))), "|")
     rows = F.when(text.headers_look_like_data(F.col("headers")), F.concat(F.array("headers"), F.col("rows"))).otherwise(F.filter("rows", lambda r: r != F.col("headers")))
-    parts = F.array_sort(F.collect_list(F.struct("table_index", rows.alias("rows"))))
-    return tables.groupBy(*by, key.alias("header_key")).agg(F.min_by("headers", "table_index").alias("headers"), F.flatten(F.transform(parts, lambda p: p["rows"])).alias("rows"), F.min("table_index").alias("table_index"), F.count("*").alias("merged_from"))
+    t = tables.select(*by, key.alias("header_key"), "table_index", F.col("headers").alias("heads"), rows.alias("own"))
+    parts = F.array_sort(F.collect_list(F.struct("table_index", F.col("own").alias("rows"))))
+    return t.groupBy(*by, "header_key").agg(F.min_by("heads", "table_index").alias("headers"), F.flatten(F.transform(parts, lambda p: p["rows"])).alias("rows"), F.min("table_index").alias("table_index"), F.count("*").alias("merged_from"))
 
 
 def context(lines: DataFrame, by: list[str], order: str, line: str, around: int = 2) -> DataFrame:

@@ -126,9 +126,12 @@ def src_03_document(spark, sf_dir):
     return document(bridge.documents(spark, sf_dir), 7).select("document_id", "filename")
 
 
-@query("select extraction_result_id, table_index from fx_extraction where document_id = 7 and tool_name = 'mistral' order by table_index", "tables")
+@query("select document_id, extraction_result_id, table_index from fx_extraction where tool_name = 'mistral' and document_id = (select min(document_id) from fx_extraction where tool_name = 'mistral') order by table_index", "tables")
 def src_04_run(spark, sf_dir):
-    return bridge.extractions(spark, sf_dir).where((F.col("document_id") == 7) & (F.col("tool_name") == "mistral")).select("extraction_result_id", "table_index").orderBy("table_index")
+    """The tables of one run: the first document's that mistral read."""
+    own = bridge.extractions(spark, sf_dir).where("tool_name = 'mistral'")
+    first = own.agg(F.min("document_id")).first()[0]
+    return own.where(F.col("document_id") == first).select("document_id", "extraction_result_id", "table_index").orderBy("table_index")
 
 
 @query("select document_id, table_index, confirmed from fx_gt where document_id = 7 order by table_index", "tables")
@@ -170,11 +173,11 @@ def prj_04_05_06_tools(spark, sf_dir):
     return bridge.extractions(spark, sf_dir).select("extraction_result_id", "tool_name", dims.label(t).alias("label"), dims.generation(t).alias("generation"), dims.tool_rank(t).alias("tool_rank"))
 
 
-@query(f"""select extraction_result_id, round(case tool_name {' '.join(f"when '{t}' then {dims.PAGE_PRICE[t]}" for t in dims.TOOLS)} end * page_count + coalesce(case tool_name {' '.join(f"when '{t}' then coalesce(nullif(tin, 0), 1500 * page_count) * {a} / 1000000.0 + coalesce(nullif(tout, 0), 2000 * page_count) * {b} / 1000000.0" for t, (a, b) in dims.TOKEN_PRICE.items())} end, 0), 5) as cost
-  from (select e.extraction_result_id, tool_name, page_count, case when l_partkey % 3 = 0 then null else l_partkey % 4 * 500 end as tin, case when l_partkey % 5 = 0 then null else l_partkey % 6 * 300 end as tout from fx_extraction e join fx_document d using (document_id) where page_count is not null)""", "tables")
+@query(f"""select extraction_result_id, round(case tool_name {' '.join(f"when '{t}' then {dims.PAGE_PRICE[t]}" for t in dims.TOOLS)} end * coalesce(page_count, 0) + coalesce(case tool_name {' '.join(f"when '{t}' then coalesce(nullif(tin, 0), 1500 * coalesce(page_count, 0)) * {a} / 1000000.0 + coalesce(nullif(tout, 0), 2000 * coalesce(page_count, 0)) * {b} / 1000000.0" for t, (a, b) in dims.TOKEN_PRICE.items())} end, 0), 5) as cost
+  from (select e.extraction_result_id, tool_name, page_count, case when l_partkey % 3 = 0 then null else l_partkey % 4 * 500 end as tin, case when l_partkey % 5 = 0 then null else l_partkey % 6 * 300 end as tout from fx_extraction e join fx_document d using (document_id))""", "tables")
 def mth_07_cost(spark, sf_dir):
     part = F.col("l_partkey")
-    rows = bridge.extractions(spark, sf_dir).join(bridge.documents(spark, sf_dir).where("page_count is not null"), "document_id")
+    rows = bridge.extractions(spark, sf_dir).join(bridge.documents(spark, sf_dir), "document_id")
     rows = rows.select("extraction_result_id", "tool_name", "page_count", F.when(part % 3 != 0, part % 4 * 500).alias("input_tokens"), F.when(part % 5 != 0, part % 6 * 300).alias("output_tokens"))
     return cost.with_cost(rows).select("extraction_result_id", F.round("cost_usd", 5).alias("cost"))
 

@@ -116,12 +116,22 @@ def win_13_median_gap_clusters(spark, sf_dir):
     return sequences.clusters_by_median_gap(lines(spark, sf_dir), ["l_orderkey"], "l_partkey").select("l_orderkey", "rn", "cluster")
 
 
-@query()
+@query(f"""with recursive {LINES}, s as (select l_orderkey, rn, l_quantity as q, row_number() over (partition by l_orderkey order by l_quantity, rn) as i from ln),
+  r as (select *, cast(q as double) as total, 1 as n, 0 as cluster from s where i = 1 union all select s.*, case when abs(s.q - total / n) <= 5 then total + s.q else s.q end, case when abs(s.q - total / n) <= 5 then n + 1 else 1 end, case when abs(s.q - total / n) <= 5 then cluster else cluster + 1 end from r join s on s.l_orderkey = r.l_orderkey and s.i = r.i + 1)
+  select l_orderkey, rn, q as l_quantity, cluster from r""", None)
 def win_11_running_mean_clusters(spark, sf_dir):
     return sequences.clusters_by_running_mean(lines(spark, sf_dir).select("l_orderkey", "rn", "l_quantity"), ["l_orderkey"], "l_quantity", 5.0)
 
 
-@query()
+def _leaders_sql(rows: str, least: float) -> str:
+    """Rows (g, i, v) with the group that each joins: the first whose head shares ``least`` of their distinct characters."""
+    alike = f"list_transform(heads, lambda h: len(list_intersect(h, s.c)) / len(list_distinct(list_concat(h, s.c))) >= {least})"
+    return f"""s as (select *, list_distinct(string_split(lower(v), '')) as c from ({rows})),
+  r as (select g, i, v, [c] as heads, 1 as leader from s where i = 1 union all
+    select g, i, v, case when place > 0 then heads else list_append(heads, c) end, case when place > 0 then place else len(heads) + 1 end from (select s.*, heads, coalesce(list_position({alike}, true), 0) as place from r join s on s.g = r.g and s.i = r.i + 1))"""
+
+
+@query(f"with recursive {LINES}, {_leaders_sql('select l_orderkey as g, rn as i, l_returnflag || l_linestatus || l_suppkey as v from ln', 0.6)} select g as l_orderkey, i as rn, v, leader - 1 as leader from r", None)
 def win_17_26_leaders(spark, sf_dir):
     rows = lines(spark, sf_dir).select("l_orderkey", "rn", F.concat("l_returnflag", "l_linestatus", text_of("l_suppkey")).alias("v"))
     return sequences.leaders(rows, ["l_orderkey"], "rn", "v", 0.6)
@@ -200,22 +210,44 @@ def jn_14_inside(spark, sf_dir):
 def _boxes(spark, sf_dir, shift: float) -> DataFrame:
     k = F.col("o_orderkey")
     x, y = (k % 83 * 11 + shift * (k % 3)).cast("double"), (k % 71 * 13).cast("double")
-    return bridge.load(spark, sf_dir, "orders").select((k % 200).alias("page"), k.alias("id"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"), (k % 7).alias("rows"), (k % 5).alias("cols"))
+    return bridge.load(spark, sf_dir, "orders").select(F.floor(k / 64).alias("page"), k.alias("id"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"), (k % 7).alias("rows"), (k % 5).alias("cols"))
+
+
+def _box_sql(name: str, shift: int) -> str:
+    return f"{name} as (select o_orderkey // 64 as page, o_orderkey as id, cast(o_orderkey % 83 * 11 + {shift} * (o_orderkey % 3) as double) as x0, cast(o_orderkey % 71 * 13 as double) as y0, o_orderkey % 7 as rows, o_orderkey % 5 as cols from orders)"
+
+
+#: Pairs of a page from the most alike down, one step a pair; ``used`` holds the boxes that are taken.
+MATCH = f"""with recursive {_box_sql("p", 0)}, {_box_sql("t", 4)},
+  o as (select p.page, p.id as pred, t.id as true_, greatest(least(p.x0, t.x0) + 40 - greatest(p.x0, t.x0), 0.0) * greatest(least(p.y0, t.y0) + 30 - greatest(p.y0, t.y0), 0.0) as s from p join t using (page)),
+  i as (select page, pred, true_, s / (1200.0 + 1200.0 - s) as iou from o where s / (1200.0 + 1200.0 - s) >= 0.5), n as (select *, row_number() over (partition by page order by iou desc, pred, true_) as k from i),
+  g as (select page, pred, true_, iou, k, true as kept, [pred] as used_p, [true_] as used_t from n where k = 1
+    union all select n.page, n.pred, n.true_, n.iou, n.k, not list_contains(used_p, n.pred) and not list_contains(used_t, n.true_), case when not list_contains(used_p, n.pred) and not list_contains(used_t, n.true_) then list_append(used_p, n.pred) else used_p end,
+      case when not list_contains(used_p, n.pred) and not list_contains(used_t, n.true_) then list_append(used_t, n.true_) else used_t end from g join n on n.page = g.page and n.k = g.k + 1),
+  m as (select page, pred, true_, iou from g where kept)"""
 
 
-@query()
+@query(f'{MATCH} select page, pred, true_ as "true", round(iou, 6) as iou from m', None)
 def jn_12_mth_10_box_match(spark, sf_dir):
     return boxes.match(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 4)).withColumn("iou", r6(F.col("iou")))
 
 
-@query()
+@query(f"""{MATCH}, c as (select (select count(*) from p) as np, (select count(*) from t) as nt, (select count(*) from m) as tp) select 'detection' as kind, cast(tp as double) as a, cast(np - tp as double) as b, cast(nt - tp as double) as c, round(tp / np, 6) as d, round(tp / nt, 6) as e, round(2 * tp / (np + nt), 6) as f, (select round(avg(iou), 6) from m) as g from c
+  union all select 'structure', round(avg((p.rows = t.rows)::int), 6), round(avg((p.cols = t.cols)::int), 6), round(avg((p.rows = t.rows and p.cols = t.cols)::int), 6), null, null, null, null from m join p on p.id = pred join t on t.id = true_""", None)
 def agg_33_34_detection(spark, sf_dir):
+    """One line of counts, precision, recall, F1 and mean IoU; one of equal rows, columns and both."""
     p, t = _boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 4)
     m = boxes.match(p, t)
-    return boxes.detection(p, t, m).join(boxes.structure(m, p, t))
+    none = F.lit(None).cast("double")
+    line = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), *[r6(x.cast("double")).alias(n) for n, x in zip("abcdefg", (*c, *[none] * (7 - len(c))))])
+    return line(boxes.detection(p, t, m), "detection", *map(F.col, ("tp", "fp", "fn", "precision", "recall", "f1", "mean_iou"))).unionByName(line(boxes.structure(m, p, t), "structure", *map(F.col, ("rows", "cols", "structure"))))
 
 
-@query()
+@query(f"""with recursive {_box_sql("p", 4)}, n as (select *, row_number() over (partition by page order by id) as k from p),
+  g as (select page, id, x0, y0, k, true as kept, [struct_pack(x := x0, y := y0)] as held from n where k = 1
+    union all select page, id, x0, y0, k, free, case when free then list_append(held, struct_pack(x := x0, y := y0)) else held end
+    from (select n.page, n.id, n.x0, n.y0, n.k, held, len(list_filter(held, lambda b: greatest(least(b.x, n.x0) + 40 - greatest(b.x, n.x0), 0.0) * greatest(least(b.y, n.y0) + 30 - greatest(b.y, n.y0), 0.0) / 1200.0 > 0.5)) = 0 as free from g join n on n.page = g.page and n.k = g.k + 1))
+  select page, id, x0, y0, x0 + 40 as x1, y0 + 30 as y1 from g where kept""", None)
 def srt_10_suppress(spark, sf_dir):
     return boxes.suppress(_boxes(spark, sf_dir, 4).drop("rows", "cols"))
 
@@ -316,8 +348,9 @@ def snk_09_cascade_delete(spark, sf_dir):
     er = bridge.extractions(spark, sf_dir)
     docs = bridge.documents(spark, sf_dir)
     parts = truth.delete_documents(docs, bridge.ground_truth(spark, sf_dir), er, bridge.scores(er), docs.where("document_id % 10 = 0"))
-    one = [p.agg(F.count("*").alias(n)) for p, n in zip(parts, ("docs", "truths", "runs", "scores"))]
-    return one[0].join(one[1]).join(one[2]).join(one[3])
+    names = ("docs", "truths", "runs", "scores")
+    every = [p.select(F.lit(n).alias("part")) for p, n in zip(parts, names)]
+    return every[0].union(every[1]).union(every[2]).union(every[3]).agg(*[F.count_if(F.col("part") == n).alias(n) for n in names])
 
 
 @query("select document_id, table_index, case when document_id % 3 = 0 and table_index = 0 then 'new' else 'old' end as origin from fx_gt union all select document_id, 9, 'new' from fx_document where document_id % 3 = 0", "tables")
@@ -364,9 +397,14 @@ def stm_08_09_latest(spark, sf_dir):
     return _stream(spark, sf_dir, progress.latest, "complete").select("user_id", r6(F.col("value")).alias("value"))
 
 
-@query()
+@query("""with recursive e as (select user_id, ts, epoch_us(ts) / 1e6 as sec, value - 50 as v, row_number() over (partition by user_id order by ts, value) as i from events),
+  r as (select user_id, ts, i, false as open, case when v > 0 then 0 else 1 end as n, cast(0.0 as double) as opened from e where i = 1
+    union all select user_id, ts, i, held > 0, n, case when n >= 3 and held = 0 then sec else held end from (select e.user_id, e.ts, e.i, e.sec, case when opened > 0 and e.sec - opened >= 300 then 0.0 else opened end as held,
+      case when e.v > 0 then 0 when opened > 0 and e.sec - opened >= 300 then 1 else n + 1 end as n from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+  select user_id, ts, open from r""", None)
 def stm_07_breaker(spark, sf_dir):
-    return _stream(spark, sf_dir, lambda s: progress.breaker(s.withColumn("value", F.col("value") - 50)), "append")
+    got = _stream(spark, sf_dir, lambda s: progress.breaker(s.withColumn("value", F.col("value") - 50)), "append")
+    return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hour", None)

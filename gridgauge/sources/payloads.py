@@ -149,7 +149,7 @@ def repair_json(raw: str | None) -> str | None:
     starts = [k for k in (s.find("{"), s.find("[")) if k >= 0]
     if not starts:
         return None
-    s = re.sub(r",(\s*[}\]])", r"\1", s[min(starts) :])
+    s = re.sub(r'("(?:[^"\\]|\\.)*")|,(\s*[}\]])', lambda m: m[1] or m[2], s[min(starts) :])  # a comma inside a string stays
     stack, quoted, escaped, ends = [], False, False, []
     for k, c in enumerate(s):
         if quoted:

@@ -1,4 +1,4 @@
-"""STM-01 and STM-04 to STM-10: progress and running statistics over event streams.
+"""STM-01 to STM-10: progress and running statistics over event streams.
 
 Sources have event_id, ts, user_id (the job), event_type and value.
 """
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,6 +27,31 @@ def fan_out(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoin
     return own.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# Stages of an upload in order, with their names.
+STAGES = {
+    "document_processing": "Document Processing",
+    "metadata_extraction": "Metadata Extraction",
+    "table_detection": "Table Detection",
+    "data_extraction": "Data Extraction",
+    "financial_processing": "Financial Processing",
+    "quality_assurance": "Quality Assurance",
+}
+
+
+def percent(stream: DataFrame, stage: Column, by: str = "user_id") -> DataFrame:
+    """STM-02: of each job the events so far, the furthest stage's share of all stages in whole percent, and its message; events of no stage only count."""
+    place = F.when(stage.isNotNull(), F.array_position(F.array(*map(F.lit, STAGES)), stage)).otherwise(0)
+    got = stream.groupBy(by).agg(F.count("*").alias("n"), F.max(place).alias("stage"))
+    name = F.get(F.array(*map(F.lit, STAGES.values())), (F.col("stage") - 1).cast("int"))
+    return got.select(by, "n", F.floor(100 * F.col("stage") / len(STAGES)).alias("percent"), F.when(F.col("stage") > 0, F.concat(F.lit("Processing "), name, F.lit("..."))).otherwise("").alias("message"))
+
+
+def elapsed(stream: DataFrame, most_s: float, by: str = "user_id") -> DataFrame:
+    """STM-03: of each job the seconds from its first to its last event, and whether they exceed the time it has; two numbers of state a job."""
+    seconds = F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))
+    return stream.groupBy(by).agg((seconds / 1e6).alias("seconds")).withColumn("timed_out", F.col("seconds") > most_s)
+
+
 def counts(stream: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """STM-10: events and mean value by type and window; rows later than the watermark are left out.  An extension of our own."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("start"), "event_type", "n", "mean_value")
@@ -90,5 +115,9 @@ def breaker(stream: DataFrame, by: str = "user_id", failures: int = 3, reset_s:
 
 
 def latest(stream: DataFrame, by: str = "user_id") -> DataFrame:
-    """STM-08, STM-09: the last result of each key; repeated events count once."""
-    return stream.dropDuplicates(["event_id"]).groupBy(by).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
+    """STM-08, STM-09: the last result of each key.
+
+    The greatest (ts, event_id) is the same however often an event comes, so repeats need no state of their own; the
+    state is one row a key.
+    """
+    return stream.groupBy(by).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
