@@ -30,7 +30,15 @@ def tab(spark, sf_dir):
     return bridge.load(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_size as s", f"{HEADERS.format(**SPARK)} as headers", f"{BODY.format(**SPARK)} as rows")
 
 
-H, R = F.col("headers"), F.col("rows")
+def H():  # noqa: N802
+    return F.col("headers")
+
+
+def R():  # noqa: N802
+    return F.col("rows")
+
+
+
 flat = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda x: F.coalesce(x, F.lit("~"))), "|")), ";")
 heads = lambda c: F.array_join(c, "|")
 # Pieces of SQL.
@@ -62,7 +70,7 @@ of_tab = lambda select, more="": f"{TAB}{more} select k, {select} from tab"  # n
 
 @query(of_tab(f"{heads_sql(f'list_transform(range(0, {WIDTH}), lambda i: coalesce(headers[i + 1], ' + chr(39) + 'Col ' + chr(39) + ' || (i + 1)))')} as names, {flat_sql(f'list_transform(rows, lambda r: list_transform(range(0, {WIDTH}), lambda i: coalesce(r[i + 1], ' + chr(39) * 2 + ')))')} as cells"), None)
 def tbl_07_reconcile(spark, sf_dir):
-    h, r = tb.reconcile(H, R)
+    h, r = tb.reconcile(H(), R())
     return tab(spark, sf_dir).select("k", heads(h).alias("names"), flat(r).alias("cells"))
 
 
@@ -72,26 +80,26 @@ HELD = f"list_filter(range(0, {WIDTH}), lambda i: {full('headers[i + 1]')} or le
 @query(f"""{TAB}, h as (select *, {HELD} as held from tab) select k, {heads_sql("list_transform(held, lambda i: case when i < len(headers) then headers[i + 1] else 'Column_' || (i + 1) end)")} as names,
   {flat_sql(f"list_filter(list_transform(rows, lambda r: list_transform(held, lambda i: coalesce(r[i + 1], ''))), lambda r: {count('r', 'x', full('x'))} > 0)")} as cells from h""", None)
 def tbl_08_drop_empty(spark, sf_dir):
-    h, r = tb.drop_empty(H, R)
+    h, r = tb.drop_empty(H(), R())
     return tab(spark, sf_dir).select("k", heads(h).alias("names"), flat(r).alias("cells"))
 
 
 @query(of_tab("case when k % 2 = 0 then 'A||C' when len(rows) > 0 then array_to_string(rows[1], '|') else '' end as names, " + flat_sql("case when k % 2 = 0 then rows else list_slice(rows, 2, 99) end") + " as cells"), None)
 def tbl_11_split_header(spark, sf_dir):
-    h, r = tb.split_header(R, F.col("k") % 2 == 0, F.array(F.lit("A"), F.lit(None).cast("string"), F.lit("C")))
+    h, r = tb.split_header(R(), F.col("k") % 2 == 0, F.array(F.lit("A"), F.lit(None).cast("string"), F.lit("C")))
     return tab(spark, sf_dir).select("k", heads(h).alias("names"), flat(r).alias("cells"))
 
 
 @query(f"""{TAB}, h as (select k, headers, unnest(range(0, len(headers))) as i from tab), j as (select *, list_max(list_filter(range(0, i + 1), lambda j: {full('headers[j + 1]')})) as j from h)
   select k, coalesce(string_agg(case when j is null then '' when i = j then trim(j.headers[i + 1]) else trim(j.headers[j + 1]) || ' ' || (i - j + 1) end, '|' order by i), '') as names from tab left join j using (k) group by k""", None)
 def tbl_13_sub_headers(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", heads(tb.fill_sub_headers(H)).alias("names"))
+    return tab(spark, sf_dir).select("k", heads(tb.fill_sub_headers(H())).alias("names"))
 
 
 @query(f"""{TAB}, w as (select *, {WIDTH} as w from tab), n as (select *, list_transform(range(0, w), lambda i: case when {full('headers[i + 1]')} then headers[i + 1] else 'Column_' || (i + 1) end) as n from w)
   select k, {heads_sql("list_transform(range(0, w), lambda i: case when len(list_filter(list_slice(n, 1, i), lambda x: x = n[i + 1])) > 0 then n[i + 1] || '_' || len(list_filter(list_slice(n, 1, i), lambda x: x = n[i + 1])) else n[i + 1] end)")} as names, coalesce(list_sum(list_transform(rows, lambda r: w)), 0) as n_cells from n""", None)
 def tbl_14_valid_structure(spark, sf_dir):
-    h, r = tb.valid_structure(H, R)
+    h, r = tb.valid_structure(H(), R())
     return tab(spark, sf_dir).select("k", heads(h).alias("names"), F.size(F.flatten(r)).alias("n_cells"))
 
 
@@ -101,7 +109,7 @@ any_like = lambda p: f"len(list_filter({VALUES_AT}, lambda v: regexp_matches(v,
 
 @query(of_tab(heads_sql("list_transform(range(0, len(headers)), lambda i: case when " + any_like("[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}") + " then 'Date' when " + any_like("[$][ ]*[0-9,]+|^[0-9]+[.][0-9]{2}$") + " then 'Amount' when " + any_like("^[A-Za-z][A-Za-z .,&''-]{2,}$") + " then 'Name' else 'Column_' || (i + 1) end)") + " as names"), None)
 def tbl_15_header_from_data(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", heads(F.transform(tb.numbers_to(F.size(H)), lambda i: tb.header_from_data(R, i))).alias("names"))
+    return tab(spark, sf_dir).select("k", heads(F.transform(tb.numbers_to(F.size(H())), lambda i: tb.header_from_data(R(), i))).alias("names"))
 
 
 SAMPLES = f"list_slice(list_filter(list_transform(rows, lambda r: trim(coalesce(r[i + 1], ''))), lambda v: v <> ''), 1, 10)"
@@ -110,12 +118,12 @@ all_like = lambda p: f"len({SAMPLES}) > 0 and len(list_filter({SAMPLES}, lambda
 
 @query(of_tab(heads_sql("list_transform(range(0, len(headers)), lambda i: case when " + all_like("^-?[0-9,]+([.][0-9]+)?$") + " then 'number' when " + all_like("^[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}$") + " then 'date' when " + all_like("^[($-]*[$][ ]*[0-9,.]+[)]?$") + " then 'currency' else 'text' end)") + " as types"), None)
 def tbl_16_column_types(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", heads(tb.column_types(H, R)).alias("types"))
+    return tab(spark, sf_dir).select("k", heads(tb.column_types(H(), R())).alias("types"))
 
 
 @query(of_tab(flat_sql(f"list_filter(list_transform(rows, lambda r: list_transform(r, lambda x: case when {full('x')} then x end)), lambda r: {count('r', 'x', 'x is not null')} > 0)") + " as cells"), None)
 def tbl_17_nulls(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", flat(tb.nulls_for_blanks(R)).alias("cells"))
+    return tab(spark, sf_dir).select("k", flat(tb.nulls_for_blanks(R())).alias("cells"))
 
 
 @query("select p_partkey as k, 'Policy|' || p_brand || '|a|b|' || p_type || '|x|y' as names from part", None)
@@ -126,12 +134,12 @@ def tbl_23_compound(spark, sf_dir):
 
 @query(of_tab(heads_sql("list_transform(range(0, greatest(len(headers), coalesce(len(rows[1]), 0))), lambda i: array_to_string(list_filter([trim(coalesce(headers[i + 1], '')), trim(coalesce(rows[1][i + 1], ''))], lambda x: x <> ''), ' '))") + " as names"), None)
 def tbl_24_zip_headers(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", heads(tb.zip_headers(F.array(H, F.coalesce(F.get(R, 0), tb.no_cells())))).alias("names"))
+    return tab(spark, sf_dir).select("k", heads(tb.zip_headers(F.array(H(), F.coalesce(F.get(R(), 0), tb.no_cells())))).alias("names"))
 
 
 @query(of_tab(heads_sql("list_transform(range(0, 3), lambda i: coalesce(headers[i + 1], ''))") + " as three, " + flat_sql("list_transform(rows, lambda r: list_transform(range(0, s % 6), lambda i: coalesce(r[i + 1], '')))") + " as cells"), None)
 def tbl_25_40_width(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", heads(tb.to_width(H, 3)).alias("three"), flat(tb.all_to_width(R, F.col("s") % 6)).alias("cells"))
+    return tab(spark, sf_dir).select("k", heads(tb.to_width(H(), 3)).alias("three"), flat(tb.all_to_width(R(), F.col("s") % 6)).alias("cells"))
 
 
 NUM = "([0-9,]+(?:[.][0-9]+)?)"
@@ -144,12 +152,12 @@ FIXED = [(f"^[(] *[$] *{NUM} *[)]", "'-$'"), (f"^[(] *[$]? *- *{NUM} *[$]? *[)]"
   raw as (select k, i, unnest(range(0, len(r))) as j, unnest(r) as o from (select k, unnest(range(0, len(rows))) as i, unnest(rows) as r from tab))
   select k, i, string_agg(case when v = '' then o {' '.join(f"when regexp_matches(v, '{p}') then {s} || {first_n(p)}" for p, s in FIXED)} else v end, '|' order by j) as cells from c join raw using (k, i, j) group by all""", None)
 def tbl_29_brackets(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", F.posexplode(tb.fix_brackets(R)).alias("i", "r")).select("k", F.col("i").cast("long").alias("i"), heads(F.col("r")).alias("cells"))
+    return tab(spark, sf_dir).select("k", F.posexplode(tb.fix_brackets(R())).alias("i", "r")).select("k", F.col("i").cast("long").alias("i"), heads(F.col("r")).alias("cells"))
 
 
 @query(of_tab(flat_sql("list_transform(list_concat(rows, list_slice(rows, 1, 1)), lambda r: list_transform(range(0, len(headers)), lambda i: coalesce(r[i + 1], '')))") + " as cells"), None)
 def tbl_34_set_04_append(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", flat(tb.append(H, R, F.slice(R, 1, 1))).alias("cells"))
+    return tab(spark, sf_dir).select("k", flat(tb.append(H(), R(), F.slice(R(), 1, 1))).alias("cells"))
 
 
 @query("select p_partkey as k, p_partkey % 3 = 0 as auto from part", None)
@@ -161,8 +169,8 @@ def tbl_35_auto_named(spark, sf_dir):
 
 @query(of_tab("coalesce(list_sum(list_transform(rows, lambda r: len(list_filter(range(0, len(r)), lambda j: (s + j) % 3 = 0)))), 0) as n"), None)
 def tbl_33_corrections(spark, sf_dir):
-    after = F.transform(R, lambda r: F.transform(r, lambda x, j: F.when((F.col("s") + j) % 3 == 0, F.concat(x, F.lit("!"))).otherwise(x)))
-    return tab(spark, sf_dir).select("k", tb.corrections(R, after).alias("n"))
+    after = F.transform(R(), lambda r: F.transform(r, lambda x, j: F.when((F.col("s") + j) % 3 == 0, F.concat(x, F.lit("!"))).otherwise(x)))
+    return tab(spark, sf_dir).select("k", tb.corrections(R(), after).alias("n"))
 
 
 OVERALL = f"(0.25 * {COMPLETE} + 0.25 * {STRUCTURE} + 0.25 * {FIDELITY} + 0.15 * {HIERARCHY} + 0.10 * 0.8)"
@@ -180,7 +188,7 @@ def agg_39_40_41_42_43_validate(spark, sf_dir):
   select k, round(score, 6) as score, case when score >= 0.9 then 'A' when score >= 0.8 then 'B' when score >= 0.7 then 'C' when score >= 0.6 then 'D' else 'F' end as grade from q""", None)
 def agg_44_graded(spark, sf_dir):
     k = F.col("k")
-    got = quality.graded(H, R, F.when(k % 3 > 0, k % 3 * 0.5))
+    got = quality.graded(H(), R(), F.when(k % 3 > 0, k % 3 * 0.5))
     return tab(spark, sf_dir).select("k", got["score"].alias("score"), got["grade"].alias("grade"))
 
 
@@ -212,12 +220,12 @@ FALLBACK = f"""(0.3 * {COMPLETE} + 0.3 * case when len(rows) > 0 then {count('ro
 
 @query(of_tab(f"round({FALLBACK}, 6) as score"), None)
 def agg_48_fallback(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", r6(quality.fallback_quality(H, R)).alias("score"))
+    return tab(spark, sf_dir).select("k", r6(quality.fallback_quality(H(), R())).alias("score"))
 
 
 @query(f"{TAB} select k, {flat_sql('list_transform(rows, lambda r: list_transform(r, lambda x: trim(x)))')} as cells from tab where round({FALLBACK}, 9) >= 0.6", None)
 def flt_20_keep_good(spark, sf_dir):
-    return quality.keep_good(tab(spark, sf_dir), 0.6).select("k", flat(R).alias("cells"))
+    return quality.keep_good(tab(spark, sf_dir), 0.6).select("k", flat(R()).alias("cells"))
 
 
 @query(f"""{TAB} select k % 500 as run, cast(floor(round(100 * sum(case when len(headers) > 0 then 0.5 else 0.0 end + case when len(rows) > 0 then 0.5 else 0.0 end + 0.5 * {COMPLETE}) / (1.5 * count(*)), 9)) as bigint) as percent from tab group by all""", None)
@@ -235,29 +243,29 @@ def agg_52_preservation(spark, sf_dir):
 
 @query(of_tab(f"array_to_string(list_sort(list_distinct(list_transform(list_filter(flatten(rows), lambda x: {full('x')}), lambda x: {KIND('x')}))), ',') as kinds"), None)
 def agg_54_diversity(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", F.array_join(quality.diversity(R), ",").alias("kinds"))
+    return tab(spark, sf_dir).select("k", F.array_join(quality.diversity(R()), ",").alias("kinds"))
 
 
 @query(of_tab(f"round(least(1.0, 0.3 + 0.3 * case when len(headers) > 0 then {count('headers', 'h', 'length(trim(h)) > 2')} / len(headers) else 0.0 end + 0.4 * {COMPLETE}), 6) as score"), None)
 def mth_21_text_table(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", r6(tb.text_table_confidence(H, R)).alias("score"))
+    return tab(spark, sf_dir).select("k", r6(tb.text_table_confidence(H(), R())).alias("score"))
 
 
 @query(of_tab(f"array_to_string(list_transform(rows, lambda r: cast(len(r) - {count('r', 'x', full('x'))} >= 0.9 * len(r) as varchar)), ',') as gone"), None)
 def mth_23_mostly_empty(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", F.array_join(F.transform(R, lambda r: tb.mostly_empty(r).cast("string")), ",").alias("gone"))
+    return tab(spark, sf_dir).select("k", F.array_join(F.transform(R(), lambda r: tb.mostly_empty(r).cast("string")), ",").alias("gone"))
 
 
 @query(of_tab(f"array_to_string(list_transform(headers, lambda h: {KIND('h')}), ',') as kinds, {LIKE_DATA} as data_like"), None)
 def str_24_25_kinds(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", F.array_join(F.transform(H, text.data_type), ",").alias("kinds"), text.headers_look_like_data(H).alias("data_like"))
+    return tab(spark, sf_dir).select("k", F.array_join(F.transform(H(), text.data_type), ",").alias("kinds"), text.headers_look_like_data(H()).alias("data_like"))
 
 
 @query(f"""{TAB}, t as (select k % 40 as g, k, headers, case when {LIKE_DATA} then list_concat([headers], rows) else list_filter(rows, lambda r: r <> headers) end as rows, array_to_string(list_sort(list_transform(headers, lambda h: lower(trim(h)))), '|') as header_key from tab)
   select g, header_key, count(*) as merged_from, min(k) as table_index, sum(len(rows)) as n_rows, arg_min(array_to_string(headers, '|'), k) as names from t group by all""", None)
 def win_18_tbl_41_consolidate(spark, sf_dir):
     got = sequences.consolidate(tab(spark, sf_dir).withColumns({"g": F.col("k") % 40, "table_index": F.col("k")}), ["g"])
-    return got.select("g", "header_key", "merged_from", "table_index", F.size("rows").alias("n_rows"), heads(H).alias("names"))
+    return got.select("g", "header_key", "merged_from", "table_index", F.size("rows").alias("n_rows"), heads(H()).alias("names"))
 
 
 # --- texts ----------------------------------------------------------------------------------------------------------
@@ -275,17 +283,21 @@ def ocr(c: str, rules) -> str:
 
 
 RAW_OCR = "'IL' || replace(cast(p_partkey as varchar), '0', 'O') || ' $O5 2O2' || p_size % 10 || ' 1O9.O1 X O5 y 5O.O% GAO' || p_size"
-raw_ocr = F.concat(F.lit("IL"), F.replace(F.col("p_partkey").cast("string"), F.lit("0"), F.lit("O")), F.lit(" $O5 2O2"), (F.col("p_size") % 10).cast("string"), F.lit(" 1O9.O1 X O5 y 5O.O% GAO"), F.col("p_size").cast("string"))
+
+
+def raw_ocr():
+    return F.concat(F.lit("IL"), F.replace(F.col("p_partkey").cast("string"), F.lit("0"), F.lit("O")), F.lit(" $O5 2O2"), (F.col("p_size") % 10).cast("string"), F.lit(" 1O9.O1 X O5 y 5O.O% GAO"), F.col("p_size").cast("string"))
+
 
 
 @query(f"select p_partkey as k, {ocr(RAW_OCR, text.OCR_RULES[:8])} as fixed from part", None)
 def str_05_ocr_some(spark, sf_dir):
-    return part(spark, sf_dir, text.fix_ocr(raw_ocr, 8).alias("fixed"))
+    return part(spark, sf_dir, text.fix_ocr(raw_ocr(), 8).alias("fixed"))
 
 
 @query(of_tab("array_to_string(list_transform(headers, lambda h: lower(trim(h))), '|') as names"), None)
 def str_02_headers(spark, sf_dir):
-    return tab(spark, sf_dir).select("k", heads(text.headers(H)).alias("names"))
+    return tab(spark, sf_dir).select("k", heads(text.headers(H())).alias("names"))
 
 
 DASHED = "'__' || p_name || '--' || p_brand || '...' || chr(9) || '  x' || chr(10) || chr(10) || chr(10) || ' 2O24 '"
@@ -311,7 +323,11 @@ def str_09_sanitize(spark, sf_dir):
 
 STATES = (("\\b([A-Z]{2})O{2,}([0-9]+)\\b", "\\100\\2"), ("\\b([A-Z]{2})O([0-9]+)\\b", "\\10\\2"), ("\\b([A-Z]{2}[0-9]+)O{2,}\\b", "\\100"), ("\\b([A-Z]{2}[0-9]+)O\\b", "\\10"), ("\\b([A-Z]{2}[0-9]+)O([0-9]+)\\b", "\\10\\2"))
 CODED = "'Acme ' || p_brand || ' IL' || replace(cast(p_partkey as varchar), '0', 'O') || ' TXOO' || p_size || ' NY' || p_size % 7 || 'O end'"
-coded = F.concat(F.lit("Acme "), F.col("p_brand"), F.lit(" IL"), F.replace(F.col("p_partkey").cast("string"), F.lit("0"), F.lit("O")), F.lit(" TXOO"), F.col("p_size").cast("string"), F.lit(" NY"), (F.col("p_size") % 7).cast("string"), F.lit("O end"))
+
+
+def coded():
+    return F.concat(F.lit("Acme "), F.col("p_brand"), F.lit(" IL"), F.replace(F.col("p_partkey").cast("string"), F.lit("0"), F.lit("O")), F.lit(" TXOO"), F.col("p_size").cast("string"), F.lit(" NY"), (F.col("p_size") % 7).cast("string"), F.lit("O end"))
+
 
 
 def states(c: str) -> str:
@@ -322,16 +338,20 @@ def states(c: str) -> str:
 
 @query(f"""with s as (select p_partkey as k, {states(CODED)} as said from part) select k, said as codes, trim(regexp_replace(case {' '.join(f"when regexp_matches(said, '{p}') then regexp_replace(said, '{p}', '', 'g')" for p in (*[chr(92) + 'b[A-Z]{2}[0-9]{' + str(n) + '}' + chr(92) + 'b' for n in (5, 4, 3, 2, 1)], chr(92) + 'b[A-Z]{2}[0-9]+' + chr(92) + 'b'))} else said end, '\\s+', ' ', 'g')) as company from s""", None)
 def str_10_11_codes(spark, sf_dir):
-    return part(spark, sf_dir, text.fix_state_codes(coded).alias("codes"), text.clean_company(coded).alias("company"))
+    return part(spark, sf_dir, text.fix_state_codes(coded()).alias("codes"), text.clean_company(coded()).alias("company"))
 
 
 NAMED = "'Client: ' || p_brand || chr(10) || 'to ' || p_type || case p_partkey % 3 when 0 then ' Inc. and' when 1 then ' Group' else ' x' end || ' for ' || p_name || ' LLC'"
-named = F.concat(F.lit("Client: "), F.col("p_brand"), F.lit("\nto "), F.col("p_type"), F.when(F.col("p_partkey") % 3 == 0, " Inc. and").when(F.col("p_partkey") % 3 == 1, " Group").otherwise(" x"), F.lit(" for "), F.col("p_name"), F.lit(" LLC"))
+
+
+def named():
+    return F.concat(F.lit("Client: "), F.col("p_brand"), F.lit("\nto "), F.col("p_type"), F.when(F.col("p_partkey") % 3 == 0, " Inc. and").when(F.col("p_partkey") % 3 == 1, " Group").otherwise(" x"), F.lit(" for "), F.col("p_name"), F.lit(" LLC"))
+
 
 
 @query(f"select p_partkey as k, array_to_string(list_sort(list_distinct({found_sql(NAMED)})), '|') as names from part", None)
 def str_12_companies(spark, sf_dir):
-    return part(spark, sf_dir, heads(F.array_sort(text.companies(named))).alias("names"))
+    return part(spark, sf_dir, heads(F.array_sort(text.companies(named()))).alias("names"))
 
 
 SCORED = "case p_partkey % 4 when 0 then p_brand || ' LLC' when 1 then p_type || ' inc' when 2 then 'a' else p_name || ' (x) LP' end"
@@ -351,7 +371,7 @@ MOVES = "len(list_filter(r, lambda x: regexp_matches(x, '[$] *[0-9,]+([.][0-9]+)
 @query(f"{TAB}, r as (select k, unnest(range(0, len(rows))) as i, unnest(rows) as r from tab) select k, i, len(list_filter(r, lambda x: {full('x')})) <= 3 and len({found_sql('array_to_string(r, chr(32))')}) > 0 and not ({MOVES}) as header, {MOVES} as transaction from r", None)
 def str_14_rows(spark, sf_dir):
     r = F.col("r")
-    return tab(spark, sf_dir).select("k", F.posexplode(R).alias("i", "r")).select("k", F.col("i").cast("long").alias("i"), text.is_header_row(r).alias("header"), text.is_transaction_row(r).alias("transaction"))
+    return tab(spark, sf_dir).select("k", F.posexplode(R()).alias("i", "r")).select("k", F.col("i").cast("long").alias("i"), text.is_header_row(r).alias("header"), text.is_transaction_row(r).alias("transaction"))
 
 
 CARRIED = "repeat('Aetna x ', cast(p_partkey % 5 as int)) || repeat('w', cast(p_size as int) * 6) || repeat(' UHC', cast(p_partkey % 3 as int)) || case when p_partkey % 7 = 0 then ' Blue Cross' else '' end"
