@@ -176,19 +176,31 @@ def grown_region(cells: DataFrame, by: list[str], row: str = "r", col: str = "c"
 # --- summary rows -------------------------------------------------------------------------------------------------
 
 # What rows of totals say.
-STRONG = r"^total\s+for\s+group:?|^grand\s+total:?|^total\s+for\s+vendor:?|^summary:?|^sub\s*total:?|^net\s+total:?"
-AGENT = r"^writing\s+agent\s+number:?|^writing\s+agent\s+2\s+no:?|^writing\s+agent\s+name:?|^writing\s+agent\s+2\s+name:?"
+STRONG = (
+    r"^total\s+for\s+group:?",
+    r"^grand\s+total:?",
+    r"^total\s+for\s+vendor:?",
+    r"^summary:?",
+    r"^sub\s*total:?",
+    r"^net\s+total:?",
+)
+AGENT = (
+    r"^writing\s+agent\s+number:?",
+    r"^writing\s+agent\s+2\s+no:?",
+    r"^writing\s+agent\s+name:?",
+    r"^writing\s+agent\s+2\s+name:?",
+)
 WEAK = ("total", "sum", "subtotal", "aggregate", "overall", "combined", "consolidated")
-TOTALS = r"total commission|commission total|net commission|total for group|group total|total for vendor|vendor total"
-AGENT_KEYS = "writing agent|agent number|agent name"
+TOTALS = ("total commission", "commission total", "net commission", "total for group", "group total", "total for vendor", "vendor total")
+AGENT_KEYS = ("writing agent", "agent number", "agent name")
 
 
 def summary_scores(rows: DataFrame, by: list[str], order: str, cells: str) -> DataFrame:
     """MTH-16, WIN-08, WIN-09: scores of each row by meaning, density, place and trade, and their weighted confidence."""
     said = F.lower(text.strip(F.concat_ws(" ", F.transform(cells, lambda x: F.coalesce(x, F.lit(""))))))
     weak = sum((F.when(said.contains(w), 1).otherwise(0) for w in WEAK), F.lit(0))
-    semantic = F.when(said.rlike(STRONG), 0.95).when(said.rlike(AGENT), 0.85).when(weak >= 2, F.least(0.7 + weak * 0.1, F.lit(0.85))).when(weak == 1, 0.4).otherwise(0.1)
-    business = F.when(said.rlike(TOTALS), 0.9).when(said.rlike(AGENT_KEYS), 0.8).otherwise(0.1)
+    semantic = F.when(said.rlike("|".join(STRONG)), 0.95).when(said.rlike("|".join(AGENT)), 0.85).when(weak >= 2, F.least(0.7 + weak * 0.1, F.lit(0.85))).when(weak == 1, 0.4).otherwise(0.1)
+    business = F.when(said.rlike("|".join(TOTALS)), 0.9).when(said.rlike("|".join(AGENT_KEYS)), 0.8).otherwise(0.1)
     table, line = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
     t = rows.withColumns({"said": said, "full": tb.filled(F.col(cells)), "digits": said.rlike(r"\d"), "cells_n": F.size(cells)})
     t = t.withColumns({"at": F.row_number().over(line) - 1, "n": F.count("*").over(table), "mean_full": F.avg(F.when(F.col("cells_n") > 0, F.col("full"))).over(table)})

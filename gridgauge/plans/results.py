@@ -126,11 +126,11 @@ def src_03_document(spark, sf_dir):
     return document(bridge.documents(spark, sf_dir), 7).select("document_id", "filename")
 
 
-@query("select document_id, extraction_result_id, table_index from fx_extraction where tool_name = 'mistral' and document_id = (select min(document_id) from fx_extraction where tool_name = 'mistral') order by table_index", "tables")
+@query("select document_id, extraction_result_id, table_index from fx_extraction where tool_name = 'mistral' and document_id = (select document_id from fx_extraction where tool_name = 'mistral' group by 1 order by count(*) desc, 1 limit 1) order by table_index", "tables")
 def src_04_run(spark, sf_dir):
-    """The tables of one run: the first document's that mistral read."""
+    """The tables of one run: the mistral run with the most."""
     own = bridge.extractions(spark, sf_dir).where("tool_name = 'mistral'")
-    first = own.agg(F.min("document_id")).first()[0]
+    first = own.groupBy("document_id").count().orderBy(F.desc("count"), "document_id").first()[0]
     return own.where(F.col("document_id") == first).select("document_id", "extraction_result_id", "table_index").orderBy("table_index")
 
 

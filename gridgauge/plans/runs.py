@@ -274,6 +274,15 @@ def src_08_strategy(spark, sf_dir):
     return payloads.best_strategy(t.select("k", "s.rank", "s.tables"), ["k"]).select("k", F.get(F.get("tables", 0)["headers"], 0).alias("best"))
 
 
+@query("select o_orderkey as k, case when o_orderkey % 4 > 0 and o_orderkey % 4 >= o_custkey % 5 then 'structured' else 'text' end as won from orders", None)
+def src_14_arbitrate(spark, sf_dir):
+    """Tables of a structured answer and of its text, with so many rows each; some answers hold no table."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey") % 5
+    table = lambda name, n: F.array(F.struct(F.array(F.lit(name)).alias("headers"), F.transform(tb.numbers_to(n.cast("int")), lambda j: F.array(F.lit(name))).alias("rows")))
+    got = payloads.arbitrate(F.when(k > 0, table("structured", k)), table("text", c))
+    return orders(spark, sf_dir, F.get(F.get(got, 0)["headers"], 0).alias("won"))
+
+
 @query("select o_orderkey as k, 'Name|' || o_custkey as header, 'a b|' || o_orderkey as row from orders", None)
 def src_20_layout(spark, sf_dir):
     block = lambda *t: F.concat(F.lit('{"blocks":['), F.concat_ws(",", *[F.concat(F.lit('{"textBlock":{"text":"'), x, F.lit('"}}')) for x in t]), F.lit("]}"))

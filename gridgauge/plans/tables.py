@@ -44,6 +44,13 @@ def mth_01_set_01_02_cell_f1(spark, sf_dir):
     return metrics.cell_f1(pairs(spark, sf_dir), KEYS).select(*KEYS, "tp", "fp", "fn", F.round("f1_score", 6).alias("f1_score"))
 
 
+@query(f"""with {PAIRS}, n as (select doc_id, table_index, c, sum(p) as p, sum(t) as t from (select doc_id, table_index, c, 1 as p, 0 as t from pcell union all select doc_id, table_index, c, 0, 1 from tcell) group by all)
+  select doc_id, table_index, sum(greatest(p, t)) as cells from n group by all""", None)
+def set_03_union(spark, sf_dir):
+    """Cells of either table, as multisets."""
+    return metrics.cell_f1(pairs(spark, sf_dir), KEYS).select(*KEYS, (F.col("tp") + F.col("fp") + F.col("fn")).alias("cells"))
+
+
 @query()
 def mth_02_03_teds(spark, sf_dir):
     return metrics.teds(pairs(spark, sf_dir), KEYS)
