@@ -6,8 +6,9 @@ as it is by the merges.  That test runs over all proposed pairs of a batch at on
 arrays of known pairs; only words with a failing pair go through the exact merging.
 
 Cases: null text is the empty text and has no tokens; special tokens that stand in a text keep their
-ids (as the tokenizers library does by default); repeated rows give repeated results; an empty table
-gives an empty result.  Texts of any length are handled whole.
+ids (as the tokenizers library does by default); of merges of one rank the leftmost comes first; repeated rows
+give repeated results; rows without an id are kept; other columns, whatever their names, are never read; an
+empty table gives an empty result.  Texts of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 
 from gridgauge.llm.common import per_batch, with_text
 
-# Code point ranges of letters and numbers that were added after Unicode 16.
+# Code point ranges that the regex package's Unicode data has as letters and numbers and the tokenizers
+# library's (Unicode 16) hasn't.
 LATER = "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 # Fixed value: the byte-level pre-tokenisation pattern of the public vocabulary; {L} and {N} are letters and numbers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\p{White_Space}{L}{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"

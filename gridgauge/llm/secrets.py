@@ -6,8 +6,10 @@ can match holds, for each clause, all trigrams of at least one alternative.  Eac
 over its candidates only.  Rules without mandatory trigrams run over every text.  Postings never leave
 their block, so nothing is shuffled.
 
-Cases: null text is empty and has no secrets; repeated rows are scanned each; an empty table gives an
-empty result.  Texts are scanned whole, whatever their length.
+Cases: null text is empty and has no secrets; repeated rows are scanned each; spans of one start are ordered
+by kind as the rules are listed; rows without an id are kept; other columns, whatever their names, are never
+read (``redact`` keeps them); an empty table gives an empty result.  Texts are scanned whole, whatever their
+length.
 """
 
 from __future__ import annotations
