@@ -133,10 +133,18 @@ def loss(w: np.ndarray, cut: float, gap: np.ndarray, row: np.ndarray, col: np.nd
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled ids, those of the smallest hashes; of a repeated id one row counts, the one of the least features."""
+    """A model from at most ``sample`` labelled ids, those of the smallest hashes, with at most ``2 * sample`` rows in all.
+
+    Of a repeated id one row counts, the one of the least features; an id with more rows than that isn't learnt from.
+    """
     said = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     few = said.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = with_text(df, text_col, (id_col, "id")).join(F.broadcast(few), "id").select("id", "text", "toxic")
+    ids = df.select(F.col(id_col).alias("id")).join(F.broadcast(few), "id").groupBy("id", "toxic").agg(F.count("*").alias("n")).where(F.col("n") <= 2 * sample).toArrow()
+    order = sorted(zip(*(ids.column(c).to_pylist() for c in ("n", "id", "toxic"))))  # ids that repeat least come first
+    fit_in = int(np.searchsorted(np.cumsum([n for n, *_ in order]), 2 * sample, "right"))
+    kind = dict(df.dtypes)[id_col]
+    chosen = df.sparkSession.createDataFrame([(i, t) for _, i, t in order[:fit_in]], f"id {kind}, toxic int")
+    rows = with_text(df, text_col, (id_col, "id")).join(F.broadcast(chosen), "id").select("id", "text", "toxic")
 
     def make():
         features = Features()
@@ -146,11 +154,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return f
 
-    kind = dict(df.dtypes)[id_col]
-    some = per_batch(rows, make, f"id {kind}, features array<int>, toxic int")
-    got = some.groupBy("id").agg(F.min(F.struct("features", "toxic")).alias("one")).select("id", "one.*").toArrow().sort_by([("id", "ascending")])
-    lists = got.column("features").combine_chunks()
-    return fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), got.column("toxic").to_numpy().astype(bool))
+    got = per_batch(rows, make, f"id {kind}, features array<int>, toxic int").toArrow()
+    ids, lists = got.column("id").to_pylist(), got.column("features").combine_chunks()
+    ends = lists.offsets.to_numpy()
+    values = lists.flatten().to_numpy()
+    own = lambda k: values[ends[k] - ends[0] : ends[k + 1] - ends[0]]
+    first: dict = {}
+    for k, i in enumerate(ids):
+        if i not in first or own(k).tolist() < own(first[i]).tolist():
+            first[i] = k
+    at = [first[i] for i in sorted(first)]
+    if not at:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+    return fit(np.concatenate([own(k) for k in at]), np.array([len(own(k)) for k in at]), got.column("toxic").to_numpy().astype(bool)[at])
 
 
 def grade(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
