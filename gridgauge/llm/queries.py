@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgauge.llm import bpe, decontaminate, html, media, quality, secrets, sharding, simhash, toolcalls, toxicity
+from gridgauge.llm import bpe, decontaminate, html, infill, media, periodic, quality, secrets, sharding, simhash, toolcalls, toxicity
 from gridgauge.llm.common import table
 
 
@@ -57,10 +57,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.with_planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.infill(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_secret_scan, op3_toxicity, op4_simhash, op5_quality, op6_sharding, op7_decontamination, op8_media_columns, op9_tool_calls, op10_bpe)
+    found = (op1_html_extraction, op2_secret_scan, op3_toxicity, op4_simhash, op5_quality, op6_sharding, op7_decontamination, op8_media_columns, op9_tool_calls, op10_bpe, op12_periodic_runs, op13_infill)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle(), "op9_tool_calls": toolcalls.oracle()}
+    return {"op2_secret_scan": secrets.oracle(), "op9_tool_calls": toolcalls.oracle(), "op13_infill": infill.oracle()}
