@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgauge.llm import bpe, decontaminate, html, infill, media, periodic, quality, secrets, sharding, simhash, toolcalls, toxicity
+from gridgauge.llm import bpe, decontaminate, html, infill, media, periodic, pii, quality, secrets, sharding, simhash, toolcalls, toxicity
 from gridgauge.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal(table(spark, sf_dir, "documents"), pii.train(pii.labelled(spark))))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(periodic.with_planted(table(spark, sf_dir, "documents"))))
 
@@ -66,7 +70,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_secret_scan, op3_toxicity, op4_simhash, op5_quality, op6_sharding, op7_decontamination, op8_media_columns, op9_tool_calls, op10_bpe, op12_periodic_runs, op13_infill)
+    found = (op1_html_extraction, op2_secret_scan, op3_toxicity, op4_simhash, op5_quality, op6_sharding, op7_decontamination, op8_media_columns, op9_tool_calls, op10_bpe, op11_personal_data, op12_periodic_runs, op13_infill)
     return {f.__name__: f for f in found}
 
 
