@@ -8,9 +8,10 @@ The distribution of the sums gives the page's threshold, ``SURGE`` of their own-
 where a sum rises to it and dives where a sum falls to zero, and what stands between is the article's core.
 
 Around the core stays what belongs to it: the other lines of the smallest region that holds all surging text
-(short paragraphs, captions, lists), a first heading before it, and sentences that stand beside it in regions
-of its kind.  Runs of lines that are only links go if they stand before or after the core, except in
-``article`` and ``main``.
+(short paragraphs, captions, lists), a first heading before it, and, beside it, regions of its kind that hold a
+paragraph, a heading or the like, or a sentence, with all their lines, however short and in whatever script.  Runs
+of lines that are only links go if they stand before or after the core, except in ``article`` and ``main`` and in
+closing paragraphs.  A copyright notice goes if nothing but such and links follows it.
 
 Cases: null or empty html, and pages without a line of text, have the empty text; broken, nested and unclosed
 markup is read as browsers do, as far as blocks are concerned, and in time in proportion to the page's length; a
@@ -69,6 +70,9 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A quote that nothing closes is a character like any other, so a tag always ends at the first ``>`` outside quotes or with the page.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+#: Elements that hold running text; what opens a copyright notice.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dd figcaption caption summary".split())
+NOTICE = re.compile(r"\W*(?:©|\(c\)|copyright\b)\W*(?:\(c\)|©|by\b|\d{4})|\W*all rights reserved\b|.{0,80}\ball rights reserved\W*\Z", re.I | re.S)
 SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 #: A region's mark: none, by its element, by its name (or a form).
 PLAIN, BY_ELEMENT, BY_NAME = 0, 1, 2
@@ -114,7 +118,7 @@ class Page:
         self.weights: list[int] = []
         self.places: list[int] = []
         self.of: list[int] = []  # region of a line
-        self.first_heading: list[bool] = []
+        self.block: list[str] = []  # innermost block or region of a line
         self.parent, self.kind, self.marks, self.inside, self.holds = [0], [("", "")], [PLAIN], [False], [0]
         self.place = 0
         self.gap = True
@@ -138,7 +142,7 @@ class Page:
                 self.weights.append(max(0, len(text) - linked))
                 self.places.append(self.place)
                 self.of.append(region)
-                self.first_heading.append(name == "h1")
+                self.block.append(name)
                 self.place += 1
                 self.gap = False
             self.linked.clear()
@@ -296,6 +300,7 @@ def kept(page: Page, window: int = WINDOW, surge: float = SURGE) -> np.ndarray:
     of, places = np.array(page.of), np.array(page.places)
     usable = ~dull_regions(page)[of]
     in_article = np.array(page.inside)[of]
+    usable &= ~closing_notices(page, usable & ~in_article)
     own = np.array(page.weights, np.int64) * usable
     if not own.any():
         own = np.array([len(x) for x in page.texts], np.int64) * usable
@@ -321,7 +326,8 @@ def kept(page: Page, window: int = WINDOW, surge: float = SURGE) -> np.ndarray:
         under[k] = under[page.parent[k]]
     links_only = usable & (own == 0)
     beside = np.concatenate(([False], links_only[:-1])) | np.concatenate((links_only[1:], [False]))
-    menu = links_only & beside & ~between & ~in_article
+    paragraph = np.array([x in PARAGRAPHS for x in page.block])
+    menu = links_only & beside & ~between & ~in_article & ~(paragraph & (at > last))
     if whole:
         near = direct[of] | between & (own > 0)
         kinds = {(page.parent[k], page.kind[k]) for k in np.flatnonzero(direct).tolist()}
@@ -333,15 +339,33 @@ def kept(page: Page, window: int = WINDOW, surge: float = SURGE) -> np.ndarray:
     while k:
         k = page.parent[k]
         up.add(k)
-    for k in np.flatnonzero(usable & ~central & ~near & (own > 0)).tolist():
-        region, text = page.of[k], page.texts[k]
-        if page.first_heading[k] and k < first and region in up:
-            near[k] = True
-        elif region in up or (page.parent[region], page.kind[region]) in kinds:
-            near[k] = bool(SENTENCE.search(text)) and text.count(" ") >= 2
+    # Regions beside the core, each with all regions in it.
+    beside_core = list(range(len(counts)))
+    for k in range(1, len(counts)):
+        beside_core[k] = k if (page.parent[k], page.kind[k]) in kinds else beside_core[page.parent[k]]
+    wanted = np.flatnonzero(usable & ~central & ~near & (own > 0)).tolist()
+    said = {k for k in wanted if paragraph[k] or SENTENCE.search(page.texts[k])}
+    belong = {beside_core[page.of[k]] for k in said} - {0} - up
+    belong = {k for k in belong if (page.parent[k], page.kind[k]) in kinds}
+    for k in wanted:
+        region = page.of[k]
+        if region in up:
+            near[k] = page.block[k] == "h1" and k < first or bool(SENTENCE.search(page.texts[k]))
+        else:
+            near[k] = beside_core[region] in belong
     return central | usable & near & ~menu
 
 
+def closing_notices(page: Page, usable: np.ndarray) -> np.ndarray:
+    """Lines of copyright notices after which nothing but such, links and unusable lines come; none if nothing else is left."""
+    found = np.zeros(len(usable), bool)
+    for k in np.flatnonzero(usable & (np.array(page.weights) > 0))[::-1].tolist():
+        if not NOTICE.match(page.texts[k]):
+            return found
+        found[k] = True
+    return np.zeros(len(usable), bool)
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     page = Page(html or "")
     if not page.texts:
