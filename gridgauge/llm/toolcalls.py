@@ -10,13 +10,17 @@ reply stands between.  An assistant's plain message is the result of the turn be
 Calls and results meet in one hash join by conversation and identifier.  Results are reduced to the
 first of each identifier, with their number, before the join, so repeated identifiers can't multiply
 rows.  ``level`` orders calls topologically: 0 without dependencies, else one more than the highest
-dependency.  Chains are followed by pointer doubling, so their length costs its logarithm in rounds, and
-rounds over the calls with several dependencies close the rest.  Arguments are checked against JSON
-schemas, and each row is serialised as canonical JSON: sorted keys, no white space.
-
-Cases: null text is an empty message; a null conversation or turn is a value like any other; results
-without a call and calls without a result are kept; of repeated results the first counts (ties: the least
-text); repeated calls are rows of their own with the level of their common identifier; calls, arguments,
+dependency.  Each conversation is ordered in one group; in conversations of more than ``LARGE`` calls, chains are
+followed by pointer doubling, so their length costs its logarithm in rounds, and rounds over the calls with several
+dependencies close the rest.  Arguments are checked against JSON schemas, and each row is serialised as canonical
+JSON: sorted keys, no white space.
+
+Cases: null text is an empty message; a null conversation is a value like any other; a message without a turn has no
+neighbours: as a call it has no identifier, as an answer it answers nothing; a call or result without an identifier
+is linked to nothing, and is a row of its own (results: with the number of equal ones); identifiers that are text and
+identifiers of another kind differ; results without a call and calls without a result are kept; of repeated results
+the first counts (ties: the least text); repeated calls are rows of their own with the level of their common
+identifier; calls, arguments,
 identifiers and dependencies of a wrong kind, and numbers that aren't finite, are invalid calls (results:
 ``null``); lone surrogates become U+FFFD; calls in a cycle, those behind one, and those that name a missing
 dependency have no level; other columns, whatever their names, are never read; an empty table gives an
@@ -61,8 +65,19 @@ def canonical(x: Any) -> str:
         raise ValueError("too deep") from e
 
 
-def as_id(x: Any) -> str:
+#: Calls of a conversation that are ordered in one group, at most.
+LARGE = 2000
+
+
+def key_of(x: Any) -> str | None:
+    """What tells an identifier from others: its kind and its text; null for none."""
+    return None if x is None else ("s" if isinstance(x, str) else "j") + as_id(x)
+
+
+def as_id(x: Any) -> str | None:
     """An identifier as text."""
+    if x is None:
+        return None
     if isinstance(x, str):
         return plain(x)
     try:
@@ -136,9 +151,9 @@ def faults(x: Any, schema: dict, at: str = "$") -> list[str]:
 
 
 def read_call(c: Any, schemas: dict[str, dict]) -> tuple:
-    """(kind, identifier, name, canonical arguments, valid, faults, dependencies, whether those may be missing) of one call."""
+    """(kind, identifier, its key, name, canonical arguments, valid, faults, dependencies, whether those may be missing) of one call."""
     if not isinstance(c, dict):
-        return ("call", "", "", "null", False, ["$: no call"], [], False)
+        return ("call", None, None, "", "null", False, ["$: no call"], [], False)
     own = c.get("function") if isinstance(c.get("function"), dict) else c
     name, arguments = own.get("name") or c.get("function") or "", own.get("arguments", {})
     after = c.get("after")
@@ -155,11 +170,11 @@ def read_call(c: Any, schemas: dict[str, dict]) -> tuple:
     except (ValueError, RecursionError):
         body = "null"
         wrong.append("$: not JSON")
-    return ("call", as_id(c.get("id")), name, body, not wrong, wrong, [as_id(a) for a in after or []], False)
+    return ("call", as_id(c.get("id")), key_of(c.get("id")), name, body, not wrong, wrong, ["j" if a is None else key_of(a) for a in after or []], False)
 
 
 def read_message(turn: int | None, role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
-    """(kind, identifier, name, canonical arguments or content, valid, faults, dependencies, whether those may be missing) of one message."""
+    """(kind, identifier, its key, name, canonical arguments or content, valid, faults, dependencies, whether those may be missing) of one message."""
     text = text or ""
     out: list[tuple] = []
     pieces = tagged(text) if "<tool_" in text else [text] if text.lstrip()[:1] == "{" else []
@@ -177,18 +192,19 @@ def read_message(turn: int | None, role: str | None, text: str | None, schemas:
                 body = canonical(x.get("content"))
             except ValueError:
                 body = "null"
-            out.append(("result", as_id(x["tool_call_id"]), None, body, None, None, None, None))
+            out.append(("result", as_id(x["tool_call_id"]), key_of(x["tool_call_id"]), None, body, None, None, None, None))
     if out:
         return out
+    beside = (lambda d: None if turn is None else f"turn-{turn + d}")
     if role == "assistant":
-        return [("result", f"turn-{(turn or 0) - 1}", None, canonical(text), None, None, None, None)]
+        return [("result", beside(-1), key_of(beside(-1)), None, canonical(text), None, None, None, None)]
     arguments = {"role": role or "", "text": text}
     wrong = faults(arguments, schemas["reply"]) if "reply" in schemas else ["no tool reply"]
-    return [("call", f"turn-{turn or 0}", "reply", canonical(arguments), not wrong, wrong, [f"turn-{(turn or 0) - 2}"], True)]
+    return [("call", beside(0), key_of(beside(0)), "reply", canonical(arguments), not wrong, wrong, [] if turn is None else [key_of(beside(-2))], True)]
 
 
 def read_messages(df: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each call and result: conv, turn, nth, kind, id, name, body, valid, faults, after, optional (whether what it comes after may be missing)."""
+    """One row for each call and result: conv, turn, nth, kind, id, id_key, name, body, valid, faults, after, optional (whether what it comes after may be missing)."""
     kind = dict(df.dtypes)[conv_col]
     df = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     texts = pa.list_(pa.string())
@@ -199,15 +215,52 @@ def read_messages(df: DataFrame, schemas: dict[str, dict], conv_col: str = "conv
             for nth, x in enumerate(read_message(turn, role, text, schemas)):
                 at.append(k)
                 rows.append((nth, *x))
-        cols = list(zip(*rows)) or [[]] * 9
-        types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), texts, texts, pa.bool_())
+        cols = list(zip(*rows)) or [[]] * 10
+        types = (pa.int32(), *[pa.string()] * 5, pa.bool_(), texts, texts, pa.bool_())
         take = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([b.column("conv").take(take), b.column("turn").take(take), *(pa.array(c, t) for c, t in zip(cols, types))], names=["conv", "turn", "nth", "kind", "id", "name", "body", "valid", "faults", "after", "optional"])
-
-    return per_batch(df, lambda: f, f"conv {kind}, turn long, nth int, kind string, id string, name string, body string, valid boolean, faults array<string>, after array<string>, optional boolean")
+        return pa.RecordBatch.from_arrays([b.column("conv").take(take), b.column("turn").take(take), *(pa.array(c, t) for c, t in zip(cols, types))], names=["conv", "turn", "nth", "kind", "id", "id_key", "name", "body", "valid", "faults", "after", "optional"])
+
+    return per_batch(df, lambda: f, f"conv {kind}, turn long, nth int, kind string, id string, id_key string, name string, body string, valid boolean, faults array<string>, after array<string>, optional boolean")
+
+
+def ordered(t: pa.Table) -> pa.Table:
+    """(key, level) of the calls of one conversation that have dependencies: calls are taken when all they come after are."""
+    keys = t.column("key").to_pylist()
+    there, before, behind = set(keys), {}, {}
+    for k, prefix, after, optional in zip(keys, t.column("prefix").to_pylist(), t.column("after").to_pylist(), t.column("optional").to_pylist()):
+        mine = before.setdefault(k, set())
+        mine.update(x for a in after or () if (x := prefix + a) in there or not optional)
+    for k, mine in before.items():
+        for x in mine:
+            behind.setdefault(x, []).append(k)
+    level = dict.fromkeys((k for k, mine in before.items() if not mine), 0)
+    left = {k: len(mine) for k, mine in before.items()}
+    ready = list(level)
+    for k in ready:
+        for x in behind.get(k, ()):
+            left[x] -= 1
+            if not left[x]:
+                level[x] = 1 + max(level[y] for y in before[x])
+                ready.append(x)
+    said = [k for k, mine in before.items() if mine]
+    return pa.table({"key": pa.array(said, pa.string()), "level": pa.array([level.get(k) for k in said], pa.int32())})
 
 
 def levels(calls: DataFrame) -> DataFrame:
+    """(key, level) of the calls with dependencies; the level is null in and behind a cycle or a missing identifier."""
+    calls = calls.select("conv", "key", "after", "optional", "prefix")
+    sizes, _ = written(calls.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+    n = sizes.count()
+    if not n:
+        return calls.groupBy("prefix").applyInArrow(ordered, "key string, level int")
+    # At most one conversation in LARGE calls is that large; few of them are broadcast.
+    sizes = sizes.select(F.col("prefix").alias("of_large"))
+    sizes = F.broadcast(sizes) if n <= 10_000 else sizes
+    same = calls["prefix"] == sizes["of_large"]
+    return calls.join(sizes, same, "left_anti").groupBy("prefix").applyInArrow(ordered, "key string, level int").unionByName(levels_of_large(calls.join(sizes, same, "left_semi")))
+
+
+def levels_of_large(calls: DataFrame) -> DataFrame:
     """(key, level) of the calls with dependencies; the level is null in and behind a cycle or an identifier that no call has.
 
     A call with one dependency points to it, and doubling the pointers brings each to the first call that isn't such a
@@ -265,20 +318,25 @@ def link(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str =
     schemas = {"reply": REPLY} if schemas is None else schemas
     said, _ = written(read_messages(df, schemas, conv_col, turn_col, role_col, text_col))
     prefix = F.coalesce(F.concat(F.length(F.col("conv").cast("string")).cast("string"), F.lit(":"), F.col("conv").cast("string"), F.lit("/")), F.lit("null/"))
-    calls = said.where("kind = 'call'").withColumn("key", F.concat(prefix, "id"))
+    # Calls without an identifier get a key of their own; nothing can name it.
+    own = F.concat(F.lit("n"), F.sha2(F.to_json(F.struct("turn", "nth", "body", "after")), 256))
+    calls = said.where("kind = 'call'").withColumn("prefix", prefix).withColumn("key", F.concat("prefix", F.coalesce("id_key", own)))
     first = F.min(F.struct("turn", "nth", "body")).alias("first")
-    results = said.where("kind = 'result'").groupBy(F.col("conv").alias("r_conv"), F.col("id").alias("r_id")).agg(first, F.count("*").alias("n_results"))
-    same = F.col("conv").eqNullSafe(F.col("r_conv")) & F.col("id").eqNullSafe(F.col("r_id"))
-    both = calls.join(results.hint("shuffle_hash"), same, "full_outer")
-    both = both.join(levels(calls.select("key", "after", "optional", prefix.alias("prefix"))).withColumn("dependent", F.lit(True)), "key", "left")
+    results = said.where("kind = 'result'")
+    named = results.where("id_key is not null").groupBy(F.col("conv").alias("r_conv"), F.col("id_key").alias("r_key")).agg(F.first("id").alias("r_id"), first, F.count("*").alias("n_results"))
+    unnamed = results.where("id_key is null").groupBy(F.col("conv").alias("r_conv"), "turn", "nth", "body").agg(F.count("*").alias("n_results"))
+    unnamed = unnamed.select("r_conv", F.struct("turn", "nth", "body").alias("first"), "n_results")
+    same = F.col("conv").eqNullSafe(F.col("r_conv")) & (F.col("id_key") == F.col("r_key"))
+    both = calls.where("id_key is not null").join(named.hint("shuffle_hash"), same, "full_outer").unionByName(calls.where("id_key is null"), True).unionByName(unnamed, True)
+    both = both.join(levels(calls).withColumn("dependent", F.lit(True)), "key", "left")
     text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
     null = F.lit("null")
-    as_json = F.concat(F.lit('{"arguments":'), F.coalesce("body", null), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), F.when(F.col("name").isNull(), null).otherwise(text("name")), F.lit(',"result":'), F.coalesce("result", null), F.lit("}"))
+    as_json = F.concat(F.lit('{"arguments":'), F.coalesce("body", null), F.lit(',"id":'), F.when(F.col("call_id").isNull(), null).otherwise(text("call_id")), F.lit(',"name":'), F.when(F.col("name").isNull(), null).otherwise(text("name")), F.lit(',"result":'), F.coalesce("result", null), F.lit("}"))
     out = both.select(
-        F.coalesce("conv", "r_conv").alias(conv_col), F.coalesce("turn", "first.turn").alias(turn_col), F.coalesce("nth", "first.nth").alias("nth"), F.coalesce("id", "r_id").alias("call_id"), "name",
+        F.coalesce("conv", "r_conv").alias(conv_col), F.when(F.col("kind") == "call", F.col("turn")).otherwise(F.col("first.turn")).alias(turn_col), F.coalesce("nth", "first.nth").alias("nth"), F.coalesce("id", "r_id").alias("call_id"), "name",
         F.when(F.col("name").isNull(), F.lit(None)).when(F.col("dependent"), F.col("level")).otherwise(F.lit(0)).cast("int").alias("level"),
         F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce(F.array_join("faults", "; "), F.lit("no call")).alias("faults"),
-        (F.col("id").isNotNull() & F.col("r_id").isNotNull()).alias("linked"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.col("first.body").alias("result"), "body",
+        (F.col("id_key").isNotNull() & F.col("r_key").isNotNull()).alias("linked"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.col("first.body").alias("result"), "body",
     )
     return out.withColumn("json", as_json).drop("result", "body")
 

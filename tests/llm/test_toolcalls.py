@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,44 @@ def test_repeated_and_tied(spark):
     rows = [("a", 0, "user", "x")] * 3 + [("a", 1, "assistant", "z"), ("a", 1, "assistant", "y")]
     got = toolcalls.link(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 3 and {(r.n_results, json.loads(r.json)["result"], r.level) for r in got} == {(2, "y", 0)}
+
+
+def linked(spark, rows):
+    schema = "conv_id string, turn long, role string, text string"
+    return [(r.turn, r.call_id, r.name, r.level, r.linked, r.n_results, json.loads(r.json)["result"]) for r in toolcalls.link(spark.createDataFrame(rows, schema), {"add": {"type": "object"}, "reply": toolcalls.REPLY}).collect()]
+
+
+def test_null_turns(spark):
+    rows = [("a", None, "user", "x"), ("a", 0, "user", "y"), ("a", 1, "assistant", "of zero"), ("a", None, "assistant", "of none"), ("a", None, "assistant", "of none"), ("a", 2, "user", "z")]
+    want = [(None, None, "reply", 0, False, 0, None), (0, "turn-0", "reply", 0, True, 1, "of zero"), (2, "turn-2", "reply", 1, False, 0, None), (None, None, None, None, False, 2, "of none")]
+    assert sorted(linked(spark, rows), key=repr) == sorted(want, key=repr)
+
+
+def test_identifiers(spark):
+    """Without an identifier nothing is linked; 5 isn't "5"."""
+    say = lambda x: json.dumps(x)
+    rows = [("a", 0, "assistant", say({"tool_calls": [call(None), call(None, ["s"]), call(5), call("5", [5]), call("s"), call(None, [None])]})), ("a", 1, "tool", say({"tool_call_id": None, "content": 1})), ("a", 2, "tool", say({"tool_call_id": 5, "content": 2})), ("b", 1, "tool", say({"tool_call_id": "5", "content": 3}))]
+    want = [(0, None, "add", 0, False, 0, None), (0, None, "add", 1, False, 0, None), (0, "5", "add", 0, True, 1, 2), (0, "5", "add", 1, False, 0, None), (0, "s", "add", 0, False, 0, None), (0, None, "add", None, False, 0, None), (1, None, None, None, False, 1, 1), (1, "5", None, None, False, 1, 3)]
+    assert sorted(linked(spark, rows), key=repr) == sorted(want, key=repr)
+
+
+def test_large_conversations(spark, monkeypatch):
+    """Groups and rounds give the same levels."""
+    rng = random.Random(6)
+    rows = []
+    for conv in ("small", "large", "chain"):
+        for k in range({"small": 12, "large": 40, "chain": 60}[conv]):
+            after = [f"n{k - 1}"] if conv == "chain" and k else rng.sample([f"n{j}" for j in range(k)], min(k, rng.choice((0, 1, 2)))) + (["missing"] if rng.random() < 0.03 else [])
+            rows.append((conv, k, "assistant", json.dumps({"tool_calls": [call(f"n{k}", after)]})))
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted((r.conv_id, r.call_id, str(r.level)) for r in toolcalls.link(df, {}).collect())
+    monkeypatch.setattr(toolcalls, "LARGE", 20)
+    assert sorted((r.conv_id, r.call_id, str(r.level)) for r in toolcalls.link(df, {}).collect()) == whole
+
+
+def test_ladder(spark):
+    """A thousand calls, each after two others, take no thousand rounds."""
+    rows = [("a", k, "assistant", json.dumps({"tool_calls": [call(f"n{k}", [f"n{j}" for j in (k - 1, k - 2) if j >= 0])]})) for k in range(1000)]
+    t = time.time()
+    assert {r.call_id: r.level for r in toolcalls.link(spark.createDataFrame(rows, SCHEMA), {}).collect()} == {f"n{k}": k for k in range(1000)}
+    assert time.time() - t < 30
