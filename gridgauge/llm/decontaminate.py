@@ -21,7 +21,7 @@ are read whole.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from gridgauge.llm.common import drop_written, per_batch, with_text, words, writ
 K1, B = 1.2, 0.75
 #: Items of one block; bytes of item text in one broadcast index, at most: larger benchmarks are searched in parts.
 BLOCK, INDEX_BYTES = 8, 16_000_000
+#: Items whose n-grams a task remembers.
+MADE = 4096
 #: Words of a passage, at least; passages overlap by half and are twice as long as the longest item.
 PASSAGE = 128
 GRAM = 5
@@ -52,61 +54,73 @@ def grams(part: list[bytes], n: int) -> set[bytes]:
     return {b" ".join(part[k : k + n]) for k in range(len(part) - n + 1)} if n else set()
 
 
-@dataclass
 class Index:
-    """One part of the benchmark.  ``df``: items of the whole benchmark with a term; ``count``: items; ``mean``: words of an item."""
-
-    items: list[tuple[int, str]]
-    df: dict[bytes, int]
-    count: int
-    mean: float
-    threshold: float
-
-    def __post_init__(self):
-        self.ids = [i for i, _ in self.items]
-        self.parts = [question_answer(t) for _, t in self.items]
-        every = [q + a for q, a in self.parts]
-        self.longest = max(map(len, every), default=0)
-        self.stride = max(PASSAGE // 2, self.longest)
-        self.terms = {t: k for k, t in enumerate(sorted({t for x in every for t in x}))}
-        weights: list[dict[int, float]] = []
-        for x in every:
-            tf: dict[bytes, int] = {}
-            for t in x:
-                tf[t] = tf.get(t, 0) + 1
-            w = {self.terms[t]: np.log(1 + (self.count - self.df[t] + 0.5) / (self.df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(x) / self.mean)) for t, f in tf.items()}
-            total = sum(w.values())
-            weights.append({t: v / total for t, v in w.items()})
-        self.weights = weights
-        self.essential = np.zeros(len(self.terms), bool)
-        df = np.zeros(len(self.terms))
-        for t, k in self.terms.items():
-            df[k] = self.df[t]
-        for w in weights:  # the rarest terms of an item become essential until the rest weighs little
-            rest = 1.0
-            for t in sorted(w, key=lambda t: (df[t], t)):
-                if rest < self.threshold / 2:
-                    break
-                self.essential[t] = True
-                rest -= w[t]
-        self.rest = np.array([sum(v for t, v in w.items() if not self.essential[t]) for w in weights])
-        block = np.arange(len(weights)) // BLOCK
-        self.block_rest = np.array([self.rest[block == b].max() for b in range(block[-1] + 1)]) if len(weights) else np.zeros(0)
-        posts = sorted((t, i, v) for i, w in enumerate(weights) for t, v in w.items() if self.essential[t])
-        self.item = np.array([i for _, i, _ in posts], np.int64)
-        self.weight = np.array([v for *_, v in posts])
-        self.first = np.searchsorted(np.array([t for t, *_ in posts], np.int64), np.arange(len(self.terms) + 1))
-        most: dict[tuple[int, int], float] = {}
-        for t, i, v in posts:
-            most[t, i // BLOCK] = max(v, most.get((t, i // BLOCK), 0))
-        self.block = np.array([b for _, b in most], np.int64)
-        self.block_most = np.array([*most.values()])
-        self.block_first = np.searchsorted(np.array([t for t, _ in most], np.int64), np.arange(len(self.terms) + 1))
-        self.term_most = np.zeros(len(self.terms))
-        np.maximum.at(self.term_most, np.array([t for t, *_ in posts], np.int64), self.weight)
+    """One part of the benchmark, as arrays.  ``df``: items of the whole benchmark with a term; ``count``: items; ``mean``: words of an item.
+
+    Items keep their text; their n-grams are made when a passage reaches one.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], count: int, mean: float, threshold: float):
+        self.ids, self.texts, self.threshold = [i for i, _ in items], [t for _, t in items], threshold
+        numbers: dict[bytes, int] = {}
+        said: list[np.ndarray] = []
+        for text in self.texts:
+            q, a = question_answer(text)
+            said.append(np.array([numbers.setdefault(w, len(numbers)) for w in q + a], np.int32))
+        n, n_terms = np.array([len(x) for x in said], np.int64), len(numbers)
+        self.stride = max(PASSAGE // 2, int(n.max(initial=0)))
+        self.held: dict[bytes, int] = numbers
+        # Weights of an item's terms, by item, then term.
+        pairs, tf = np.unique(np.repeat(np.arange(len(n)), n) * n_terms + np.concatenate([*said, np.zeros(0, np.int32)]), return_counts=True)
+        item, term = pairs // max(n_terms, 1), pairs % max(n_terms, 1)
+        often = np.array([df[w] for w in numbers], float)
+        weight = np.log(1 + (count - often + 0.5) / (often + 0.5))[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / mean))
+        weight /= np.bincount(item, weight, len(n))[item] if len(item) else 1
+        self.item_first = np.searchsorted(item, np.arange(len(n) + 1))
+        self.item_term, self.item_weight = term.astype(np.int32), weight
+        # The rarest terms of an item become essential until the rest weighs little.
+        order = np.lexsort((term, often[term], item))
+        upto = np.cumsum(weight[order])
+        start = np.concatenate(([0.0], upto))[self.item_first[item[order]]]
+        taken = 1 - (upto - weight[order] - start) >= threshold / 2
+        self.essential = np.zeros(n_terms, bool)
+        self.essential[term[order][taken]] = True
+        ours = self.essential[term]
+        self.rest = np.bincount(item[~ours], weight[~ours], len(n))
+        block = np.arange(len(n)) // BLOCK
+        self.block_rest = np.maximum.reduceat(self.rest, np.flatnonzero(np.diff(block, prepend=-1))) if len(n) else np.zeros(0)
+        # Postings of essential terms, by term, then item, and the maxima of their blocks.
+        order = np.lexsort((item[ours], term[ours]))
+        of_term = term[ours][order]
+        self.item, self.weight = item[ours][order].astype(np.int32), weight[ours][order]
+        self.first = np.searchsorted(of_term, np.arange(n_terms + 1))
+        opens = np.flatnonzero(np.diff(of_term, prepend=-1) | np.diff(self.item // BLOCK, prepend=-1))
+        self.block = self.item[opens] // BLOCK
+        self.block_most = np.maximum.reduceat(self.weight, opens) if len(opens) else np.zeros(0)
+        self.block_first = np.searchsorted(of_term[opens], np.arange(n_terms + 1))
+        self.term_most = np.zeros(n_terms)
+        np.maximum.at(self.term_most, of_term, self.weight)
         self.most_rest = self.rest.max(initial=0.0)
         self.work = {"passages": 0, "pivots": 0, "blocks": 0, "open_blocks": 0, "items": 0, "scored": 0}
-        self.grams = [(grams(q, GRAM), grams(a, GRAM)) for q, a in self.parts]
+        self.made: dict[int, tuple] = {}
+
+    def __getstate__(self):
+        """Terms travel as one string: none of them has a blank."""
+        return self.__dict__ | {"held": b" ".join(self.held), "made": {}}
+
+    def __setstate__(self, state):
+        held = state["held"].split(b" ") if state["held"] else []
+        self.__dict__.update(state | {"held": dict(zip(held, range(len(held))))})
+
+    def parts(self, i: int) -> tuple:
+        """Words of the question and of the answer of an item, and the n-grams of each."""
+        got = self.made.get(i)
+        if got is None:
+            if len(self.made) >= MADE:
+                self.made.clear()
+            own = question_answer(self.texts[i])
+            got = self.made[i] = (own, [grams(x, GRAM) for x in own])
+        return got
 
     @staticmethod
     def spread(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +132,7 @@ class Index:
 
     def search(self, texts: list[str], verify: float) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question share, answer share) of all hits, of each pair the best passage."""
-        get, cells, terms = self.terms.get, [], []
+        get, n_terms, cells, terms = self.held.get, len(self.held), [], []
         cut: list[list[bytes]] = []
         base, owners, starts = 0, [], []
         for k, text in enumerate(texts):
@@ -140,8 +154,8 @@ class Index:
         owners_ = np.array(owners)
         earlier = np.maximum(cell - 1, 0)
         both = (cell > 0) & (owners_[earlier] == owners_[cell])
-        pairs = np.unique(np.concatenate((cell, earlier[both])) * len(self.terms) + np.concatenate((term, term[both])))
-        passage, term = pairs // len(self.terms), pairs % len(self.terms)
+        pairs = np.unique(np.concatenate((cell, earlier[both])) * n_terms + np.concatenate((term, term[both])))
+        passage, term = pairs // max(n_terms, 1), pairs % max(n_terms, 1)
         # Passages with a pivot.
         reach = np.bincount(passage, self.term_most[term], base) + self.most_rest >= self.threshold
         used = reach[passage]
@@ -170,12 +184,13 @@ class Index:
             k = owners[p]
             part = cut[k][starts[p] : starts[p] + 2 * self.stride]
             held = {get(x, -1) for x in part}
-            score = sum(v for t, v in self.weights[i].items() if t in held)
+            own = slice(self.item_first[i], self.item_first[i + 1])
+            score = sum(v for t, v in zip(self.item_term[own].tolist(), self.item_weight[own].tolist()) if t in held)
             if score < self.threshold:
                 continue
             shares, found = [], True
             have: dict[int, set[bytes]] = {}
-            for own, g in zip(self.parts[i], self.grams[i]):
+            for own, g in zip(*self.parts(i)):
                 n = min(GRAM, len(own))
                 if n not in have:
                     have[n] = grams(part, n)
@@ -187,31 +202,45 @@ class Index:
         return [(k, i, *x) for (k, i), x in best.items()]
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.5) -> DataFrame:
-    """(``id_col``, ``item_col``, score, question_overlap, answer_overlap) of all documents that hold test items.
-
-    ``threshold``: share of an item's own BM25 score; ``verify``: share of its question's and of its answer's n-grams.  The index is sent
-    to every task in parts of at most ``INDEX_BYTES`` of item text; each part reads the documents once.
-    """
-    kinds = dict(df.dtypes) | {"item": dict(benchmark.dtypes)[item_col]}
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, threshold: float) -> Iterator[Index]:
+    """The benchmark as indexes of at most ``INDEX_BYTES`` of item text, about; statistics are those of all items."""
+    kind = dict(benchmark.dtypes)[item_col]
 
     def tokens(b: pa.RecordBatch) -> pa.RecordBatch:
         said = [words(x) for x in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("item"), b.column("text"), pa.array([sorted({w.decode() for w in x}) for x in said], pa.list_(pa.string())), pa.array(map(len, said), pa.int64())], names=["item", "text", "terms", "n"])
 
-    items, path = written(per_batch(with_text(benchmark.where(F.col(item_col).isNotNull()), item_text_col, (item_col, "item")), lambda: tokens, f"item {kinds['item']}, text string, terms array<string>, n long").where("n > 0"))
+    items, path = written(per_batch(with_text(benchmark.where(F.col(item_col).isNotNull()), item_text_col, (item_col, "item")), lambda: tokens, f"item {kind}, text string, terms array<string>, n long").where("n > 0"))
     count, mean, size = items.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_parts = max(1, -(-size // INDEX_BYTES))
     part_of = F.pmod(F.xxhash64("item", "text"), F.lit(n_parts))
     df_of = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    docs = with_text(df, text_col, (id_col, "id"))
-    schema = f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds['item']}, score double, question_overlap double, answer_overlap double"
-    out = None
     for k in range(n_parts):
         own = items.where(part_of == k)
         rows = own.select("item", "text").orderBy("item", "text").collect()
         rare = df_of.join(own.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").collect()
-        index = Index([(r.item, r.text) for r in rows], {r.term.encode(): r.df for r in rare}, count, mean, threshold)
+        yield Index([(r.item, r.text) for r in rows], {r.term.encode(): r.df for r in rare}, count, mean, threshold)
+    drop_written(benchmark.sparkSession, path)
+
+
+def searched(held: Index, texts: list[str], verify: float) -> Iterator[tuple]:
+    """Hits of ``Index.search``, a few texts at a time."""
+    for start in range(0, len(texts), 256):
+        for k, *x in held.search(texts[start : start + 256], verify):
+            yield (start + k, *x)
+
+
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.5) -> DataFrame:
+    """(``id_col``, ``item_col``, score, question_overlap, answer_overlap) of all documents that hold test items.
+
+    ``threshold``: share of an item's own BM25 score; ``verify``: share of its question's and of its answer's n-grams.  The index is sent
+    to every task in parts of at most ``INDEX_BYTES`` of item text; each part reads the documents once.
+    """
+    kinds = dict(df.dtypes) | {"item": dict(benchmark.dtypes)[item_col]}
+    docs = with_text(df, text_col, (id_col, "id"))
+    schema = f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds['item']}, score double, question_overlap double, answer_overlap double"
+    out = None
+    for index in indexes(benchmark, item_col, item_text_col, threshold):
         sent = df.sparkSession.sparkContext.broadcast(index)
 
         def make(sent=sent):
@@ -219,10 +248,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
             def f(b: pa.RecordBatch) -> pa.RecordBatch:
                 ids = b.column("id")
-                hits = []
-                texts = b.column("text").to_pylist()
-                for start in range(0, len(texts), 256):
-                    hits += [(start + k, held.ids[i], *x) for k, i, *x in held.search(texts[start : start + 256], verify)]
+                hits = [(k, held.ids[i], *x) for k, i, *x in searched(held, b.column("text").to_pylist(), verify)]
                 cols = list(zip(*hits)) or [[]] * 5
                 return pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c) if c else pa.array([], t) for c, t in zip(cols[1:], (pa.int64(), *[pa.float64()] * 3)))], names=[id_col, item_col, "score", "question_overlap", "answer_overlap"])
 
@@ -230,11 +256,22 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         found = per_batch(docs, make, schema)
         out = found if out is None else out.unionByName(found)
-    drop_written(df.sparkSession, path)
     return out
 
 
-def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """Rows of ``df`` without the documents that hold test items; all columns; rows without an id stay."""
-    found, _ = written(contaminated(df, benchmark, id_col, text_col, **more).select(F.col(id_col).alias("gridgauge_id")).distinct())
-    return df.join(found, df[id_col] == found["gridgauge_id"], "left_anti")
+def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.5) -> DataFrame:
+    """Rows of ``df``, all columns, whose text holds no test item; one pass a part of the benchmark, without a shuffle."""
+    for index in indexes(benchmark, item_col, item_text_col, threshold):
+        sent = df.sparkSession.sparkContext.broadcast(index)
+
+        def make(sent=sent):
+            held = sent.value
+
+            def f(b: pa.RecordBatch) -> pa.RecordBatch:
+                hit = {k for k, *_ in searched(held, [x or "" for x in b.column(text_col).to_pylist()], verify)}
+                return b.filter(pa.array([k not in hit for k in range(b.num_rows)], pa.bool_()))
+
+            return f
+
+        df = per_batch(df, make, df.schema)
+    return df

@@ -322,16 +322,10 @@ def test_sharding_odd(spark, odd, monkeypatch):
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 
-def brute_hits(texts, items, verify=0.5):
-    want = set()
-    for item, t in items.items():
-        q, a = decontaminate.question_answer(t)
-        g = [(p, min(5, len(p)), decontaminate.grams(p, 5)) for p in (q, a)]
-        for i, d in texts.items():
-            w = decontaminate.words(d)
-            if g[0][2] | g[1][2] and all(len(x & {b" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}) >= verify * len(x) for _, n, x in g if n):
-                want.add((i, item))
-    return want
+def brute_hits(texts, items):
+    from test_benchmark_scores import brute
+
+    return set(brute(texts, items))
 
 
 def test_decontamination_brute_force(spark, sf_dir, texts):
