@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
 # Words
 
 
-BEFORE, BEHIND = "\"'<>&#*$%!?;:,.=", "\"'<>&#*$%!?;:,.="
+MARKS = "\"'<>&#*$%!?;:,.="
 SEEN = 48
 
 
@@ -113,7 +113,7 @@ def shape_of(core: str) -> str:
 
 def features_of(word: str) -> list[str]:
     start = word[:SEEN]
-    core = start.lstrip(BEFORE).rstrip(BEHIND)
+    core = start.strip(MARKS)
     digits = sum("0" <= c <= "9" for c in core)
     shape = shape_of(core)
     plain = re.sub(r"six|ten|card|more|\d+", "", shape)
@@ -124,7 +124,7 @@ def features_of(word: str) -> list[str]:
         out.append(f"word {core.lower()}")
     elif any(c.isalpha() for c in core) and digits:
         out.append("mixed")
-    if word[-1:] in BEHIND:
+    if word[-1:] in MARKS:
         out.append(f"end {'stop' if word[-1] in '.,;:!?' else 'mark'}")
     return out
 
@@ -149,17 +149,32 @@ class Words:
 
     def __init__(self, model: Model):
         self.at = {f: k for k, f in enumerate(model.features)}
-        self.model, self.of_word, self.types = model, {}, {(): 0}
+        self.model, self.of_word, self.types, self.plain = model, {}, {(): 0}, {}
         self.table = np.zeros((3, 64, len(TAGS)), np.float32)
 
     def __call__(self, word: bytes) -> int:
-        known = tuple(self.at[f] for f in features_of(word.decode("utf-8", "replace")) if f in self.at)
+        text = word.decode("utf-8", "replace")
+        core = text.strip(MARKS)
+        key = None
+        if core.isalpha() and len(text) <= SEEN and text.startswith(core):
+            # All such words of one case and end that the model doesn't know by themselves have the same features.
+            low = core.lower()
+            own = low if f"word {low}" in self.at else None
+            key = own, core.isupper(), core[0].isupper(), text[-1] if len(text) > len(core) else ""
+            if (t := self.plain.get(key)) is not None:
+                return self.keep(word, t)
+        known = tuple(self.at[f] for f in features_of(text) if f in self.at)
         t = self.types.get(known)
         if t is None:
             t = self.types[known] = len(self.types)
             if t >= self.table.shape[1]:
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
             self.table[:, t] = self.model.weights[:, list(known)].sum(1)
+        if key:
+            self.plain[key] = t
+        return self.keep(word, t)
+
+    def keep(self, word: bytes, t: int) -> int:
         if len(self.of_word) >= MOST_WORDS:
             self.of_word.clear()
         self.of_word[word] = t
@@ -404,9 +419,9 @@ def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     for part in np.split(held, np.flatnonzero((np.diff(held) > 1) | (np.diff(tags[held]) != 0)) + 1):
         start, end = at[part[0]][0], at[part[-1]][1]
-        while start < end and text[start] in BEFORE:
+        while start < end and text[start] in MARKS:
             start += 1
-        while start < end and text[end - 1] in BEHIND:
+        while start < end and text[end - 1] in MARKS:
             end -= 1
         if start < end:
             out.append((start, len(BASE) + int(tags[part[0]]) - 1, end))
