@@ -106,24 +106,6 @@ def profile_pages(pages: DataFrame, by: str = "document_id") -> DataFrame:
     return pages.groupBy(by).agg(F.count("*").cast("int").alias("page_count"), (F.sum(full) > 0.5 * F.count("*")).alias("is_digital"))
 
 
-def excel_cells(files: DataFrame, most_sheets: int | None = None) -> DataFrame:
-    """SRC-15, SRC-21: (path, sheet, row, col, value) of workbooks in a ``binaryFile`` frame; needs a pandas Excel engine on the executors.  A file that can't be read gives one row with its error."""
-
-    def read(batches):
-        import io
-
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    book = pd.read_excel(io.BytesIO(content), sheet_name=None, header=None, dtype=str)
-                    rows = [(path, str(s), r, c, v, None) for s, f in list(book.items())[:most_sheets] for (r, c), v in f.stack().items()]
-                except Exception as e:  # a damaged file is a row, not a failed job
-                    rows = [(path, None, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value", "error"]).astype({"row": "Int32", "col": "Int32"})
-
-    return files.select("path", "content").mapInPandas(read, "path string, sheet string, row int, col int, value string, error string")
-
-
 def excel_regions(cells: DataFrame, by: list[str]) -> DataFrame:
     """TBL-21: blocks of rows with two or more filled cells, without a gap: first and last row, first and last column."""
     rows = cells.where(~tb.blank(F.col("value"))).groupBy(*by, "row").agg(F.count("*").alias("n"), F.min("col").alias("c0"), F.max("col").alias("c1")).where("n >= 2")
