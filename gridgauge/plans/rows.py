@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridgauge.functions import dates, text
 from gridgauge.functions import tables as tb
-from gridgauge.operators import boxes, policy, quality, sequences, truth
+from gridgauge.operators import boxes, policy, quality, sequences, store, truth
 from gridgauge.plans.figures import r6
-from gridgauge.plans.registry import query
+from gridgauge.plans.registry import folder, query
 from gridgauge.sources import bridge, payloads
 from gridgauge.streaming import progress
 
@@ -345,36 +342,55 @@ def jn_09_10_diff(spark, sf_dir):
 
 @query("select (select count(*) from fx_document where document_id % 10 <> 0) as docs, (select count(*) from fx_gt where document_id % 10 <> 0) as truths, (select count(*) from fx_extraction where document_id % 10 <> 0) as runs, (select count(*) from fx_score s join fx_extraction e using (extraction_result_id) where document_id % 10 <> 0) as scores", "tables")
 def snk_09_cascade_delete(spark, sf_dir):
-    er = bridge.extractions(spark, sf_dir)
-    docs = bridge.documents(spark, sf_dir)
-    parts = truth.delete_documents(docs, bridge.ground_truth(spark, sf_dir), er, bridge.scores(er), docs.where("document_id % 10 = 0"))
-    names = ("docs", "truths", "runs", "scores")
-    every = [p.select(F.lit(n).alias("part")) for p, n in zip(parts, names)]
-    return every[0].union(every[1]).union(every[2]).union(every[3]).agg(*[F.count_if(F.col("part") == n).alias(n) for n in names])
+    """From four written tables; what is left of each."""
+    er, at = bridge.extractions(spark, sf_dir), folder(spark)
+    frames = {"docs": bridge.documents(spark, sf_dir), "truths": bridge.ground_truth(spark, sf_dir), "runs": er, "scores": bridge.scores(er)}
+    made = {n: store.Table(spark, f"{at}/{n}", "extraction_result_id" if n == "scores" else "document_id", 16).create(f) for n, f in frames.items()}
+    store.delete_documents(*made.values(), frames["docs"].where("document_id % 10 = 0"))
+    left = [t.read().select(F.lit(n).alias("part")) for n, t in made.items()]
+    return left[0].union(left[1]).union(left[2]).union(left[3]).agg(*[F.count_if(F.col("part") == n).alias(n) for n in made])
 
 
 @query("select document_id, table_index, case when document_id % 3 = 0 and table_index = 0 then 'new' else 'old' end as origin from fx_gt union all select document_id, 9, 'new' from fx_document where document_id % 3 = 0", "tables")
 def snk_10_11_12_replace(spark, sf_dir):
-    old = bridge.ground_truth(spark, sf_dir).select("document_id", "table_index", F.lit("old").alias("origin"))
+    """Rows replaced and added in a written table, twice: the second time changes nothing."""
+    keys = ["document_id", "table_index"]
+    old = bridge.ground_truth(spark, sf_dir).select(*keys, F.lit("old").alias("origin"))
     first = old.where("document_id % 3 = 0 and table_index = 0").withColumn("origin", F.lit("new"))
     more = bridge.documents(spark, sf_dir).where("document_id % 3 = 0").select("document_id", F.lit(9).alias("table_index"), F.lit("new").alias("origin"))
-    return truth.insert_absent(truth.replace(old, first, ["document_id", "table_index"]), more, ["document_id", "table_index"])[0]
+    t = store.Table(spark, folder(spark), buckets=16).create(old)
+    for _ in range(2):
+        t.replace(first, keys)
+        t.insert_absent(more, keys)
+    return t.read()
+
+
+@query("""select * from (with e as (select * from fx_extraction), g as (select document_id, tool_name, max(case when table_index = 0 then processing_time_ms end) as ms, max(case when table_index = 0 then cost_usd end) as cost from e where document_id % 6 = 0 group by all)
+  select document_id, tool_name, table_index, processing_time_ms as ms, round(cost_usd, 6) as cost, 'old' as origin from e where document_id % 6 <> 0
+  union all select document_id, tool_name, i, case when i = 0 then ms else 0 end, case when i = 0 then round(cost, 6) else 0.0 end, 'new' from g, (select unnest([0, 1]) as i))""", "tables")
+def snk_10_replace_run(spark, sf_dir):
+    """Each run of every sixth document gets two tables in a written table; time and cost of the run stay on the first."""
+    er = bridge.extractions(spark, sf_dir).select("document_id", "tool_name", "table_index", "processing_time_ms", "cost_usd", F.lit("old").alias("origin"))
+    new = er.where("document_id % 6 = 0").select("document_id", "tool_name").distinct()
+    new = new.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("table_index"), F.lit(7).alias("processing_time_ms"), F.lit(7.0).alias("cost_usd"), F.lit("new").alias("origin"))
+    t = store.Table(spark, folder(spark), buckets=16).create(er)
+    t.replace_run(new)
+    t.replace_run(new)
+    return t.read().select("document_id", "tool_name", "table_index", F.col("processing_time_ms").alias("ms"), r6(F.col("cost_usd")).alias("cost"), "origin")
 
 
 @query("select document_id, case when document_id % 4 = 0 then 'low' else complexity_tier end as complexity_tier, case when document_id % 8 = 0 then null else is_digital end as is_digital from fx_document", "tables")
 def snk_13_15_update(spark, sf_dir):
     docs = bridge.documents(spark, sf_dir).select("document_id", "complexity_tier", "is_digital")
     changes = docs.where("document_id % 4 = 0").select("document_id", F.lit("low").alias("complexity_tier"), F.lit(None).cast("boolean").alias("is_digital"), (F.col("document_id") % 8 == 0).alias("set_is_digital"))
-    return truth.update(docs, changes, ["document_id"], ("is_digital",))
+    t = store.Table(spark, folder(spark), buckets=16).create(docs)
+    t.update(changes, ["document_id"], ("is_digital",))
+    return t.read()
 
 
 def _stream(spark, sf_dir, build, mode: str) -> DataFrame:
     """What a stream over ``events`` has written once it has read all of it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="gridgauge-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = folder(spark)
     static = bridge.load(spark, sf_dir, "events")
     source = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     got = build(source)

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgauge import dims
 from gridgauge.functions import tables as tb
-from gridgauge.operators import boxes, choice, cost, filters, policy, quality, sequences, sinks, truth
+from gridgauge.operators import boxes, choice, cost, filters, policy, quality, sequences, sinks, store, truth
 from gridgauge.plans.figures import r6
-from gridgauge.plans.registry import query, slots_of
+from gridgauge.plans.registry import folder, query, slots_of
 from gridgauge.plans.results import SCORED, scored, scored_export, slot_export
 from gridgauge.sources import bridge, payloads
 from gridgauge.streaming import progress
@@ -318,13 +316,6 @@ def tbl_42_fits(spark, sf_dir):
 # --- writes -------------------------------------------------------------------------------------------------------------
 
 
-def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='gridgauge-')).rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 @query(f"select document_id, tool_name, table_index, case when cost_usd <> 0 then cast(round(cost_usd, 6) as varchar) else '' end as cost_usd from {SCORED} where document_id = (select min(document_id) from {SCORED})", "tables")
 def snk_03_one_document(spark, sf_dir):
     rows = scored(spark, sf_dir)
@@ -361,13 +352,20 @@ def snk_08_run_rows(spark, sf_dir):
     k = F.col("k")
     one = F.struct(F.array(F.lit("h")).alias("headers"), F.array(F.array(k.cast("string"))).alias("rows"))
     runs = orders(spark, sf_dir).select(k.alias("document_id"), F.lit("gpt5").alias("tool_name"), (k % 100).alias("processing_time_ms"), F.lit(0.5).alias("cost_usd"), F.array_repeat(one, (k % 4).cast("int")).alias("tables"), F.when(k % 4 == 0, "empty_output").alias("failure_reason"), F.lit(False).alias("is_transient_failure"))
-    return sinks.run_rows(runs).select("document_id", "table_index", F.col("processing_time_ms").alias("ms"), F.col("cost_usd").alias("cost"), F.size("rows").alias("n_rows"), F.col("failure_reason").alias("reason"))
+    rows = sinks.run_rows(runs)
+    # Half of the runs are there; all come, and come again.
+    t = store.Table(spark, folder(spark), buckets=16).create(rows.where("document_id % 8 < 4"))
+    for _ in range(2):
+        t.append(rows, ["document_id", "tool_name", "table_index"])
+    return t.read().select("document_id", "table_index", F.col("processing_time_ms").alias("ms"), F.col("cost_usd").alias("cost"), F.size("rows").alias("n_rows"), F.col("failure_reason").alias("reason"))
 
 
 @query("select document_id, table_index from fx_gt where not (document_id % 3 = 0 and table_index = 1)", "tables")
 def snk_14_delete(spark, sf_dir):
-    t = bridge.ground_truth(spark, sf_dir).select("document_id", "table_index")
-    return truth.delete(t, t.where("document_id % 3 = 0 and table_index = 1"), ["document_id", "table_index"])
+    rows, keys = bridge.ground_truth(spark, sf_dir).select("document_id", "table_index"), ["document_id", "table_index"]
+    t = store.Table(spark, folder(spark), buckets=16).create(rows)
+    t.delete(rows.where("document_id % 3 = 0 and table_index = 1"), keys)
+    return t.read()
 
 
 # --- files and tools ----------------------------------------------------------------------------------------------------

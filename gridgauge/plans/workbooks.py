@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridgauge.plans.registry import query
-from gridgauge.plans.runs import folder
+from gridgauge.plans.registry import folder, query
 from gridgauge.sources import bridge, excel
 
 
