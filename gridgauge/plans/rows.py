@@ -409,7 +409,7 @@ def stm_04_05_06_running(spark, sf_dir):
 
 
 @query("select user_id, round(arg_max(value, (ts, event_id)), 6) as value from events group by all", None)
-def stm_08_09_latest(spark, sf_dir):
+def stream_latest(spark, sf_dir):
     return _stream(spark, sf_dir, progress.latest, "complete").select("user_id", r6(F.col("value")).alias("value"))
 
 

@@ -453,8 +453,46 @@ def stm_02_percent(spark, sf_dir):
 
 
 @query("select user_id, round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 3) as seconds, date_diff('microsecond', min(ts), max(ts)) / 1e6 > 86400 as timed_out from events group by all", None)
-def stm_03_elapsed(spark, sf_dir):
+def stream_elapsed(spark, sf_dir):
     at = folder(spark)
     got = progress.elapsed(source(spark, sf_dir), 86_400)
     got.writeStream.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{at}/data")).option("checkpointLocation", f"{at}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(got.schema).parquet(f"{at}/data").select("user_id", F.round("seconds", 3).alias("seconds"), "timed_out")
+
+
+HOURS = 30
+
+
+@query(f"""with j as (select user_id, min(ts) as started, max(ts) as newest from events group by all),
+  e as (select distinct user_id from events join j using (user_id) where event_type = 'purchase' and date_trunc('millisecond', ts) <= date_trunc('millisecond', started) + interval {HOURS} hour)
+  select user_id as job, date_trunc('millisecond', started) as started, date_trunc('millisecond', started) + interval {HOURS} hour as deadline from j anti join e using (user_id) where started + interval {HOURS} hour <= (select max(ts) from events) - interval 2 hour""", None)
+def stm_03_timeouts(spark, sf_dir):
+    """Jobs without a purchase in so many hours after their first event, as their timers report them."""
+    at = folder(spark)
+    got = progress.timeouts(source(spark, sf_dir), HOURS * 3600, F.col("event_type") == "purchase")
+    name, held = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got.writeStream.format("parquet").option("path", f"{at}/data").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, held)
+    back = spark.read.schema(got.schema).parquet(f"{at}/data")
+    return back.select("job", F.col("started").cast("timestamp_ntz").alias("started"), F.col("deadline").cast("timestamp_ntz").alias("deadline"))
+
+
+@query("""with l as (select distinct user_id as job, k from events, (select unnest([0, 1, 2]) as k) where user_id % 3 = 0 or k = 0), n as (select user_id as job, count(*) as n from events group by all)
+  select 'listener-' || job || '-' || k as listener, job, case when k = 1 then 0 else n end as n, k = 1 as dead, k <> 1 as stays from l join n using (job)""", None)
+def stm_01_listeners(spark, sf_dir):
+    """All jobs' events to one listener each, and to three for every third job, of which the second is dead; who got how many, and who is still there."""
+    at = folder(spark)
+    jobs = bridge.load(spark, sf_dir, "events").select("user_id").distinct()
+    k = F.when(F.col("user_id") % 3 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    table = store.Table(spark, f"{at}/listeners", "user_id", 16).create(jobs.select("user_id", F.explode(k).alias("k")).select("user_id", F.concat_ws("-", F.lit("listener"), "user_id", "k").alias("listener")))
+
+    def send(listener, batch, piece, rows):
+        if listener.endswith("-1"):
+            raise ConnectionError("gone")
+
+    progress.deliver(source(spark, sf_dir), table, send, f"{at}/sent", f"{at}/state").awaitTermination()
+    sent = spark.read.parquet(f"{at}/sent").groupBy("listener", "job").agg(F.sum("n").alias("n"), F.max("dead").alias("dead"))
+    return sent.join(table.read().select("listener", F.lit(True).alias("stays")), "listener", "left").withColumn("stays", F.coalesce("stays", F.lit(False)))

@@ -1,4 +1,4 @@
-"""STM-01 to STM-10: progress and running statistics over event streams.
+"""STM-01 to STM-07, STM-10: progress and running statistics over event streams.
 
 Sources have event_id, ts, user_id (the job), event_type and value.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from gridgauge.operators import store
 
 
 def events(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -47,11 +51,101 @@ def percent(stream: DataFrame, stage: Column, by: str = "user_id") -> DataFrame:
 
 
 def elapsed(stream: DataFrame, most_s: float, by: str = "user_id") -> DataFrame:
-    """STM-03: of each job the seconds from its first to its last event, and whether they exceed the time it has; two numbers of state a job."""
+    """Of each job the seconds from its first to its last event, and whether they exceed the time it has; two numbers of state a job."""
     seconds = F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))
     return stream.groupBy(by).agg((seconds / 1e6).alias("seconds")).withColumn("timed_out", F.col("seconds") > most_s)
 
 
+class Deadline(StatefulProcessor):
+    """A job's first event sets a timer; an event that ends the job in time takes it away; else the timer reports the job."""
+
+    def __init__(self, most_ms: int):
+        self.most_ms = most_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "started long, done boolean, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        started, done, n = self.state.get() if self.state.exists() else (None, False, 0)
+        first, ends, before = started, [], started
+        for p in rows:
+            at = p["ts"].astype("datetime64[us]").astype("int64") // 1000
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+            ends += at[p["ends"] == True].sort_values()[:1].tolist()  # noqa: E712, null is no end
+            n += len(p)
+        if not done:
+            done = any(x <= first + self.most_ms for x in ends)
+            if before is not None and (done or first != before):
+                self.handle.deleteTimer(before + self.most_ms)
+            if not done and (before is None or first != before):
+                self.handle.registerTimer(first + self.most_ms)
+        self.state.update((first, done, n))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        started, done, n = self.state.get()
+        if not done:
+            self.state.update((started, True, n))
+            yield pd.DataFrame({"job": [key[0]], "started": [pd.Timestamp(started, unit="ms")], "deadline": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def timeouts(stream: DataFrame, most_s: float, ends: Column, by: str = "user_id", late: str = "2 hours") -> DataFrame:
+    """STM-03: jobs that no event has ended ``most_s`` after their first: ``job``, ``started``, ``deadline`` and ``n`` events so far.
+
+    The watermark, ``late`` behind the newest event of any job, sets the timers off, so a job that falls silent is reported
+    too, once.  State is three values a job.  The session needs the RocksDB state store.
+    """
+    rows = stream.select(by, F.col("ts").cast("timestamp").alias("ts"), ends.alias("ends")).withWatermark("ts", late)
+    kind = dict(stream.dtypes)[by]
+    return rows.groupBy(by).transformWithStateInPandas(Deadline(round(most_s * 1000)), f"job {kind}, started timestamp, deadline timestamp, n long", "append", "EventTime")
+
+
+def deliver(stream: DataFrame, listeners: store.Table, send: Callable[[str, int, int, pd.DataFrame], None], out: str, checkpoint: str, by: str = "user_id"):
+    """STM-01: every micro-batch's events to the listeners of their job; listeners that a send fails for are pruned.
+
+    ``listeners`` has the columns ``by`` and ``listener`` and is read anew for each batch.  ``send`` gets the listener, the number
+    of the batch, the number of the piece and some rows; a batch that runs again has the same number, so a receiver can tell what it
+    has.  What was sent is written to ``out``, a folder a batch, which a repeated batch replaces: ``listener``, job, ``n`` and
+    ``dead``.  Listeners are pruned after that; a run that dies between goes over the batch again and prunes then.
+    """
+
+    def one(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        said = listeners.read().select(F.col(by).alias("job"), "listener").distinct()
+        rows = df.select(F.col(by).alias("job"), "*").join(said, "job").repartition("listener").sortWithinPartitions("listener", "ts", "event_id")
+        columns = df.columns
+
+        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            dead, pieces = set(), Counter()
+            for p in batches:
+                outcome = []
+                for (listener, job), own in p.groupby(["listener", "job"], sort=False):
+                    n = 0
+                    if listener not in dead:
+                        try:
+                            send(listener, batch, pieces[listener], own[columns])
+                            n = len(own)
+                        except Exception:  # noqa: BLE001, whatever the send fails with
+                            dead.add(listener)
+                    pieces[listener] += 1
+                    outcome.append((listener, job, n, listener in dead))
+                yield pd.DataFrame(outcome, columns=["listener", "job", "n", "dead"])
+
+        kind = dict(df.dtypes)[by]
+        sent = rows.mapInPandas(post, f"listener string, job {kind}, n long, dead boolean")
+        place = f"{out}/batch={batch}"
+        sent.groupBy("listener", "job").agg(F.sum("n").alias("n"), F.max("dead").alias("dead")).write.mode("overwrite").parquet(place)
+        gone = spark.read.schema(f"listener string, job {kind}, n long, dead boolean").parquet(place).where("dead").select("listener").distinct()
+        of_dead = listeners.read().join(gone, "listener", "left_semi").select(by, "listener")
+        listeners.delete(of_dead, [by, "listener"])
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def counts(stream: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """STM-10: events and mean value by type and window; rows later than the watermark are left out.  An extension of our own."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("start"), "event_type", "n", "mean_value")
@@ -115,7 +209,7 @@ def breaker(stream: DataFrame, by: str = "user_id", failures: int = 3, reset_s:
 
 
 def latest(stream: DataFrame, by: str = "user_id") -> DataFrame:
-    """STM-08, STM-09: the last result of each key.
+    """The last result of each key.
 
     The greatest (ts, event_id) is the same however often an event comes, so repeats need no state of their own; the
     state is one row a key.
