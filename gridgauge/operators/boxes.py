@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridgauge.shared import written
+
 
 def area(b: Column) -> Column:
     return F.greatest(b["x1"] - b["x0"], F.lit(0.0)) * F.greatest(b["y1"] - b["y0"], F.lit(0.0))
@@ -24,37 +26,64 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(s, area(a) + area(b) - s), F.lit(0.0))
 
 
-def match(pred: DataFrame, truth: DataFrame, page: str = "page", least: float = 0.5) -> DataFrame:
-    """JN-12: (page, pred, true, iou) of a one-to-one matching: pairs of a page from the most alike down, each box once.
+#: Side of a grid cell in which boxes meet; pairs of a page that are decided in one group; pairs of one group, about.
+CELL, LARGE, TOGETHER = 200.0, 20_000, 50_000
+
+
+def meeting(a: DataFrame, b: DataFrame, page: str, one: str, other: str) -> DataFrame:
+    """Pairs of boxes that touch a cell of a coarse grid both, each in the first such cell only: page, ``one``, ``other`` and their boxes."""
 
-    Only overlapping pairs leave the join: boxes meet in the cells of a coarse grid that both touch, and each
-    pair counts in the first of them.
-    """
     def celled(df: DataFrame, name: str) -> DataFrame:
         at = lambda c: F.floor(F.col(c) / CELL).cast("int")
         rows, cols = F.explode(F.sequence(at("y0"), at("y1"))), F.sequence(at("x0"), at("x1")).alias("cols")
         return df.select(page, F.col("id").alias(f"{name}_id"), F.struct("x0", "y0", "x1", "y1").alias(name), cols, rows.alias("gy")).select(page, f"{name}_id", name, "gy", F.explode("cols").alias("gx"))
 
-    a, b = celled(pred, "pred"), celled(truth, "true")
-    pairs = a.join(b, [page, "gx", "gy"])
-    first = (F.col("gx") == F.floor(F.greatest(F.col("pred.x0"), F.col("true.x0")) / CELL)) & (F.col("gy") == F.floor(F.greatest(F.col("pred.y0"), F.col("true.y0")) / CELL))
-    pairs = pairs.where(first).select(page, F.col("pred_id").alias("pred"), F.col("true_id").alias("true"), iou(F.col("pred"), F.col("true")).alias("iou")).where(F.col("iou") >= least)
+    pairs = celled(a, one).join(celled(b, other), [page, "gx", "gy"])
+    first = lambda g, c: F.col(g) == F.floor(F.greatest(F.col(f"{one}.{c}"), F.col(f"{other}.{c}")) / CELL)
+    return pairs.where(first("gx", "x0") & first("gy", "y0"))
+
+
+def by_size(pairs: DataFrame, page: str) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs of pages of at most ``LARGE`` pairs, pairs of larger pages, and how many groups the first make.
+
+    A larger page has so many pairs that there are few of them for the table's size; they are broadcast only if there are
+    fewer than 10,000.
+    """
+    sizes = written(pairs.groupBy(page).agg(F.count("*").alias("n")))
+    total, n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > LARGE)).first()
+    large = sizes.where(F.col("n") > LARGE).select(page)
+    large = F.broadcast(large) if n < 10_000 else large
+    return (pairs if not n else pairs.join(large, page, "left_anti")), (pairs.limit(0) if not n else pairs.join(large, page, "left_semi")), max(1, -(-total // TOGETHER))
+
+
+def match(pred: DataFrame, truth: DataFrame, page: str = "page", least: float = 0.5) -> DataFrame:
+    """JN-12: (page, pred, true, iou) of a one-to-one matching: pairs of a page from the most alike down, each box once.
+
+    Only overlapping pairs leave the join.  Pages of up to ``LARGE`` pairs are decided in groups of many pages.  On larger ones
+    a pair is taken once it is the best undecided one of both its boxes, round by round, which gives the same matching.
+    """
+    pairs = meeting(pred, truth, page, "pred", "true").select(page, F.col("pred_id").alias("pred"), F.col("true_id").alias("true"), iou(F.col("pred"), F.col("true")).alias("iou")).where(F.col("iou") >= least)
+    pairs = written(pairs)
+    small, large, groups = by_size(pairs, page)
 
     def greedy(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["iou", "pred", "true"], ascending=[False, True, True], kind="stable")
         used_p, used_t, keep = set(), set(), []
-        for x, y in zip(p["pred"], p["true"]):
-            keep.append(x not in used_p and y not in used_t)
+        for k, x, y in zip(p[page], p["pred"], p["true"]):
+            keep.append((k, x) not in used_p and (k, y) not in used_t)
             if keep[-1]:
-                used_p.add(x)
-                used_t.add(y)
+                used_p.add((k, x))
+                used_t.add((k, y))
         return p[np.array(keep, bool)]
 
-    return pairs.groupBy(page).applyInPandas(greedy, pairs.schema)
-
-
-#: Side of a grid cell in which boxes meet.
-CELL = 200.0
+    out = small.groupBy(F.pmod(F.xxhash64(page), F.lit(groups))).applyInPandas(greedy, pairs.schema)
+    order = F.struct((-F.col("iou")).alias("far"), "pred", "true")
+    while not large.isEmpty():
+        best = lambda c: F.min(order).over(Window.partitionBy(page, c))
+        taken = written(large.select("*", best("pred").alias("a"), best("true").alias("b")).where(order.eqNullSafe(F.col("a")) & order.eqNullSafe(F.col("b"))).drop("a", "b"))
+        out = out.unionByName(taken)
+        large = written(large.join(taken.select(page, "pred"), [page, "pred"], "left_anti").join(taken.select(page, "true"), [page, "true"], "left_anti"))
+    return out
 
 
 def detection(pred: DataFrame, truth: DataFrame, matched: DataFrame) -> DataFrame:
@@ -100,16 +129,36 @@ def best_band(cells: DataFrame, bands: DataFrame, page: str, low: str, high: str
 
 
 def suppress(regions: DataFrame, page: str = "page", most: float = 0.5) -> DataFrame:
-    """SRT-10: regions from the largest down, kept unless a kept one covers more than ``most`` of the smaller of the two."""
-
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        size = (p["x1"] - p["x0"]) * (p["y1"] - p["y0"])
-        p = p.assign(size=size).sort_values(["size", "id"], ascending=[False, True], kind="stable")
-        kept: list = []
-        for r in p.itertuples():
-            over = [max(0.0, min(r.x1, k.x1) - max(r.x0, k.x0)) * max(0.0, min(r.y1, k.y1) - max(r.y0, k.y0)) / max(min(r.size, k.size), 1e-9) for k in kept]
-            if not over or max(over) <= most:
-                kept.append(r)
-        return p.loc[[k.Index for k in kept]].drop(columns="size")
-
-    return regions.groupBy(page).applyInPandas(f, regions.schema)
+    """SRT-10: regions from the largest down, kept unless a kept one covers more than ``most`` of the smaller of the two.
+
+    Regions that cover each other so meet in grid cells.  On pages of up to ``LARGE`` such pairs the order is followed in groups of
+    many pages; on larger ones a region is kept once all before it that it meets are decided and none of them is kept.
+    """
+    both = meeting(regions, regions, page, "a", "b").where("a_id <> b_id")
+    area_of = lambda c: F.greatest(area(F.col(c)), F.lit(1e-9))
+    both = both.where(shared(F.col("a"), F.col("b")) / F.least(area_of("a"), area_of("b")) > most)
+    before = (area_of("a") > area_of("b")) | ((area_of("a") == area_of("b")) & (F.col("a_id") < F.col("b_id")))
+    # ``first`` comes before ``then``.
+    pairs = written(both.where(before).select(page, F.col("a_id").alias("first"), F.col("b_id").alias("then"), area_of("b").alias("size")))
+    small, large, groups = by_size(pairs, page)
+
+    def decide(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["size", "then"], ascending=[False, True], kind="stable")
+        gone: set = set()
+        for k, x, y in zip(p[page], p["first"], p["then"]):
+            if (k, x) not in gone:
+                gone.add((k, y))
+        keys = [(k, y) for k, y in zip(p[page], p["then"])]
+        return p[np.array([x in gone for x in keys], bool)][[page, "then"]].drop_duplicates()
+
+    kinds = dict(pairs.dtypes)
+    schema = f"`{page}` {kinds[page]}, then {kinds['then']}"
+    gone = small.groupBy(F.pmod(F.xxhash64(page), F.lit(groups))).applyInPandas(decide, schema)
+    while not large.isEmpty():
+        # Regions that nothing undecided comes before stay, those that they meet go.
+        stay = large.select(page, F.col("first").alias("id")).distinct().join(large.select(page, F.col("then").alias("id")), [page, "id"], "left_anti")
+        lost = written(large.join(stay.withColumnRenamed("id", "first"), [page, "first"], "left_semi").select(page, "then").distinct())
+        gone = gone.unionByName(lost)
+        left = large.join(lost, [page, "then"], "left_anti").join(lost.withColumnRenamed("then", "first"), [page, "first"], "left_anti")
+        large = written(left)
+    return regions.join(gone.withColumnRenamed("then", "id"), [page, "id"], "left_anti").select(*regions.columns)

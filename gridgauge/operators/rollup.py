@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridgauge import dims
@@ -56,19 +58,43 @@ def quantile(values: Column, p: float) -> Column:
     return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(F.get(values, at - 1))
 
 
-def five_numbers(by: list[str], df: DataFrame, value: Column) -> DataFrame:
-    """AGG-05 and AGG-10, by group, groups without a value dropped.
+#: Pieces into which a group's values are cut; a piece is sorted in one task.
+PIECES = 128
 
-    Distinct values are counted first, so that a group's array holds values, not rows; ranks come from
-    the running count.
-    """
-    from pyspark.sql import Window
 
+def order_statistics(by: list[str], df: DataFrame, value: Column, ranks: dict[str, Callable[[Column], Column]], few: bool) -> DataFrame:
+    """``by``, the value at each of ``ranks`` (functions of the group's number of values, from 1), ``min``, ``max`` and ``n``; groups without a value dropped.
+
+    Distinct values are counted first.  Approximate quantiles cut each group into ``PIECES``; counts of the pieces say which
+    one holds a rank, and only those pieces are sorted, each by itself, so no group is in one task and the result is exact.
+    ``few``: groups are those of a fixed dimension, so that a row for each of them can be broadcast.
+    """
+    near = F.broadcast if few else (lambda d: d)
     counts = df.select(*by, value.alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("k"))
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(Window.partitionBy(*by)))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.lit(p) * (F.col("n") - 1) + F.lit(0.5)) + 1, F.col("v")))
-    return ranked.groupBy(*by).agg(F.min("v").alias("min"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("v").alias("max"), F.max("n").alias("n"))
+    edges = counts.groupBy(*by).agg(F.percentile_approx("v", [x / PIECES for x in range(1, PIECES)], 20 * PIECES).alias("edges"))
+    placed = counts.join(near(edges), by).withColumn("piece", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    upto = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*by, "piece").agg(F.sum("k").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"))
+    whole = Window.partitionBy(*by)
+    sums = sums.select("*", F.sum("k").over(upto).alias("upto"), F.sum("k").over(whole).alias("n"), F.min("low").over(whole).alias("min"), F.max("high").over(whole).alias("max"))
+    wanted = sums.select(*by, "piece", "n", "min", "max", (F.col("upto") - F.col("k")).alias("before"), "upto", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items()])).alias("s"))
+    wanted = wanted.where("s.rank > before and s.rank <= upto").groupBy(*by, "piece", "n", "min", "max").agg(F.collect_list(F.struct("s.name", (F.col("s.rank") - F.col("before")).alias("rank"))).alias("ranks"))
+    inside = placed.join(near(wanted), [*by, "piece"])
+    inside = inside.withColumn("upto", F.sum("k").over(Window.partitionBy(*by, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = inside.select(*by, "n", "min", "max", "v", F.explode(F.filter("ranks", lambda r: (r["rank"] <= F.col("upto")) & (r["rank"] > F.col("upto") - F.col("k")))).alias("r"))
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("r.name") == name, F.col("v"))).alias(name) for name in ranks], F.first("min").alias("min"), F.first("max").alias("max"), F.first("n").alias("n"))
+
+
+def five_numbers(by: list[str], df: DataFrame, value: Column, few: bool = True) -> DataFrame:
+    """AGG-05 and AGG-10, by group, groups without a value dropped: nearest ranks, rounded half up."""
+    nearest = lambda p: lambda n: F.floor(F.lit(p) * (n - 1) + F.lit(0.5)) + 1
+    return order_statistics(by, df, value, {"q1": nearest(0.25), "median": nearest(0.5), "q3": nearest(0.75)}, few).select(*by, "min", "q1", "median", "q3", "max", "n")
+
+
+def medians(by: list[str], df: DataFrame, value: Column, few: bool) -> DataFrame:
+    """AGG-04, AGG-07: ``by`` and the exact ``median``: of an even number of values the mean of the middle two."""
+    got = order_statistics(by, df, value, {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor((n + 2) / 2)}, few)
+    return got.select(*by, ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def run_summary(rows: DataFrame) -> DataFrame:

@@ -151,26 +151,25 @@ def text_regions(lines: DataFrame, by: list[str], order: str, line: str) -> Data
 
 
 def grown_region(cells: DataFrame, by: list[str], row: str = "r", col: str = "c", value: str = "v", density: float = 0.1) -> DataFrame:
-    """WIN-22: from the first filled cell right and down while a column and a row stay denser than ``density``."""
-
-    def f(key, p):
-        full = p[p[value].fillna("").str.strip() != ""]
-        if full.empty:
-            return pd.DataFrame(columns=[*by, "r0", "c0", "r1", "c1"])
-        grid = np.zeros((int(p[row].max()) + 1, int(p[col].max()) + 1), bool)
-        grid[full[row].astype(int), full[col].astype(int)] = True
-        r0 = int(full[row].min())
-        c0 = int(full[full[row] == r0][col].min())
-        c1 = c0
-        while c1 + 1 < grid.shape[1] and grid[r0:, c1 + 1].mean() > density:
-            c1 += 1
-        r1 = r0
-        while r1 + 1 < grid.shape[0] and grid[r1 + 1, c0 : c1 + 1].mean() > density:
-            r1 += 1
-        return pd.DataFrame([[*key, r0, c0, r1, c1]], columns=[*by, "r0", "c0", "r1", "c1"])
-
-    kinds = dict(cells.dtypes)
-    return cells.groupBy(*by).applyInPandas(f, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "r0 int, c0 int, r1 int, c1 int"]))
+    """WIN-22: from the first filled cell right and down while a column and a row stay denser than ``density`` (0 or more).
+
+    Only counts of filled cells by column and by row are looked at, so that empty space costs nothing, however far a cell lies.
+    """
+    every = cells.select(*by, F.col(row).cast("int").alias("r"), F.col(col).cast("int").alias("c"), (F.trim(F.coalesce(F.col(value), F.lit(""))) != "").alias("full"))
+    start = F.min(F.when(F.col("full"), F.struct("r", "c")))
+    starts = every.groupBy(*by).agg(start.alias("start"), F.max("r").alias("most")).where("start is not null").select(*by, F.col("start.r").alias("r0"), F.col("start.c").alias("c0"), "most")
+    full = every.where("full").join(starts, by).select(*by, "r0", "c0", "most", "r", "c").distinct()
+
+    def grown(counts: DataFrame, at: str, first: str, name: str, keys: list[str]) -> DataFrame:
+        """How far the dense places go on behind ``first`` without a gap."""
+        line = Window.partitionBy(*keys).orderBy(at)
+        dense = counts.where((F.col(at) > F.col(first)) & F.col("dense")).withColumn("nth", F.row_number().over(line))
+        return dense.where(F.col(at) - F.col(first) == F.col("nth")).groupBy(*keys).agg(F.max(at).alias(name))
+
+    columns = full.where("r >= r0").groupBy(*by, "c", "c0").agg((F.count("*") / F.first(F.col("most") - F.col("r0") + 1) > density).alias("dense"))
+    wide = starts.join(grown(columns, "c", "c0", "c1", by), by, "left").withColumn("c1", F.coalesce("c1", "c0"))
+    rows = full.drop("r0", "c0", "most").join(wide, by).where("c between c0 and c1").groupBy(*by, "r", "r0").agg((F.count("*") / F.first(F.col("c1") - F.col("c0") + 1) > density).alias("dense"))
+    return wide.join(grown(rows, "r", "r0", "r1", by), by, "left").select(*by, "r0", "c0", F.coalesce("r1", "r0").alias("r1"), "c1")
 
 
 # --- summary rows -------------------------------------------------------------------------------------------------

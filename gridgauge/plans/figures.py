@@ -80,7 +80,8 @@ def agg_02_truth_counts(spark, sf_dir):
 def agg_03_04_safe_mean_median(spark, sf_dir):
     slots = slots_of(spark, sf_dir).select("carrier", F.explode(F.array(F.col("f1_score"), F.lit(float("nan")), F.lit(None).cast("double"))).alias("v"))
     v = policy.finite(F.col("v"))
-    return slots.groupBy("carrier").agg(r6(F.avg(v)).alias("mean"), r6(F.median(v)).alias("median"))
+    means = slots.groupBy("carrier").agg(r6(F.avg(v)).alias("mean"))
+    return means.join(rollup.medians(["carrier"], slots, v, few=False), "carrier", "left").select("carrier", "mean", r6(F.col("median")).alias("median"))
 
 
 @query("select tool_name, tool_rank, label, round(avg(zero_f1), 6) as mean_f1 from pol group by all")
@@ -90,7 +91,8 @@ def agg_06_mean_by_tool(spark, sf_dir):
 
 @query("select tool_name, tool_rank, label, round(median(strict_f1), 6) as median_f1 from pol group by all")
 def agg_07_median_by_tool(spark, sf_dir):
-    return by_tool(slots_of(spark, sf_dir), median_f1=r6(F.median(f1())))
+    found = rollup.medians(["tool_name"], slots_of(spark, sf_dir), f1(), few=True)
+    return dims.tool_dim(spark).select("tool_name", "tool_rank", "label").join(found, "tool_name", "left").select("tool_name", "tool_rank", "label", r6(F.col("median")).alias("median_f1"))
 
 
 @query(tiers_sql("strict_f1"))

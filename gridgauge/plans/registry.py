@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridgauge.operators import rollup
+from gridgauge.shared import folder  # noqa: F401, for the plans
 from gridgauge.sources import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +34,3 @@ def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slots_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.slots(bridge.documents(spark, sf_dir), rows_of(spark, sf_dir), bridge.ground_truth(spark, sf_dir))
-
-
-def folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; only a local session may go without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='gridgauge-')).rstrip('/')}/files-{uuid.uuid4().hex}"

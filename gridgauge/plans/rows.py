@@ -249,11 +249,13 @@ def srt_10_suppress(spark, sf_dir):
     return boxes.suppress(_boxes(spark, sf_dir, 4).drop("rows", "cols"))
 
 
-@query("select o_orderkey, arg_max(band, (share, -band)) as row from (select o_orderkey, b.band, greatest(least(lo + 30, b.band * 25 + 25) - greatest(lo, b.band * 25), 0) / 30 as share from (select o_orderkey, o_orderkey % 71 * 3 as lo from orders), (select unnest(range(0, 10)) as band) b) group by all", None)
+@query("select o_orderkey, arg_max(band, (share, -band)) as row from (select o_orderkey, b.band, greatest(least(lo + 30, b.band * 25 + 25 + step) - greatest(lo, b.band * 25 + step), 0) / 30 as share from (select o_orderkey, o_orderkey // 64 % 5 as step, o_orderkey % 71 * 3 as lo from orders), (select unnest(range(0, 10)) as band) b) group by all", None)
 def jn_16_17_bands(spark, sf_dir):
     k = F.col("o_orderkey")
-    cells = bridge.load(spark, sf_dir, "orders").select("o_orderkey", F.lit(0).alias("page"), (k % 71 * 3).cast("double").alias("y0"), (k % 71 * 3 + 30).cast("double").alias("y1"))
-    bands = spark.range(10).select(F.lit(0).alias("page"), F.col("id").alias("band"), (F.col("id") * 25.0).alias("low"), (F.col("id") * 25.0 + 25).alias("high"))
+    cells = bridge.load(spark, sf_dir, "orders").select("o_orderkey", F.floor(k / 64).alias("page"), (k % 71 * 3).cast("double").alias("y0"), (k % 71 * 3 + 30).cast("double").alias("y1"))
+    # Each page has bands of its own.
+    low = F.col("band") * 25.0 + F.col("page") % 5
+    bands = cells.select("page").distinct().select("page", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("band")).select("page", "band", low.alias("low"), (low + 25).alias("high"))
     return boxes.best_band(cells, bands, "page", "y0", "y1", "row").select("o_orderkey", F.col("row").cast("long").alias("row"))
 
 
