@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,7 @@ def features_of(word: str) -> list[str]:
     return out
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
     """Weights of a word's own features, of the word before and of the word behind: [feature, tag]; transitions [from, to]."""
 
@@ -195,6 +196,12 @@ class Words:
         return own[types[low:high]] + before[types[low - 1 : high - 1]] + behind[types[low + 1 : high + 1]]
 
 
+@lru_cache(maxsize=2)
+def words_of(model: Model) -> Words:
+    """Words that a worker has met in any of its tasks."""
+    return Words(model)
+
+
 def tags_of(words: Words, texts: list[list[bytes]]) -> np.ndarray:
     """Best tag of every word and of the places between texts (0), as ``types_of`` lists them."""
     types = words.types_of(texts)
@@ -451,7 +458,7 @@ def find_personal(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     made = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def make():
-        words = Words(sent.value)
+        words = words_of(sent.value)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [[{"kind": KINDS[k], "start": a, "end": e} for a, k, e in x] for x in spans_of(b.column("text").to_pylist(), words)]

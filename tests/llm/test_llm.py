@@ -481,3 +481,24 @@ def test_pipeline_brute_force(spark, sf_dir, docs, labels, tokenizer):
     assert all(got[i].ids == ids and got[i].ids_sha256 == sha(",".join(map(str, ids))) for i, ids in want.items())
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
+
+
+def test_pipeline_stages_by_row(spark, sf_dir):
+    """Repeated and null ids through each stage: what goes is decided by a row's own text."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    clean = "an unrelated clean text of other words that nobody has marked"
+    rows = [(5, item), (5, clean), (None, item), (7, "password=abcdefgh12 in a text of its own"), (None, clean), (8, None), (9, ""), (7, "password=abcdefgh12 in a text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, sf_dir).collect()), key=repr)
+    same = sorted(rows, key=repr)
+    assert left("toxicity") == same
+    assert left("benchmark_decontamination") == [r for r in same if r[1] != item]
+    assert left("secret_scan") == sorted(((i, t.replace("password=abcdefgh12", "[assign]") if t else t) for i, t in rows), key=repr)
+    near = left("simhash_near_dedup")
+    assert [r for r in near if r[0] is None] == [r for r in same if r[0] is None] and near.count((5, item)) == near.count((5, clean)) == 1 and sum(i == 7 for i, _ in near) == 1
+    assert stages["bpe"](spark, docs, sf_dir).count() == len(rows)
+    for name in stages:
+        assert stages[name](spark, docs.limit(0), sf_dir).count() == 0
