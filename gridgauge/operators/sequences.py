@@ -2,15 +2,14 @@
 
 Rows of one table, page or document are ordered by an index column; every window is partitioned by the
 columns in ``by``.  Where the next step depends on a running state that no window frame expresses (a
-running mean, a group's leader), groups go through pandas, one table or page at a time.
+running mean, a group's leader), Spark sorts the rows and a small state goes on from block to block of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,44 +52,69 @@ def clusters_by_median_gap(rows: DataFrame, by: list[str], at: str, share: float
     return clusters_by_gap(got, by, at, F.col("limit"), name).drop("limit")
 
 
-def _by_group(df: DataFrame, by: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], *more: str) -> DataFrame:
-    schema = ", ".join([f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields] + list(more))
-    return df.groupBy(*by).applyInPandas(f, schema)
+def stepped(df: DataFrame, by: list[str], order: str, value: str, start: Callable[[], Callable[[object], int]], name: str) -> DataFrame:
+    """``df`` with what a function from ``start`` says of each value of a group in order; each group gets a new function.
+
+    Rows of a group lie together and sorted in one task, which reads them in Arrow blocks and holds one block and the function's
+    state, however long the group is.
+    """
+    schema = ", ".join([f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields] + [f"{name} int"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for b in batches:
+            out = []
+            for k, v in zip(zip(*(b.column(c).to_pylist() for c in by)), b.column(value).to_pylist()):
+                if step is None or k != key:
+                    key, step = k, start()
+                out.append(step(v))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, name])
+
+    return df.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
 def clusters_by_running_mean(rows: DataFrame, by: list[str], at: str, most: float = 20.0, name: str = "cluster") -> DataFrame:
     """WIN-11: a value joins the open cluster while it is within ``most`` of that cluster's mean so far."""
 
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(at, kind="stable")
-        out, total, n, k = [], 0.0, 0, -1
-        for y in p[at]:
+    def start():
+        total, n, k = 0.0, 0, -1
+
+        def step(y) -> int:
+            nonlocal total, n, k
+            y = float("nan") if y is None else float(y)
             if n and abs(y - total / n) <= most:
                 total, n = total + y, n + 1
             else:
                 total, n, k = y, 1, k + 1
-            out.append(k)
-        return p.assign(**{name: out})
+            return k
+
+        return step
 
-    return _by_group(rows, by, f, f"{name} int")
+    return stepped(rows, by, at, at, start, name)
 
 
 def leaders(rows: DataFrame, by: list[str], order: str, value: str, least: float = 0.8, name: str = "leader") -> DataFrame:
-    """WIN-26: each text joins the first group whose first member shares ``least`` of their distinct characters, else opens one."""
+    """WIN-26: each text joins the first group whose first member shares ``least`` of their distinct characters, else opens one.
 
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order, kind="stable")
+    The state is the leaders' sets of characters.
+    """
+
+    def start():
         heads: list[set] = []
-        out = []
-        for v in p[value].fillna(""):
-            s = set(v.lower())
-            k = next((k for k, h in enumerate(heads) if (len(s & h) / len(s | h) if s | h else 1.0) >= least), len(heads))
-            if k == len(heads):
-                heads.append(s)
-            out.append(k)
-        return p.assign(**{name: out})
+        known: dict[frozenset, int] = {}  # texts of the same characters join the same group
+
+        def step(v) -> int:
+            s = frozenset((v or "").lower())
+            k = known.get(s)
+            if k is None:
+                k = known[s] = next((k for k, h in enumerate(heads) if (len(s & h) / len(s | h) if s | h else 1.0) >= least), len(heads))
+                if k == len(heads):
+                    heads.append(s)
+            return k
 
-    return _by_group(rows, by, f, f"{name} int")
+        return step
+
+    return stepped(rows, by, order, value, start, name)
 
 
 def similarity(a: list[str], b: list[str]) -> float:
@@ -102,18 +126,20 @@ def similarity(a: list[str], b: list[str]) -> float:
 def sequences(tables: DataFrame, by: list[str], order: str, headers: str = "headers", alike: float = 0.4, loose: float = 0.25, name: str = "sequence") -> DataFrame:
     """WIN-17: page tables joined while they are like the sequence's first: ``alike``, or ``loose`` at the same width."""
 
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order, kind="stable")
-        out, head, k = [], None, -1
-        for h in p[headers]:
-            h = list(h) if h is not None else []
+    def start():
+        head, k = None, -1
+
+        def step(h) -> int:
+            nonlocal head, k
+            h = list(h or ())
             s = similarity(head, h) if head is not None else -1.0
             if not (s >= alike or s >= loose and len(head) == len(h)):
                 head, k = h, k + 1
-            out.append(k)
-        return p.assign(**{name: out})
+            return k
+
+        return step
 
-    return _by_group(tables, by, f, f"{name} int")
+    return stepped(tables, by, order, headers, start, name)
 
 
 def consolidate(tables: DataFrame, by: list[str]) -> DataFrame:

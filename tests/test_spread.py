@@ -101,3 +101,41 @@ def test_far_cell(spark):
     cells = [(1, r, c, "x") for r in range(3) for c in range(4)] + [(1, 1_048_575, 16_383, "y")]
     got = sequences.grown_region(spark.createDataFrame(cells, "k long, r int, c int, v string"), ["k"], density=0.0).collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, 2, 3)]
+
+
+def test_state_goes_on_over_blocks(spark):
+    """Groups longer than a block, null keys, and many groups in a block."""
+    rng = random.Random(5)
+    rows = [(g, k, rng.choice("abcd") * rng.randrange(1, 3) + rng.choice(("", "e")), float(y)) for g, n in (("a", 400), (None, 90), *((f"g{j}", 3) for j in range(60))) for k, y in enumerate(sorted(rng.sample(range(3 * n * 9), n)))]
+    df = spark.createDataFrame(rows, "g string, k int, v string, y double").repartition(3)
+
+    def plain(own, start, step):
+        state, out = start(), []
+        for r in own:
+            out.append(step(state, r))
+        return out
+
+    def mean(state, r):
+        if state and abs(r[3] - sum(state[-1]) / len(state[-1])) <= 20:
+            state[-1].append(r[3])
+        else:
+            state.append([r[3]])
+        return len(state) - 1
+
+    def lead(state, r):
+        s = set(r[2])
+        k = next((k for k, h in enumerate(state) if len(s & h) / len(s | h) >= 0.8), len(state))
+        if k == len(state):
+            state.append(s)
+        return k
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        clusters = {(r.g, r.k): r.cluster for r in sequences.clusters_by_running_mean(df, ["g"], "y").collect()}
+        first = {(r.g, r.k): r.leader for r in sequences.leaders(df, ["g"], "k", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        assert [clusters[g, r[1]] for r in own] == plain(own, list, mean) and [first[g, r[1]] for r in own] == plain(own, list, lead)
