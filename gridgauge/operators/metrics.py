@@ -9,14 +9,22 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridgauge.functions import tables as tb
 from gridgauge.functions import text
 
-#: Distinct tokens of a pair that fit the code points below the surrogates.
-MOST_TOKENS = 55_000
+#: Most tokens that are compared at once along a diagonal.
+STRIDE = 4096
+#: A diagonal that no edits have come to.
+UNSEEN = -(1 << 40)
+#: Cells of a block of lines; a pair with more than that goes to several tasks.
+BLOCK = 200_000
+#: Lines that are looked at one by one before all are counted.
+FEW = 64
 
 
 def normal(rows: Column) -> Column:
@@ -46,41 +54,75 @@ def tokens(headers: Column, rows: Column) -> Column:
     return F.concat(F.array(F.lit("<table>")), F.flatten(F.transform(every, row)), F.array(F.lit("</table>")))
 
 
-def encoded(own: Column, vocabulary: Column) -> Column:
-    """Tokens as one character each: the place in the vocabulary as a code point from 256."""
-    return F.array_join(F.transform(own, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, x) + 255), 4, "0")), "UTF-16BE")), "")
+def reach(a: np.ndarray, b: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """How far equal tokens carry each place ``i`` of ``a`` along diagonal ``k`` (``i`` less the place in ``b``).
 
-
-def distance(a: list, b: list) -> int:
-    """Edit distance of two sequences, a row of the matrix at a time."""
-    codes: dict = {}
-    x, y = (np.array([codes.setdefault(t, len(codes)) for t in s], np.int64) for s in (a, b))
-    row, steps = np.arange(len(y) + 1), np.arange(len(y) + 1)
-    for k, t in enumerate(x, 1):
-        kept = np.minimum(row[:-1] + (y != t), row[1:] + 1)
-        row = np.minimum.accumulate(np.concatenate(([k], kept)) - steps) + steps
-    return int(row[-1])
+    ``a`` and ``b`` end in ``STRIDE`` tokens that equal none of the other's.
+    """
+    i = i.copy()
+    live = np.flatnonzero(a[i] == b[i - k])
+    width = 8
+    while live.size:
+        width = int(min(2 * width, STRIDE, max(16, STRIDE * 256 // live.size)))
+        x, y = sliding_window_view(a, width)[i[live]], sliding_window_view(b, width)[i[live] - k[live]]
+        same = x == y
+        whole = same.all(1)
+        i[live] += np.where(whole, width, same.argmin(1))
+        live = live[whole]
+    return i
+
+
+def edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two sequences of token numbers, by the furthest place that each diagonal reaches with 0, 1, 2.. edits.
+
+    Only diagonals within the number of edits, and near enough to the end for the bound so far, are looked at: time goes by the
+    length and the square of the distance, memory by the length.
+    """
+    n, m = len(a), len(b)
+    if not n or not m:
+        return max(n, m)
+    x, y = np.concatenate((a, np.full(STRIDE, -1))), np.concatenate((b, np.full(STRIDE, -2)))
+    zero, last = m + 1, n - m  # places of diagonal 0 and of the end's
+    far = np.full(n + m + 3, UNSEEN)
+    far[zero : zero + 1] = reach(x, y, np.zeros(1, np.int64), np.zeros(1, np.int64))
+    done, most = 0, max(n, m)
+    while far[zero + last] < n:
+        done += 1
+        room = most - done
+        k = np.arange(max(-done, -m, last - room), min(done, n, last + room) + 1)
+        at = k + zero
+        i = np.maximum(np.maximum(far[at], far[at - 1]) + 1, far[at + 1])
+        i = np.minimum(i, np.minimum(n, m + k))
+        far[at] = np.where(i < 0, UNSEEN, reach(x, y, np.maximum(i, np.maximum(k, 0)), k))
+    return done
+
+
+def distances(a: pa.Array, b: pa.Array) -> list[int]:
+    """Edit distance of each list of ``a`` to that of ``b``, tokens numbered once for all of them."""
+    ends = [np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))) for x in (a, b)]
+    codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+    x, y = codes[: ends[0][-1]], codes[ends[0][-1] :]
+    return [edits(x[ends[0][r] : ends[0][r + 1]], y[ends[1][r] : ends[1][r + 1]]) for r in range(len(a))]
+
+
+def distance(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists of tokens."""
+    return distances(*(pa.array([x], pa.list_(pa.string())) for x in (a, b)))[0]
 
 
 def teds(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """MTH-02: 1 less the token edit distance over the longer sequence's length.
-
-    The distance is Spark's own over tokens encoded as characters; pairs with more distinct tokens than
-    there are code points go through numpy.
-    """
+    """MTH-02: 1 less the token edit distance over the longer sequence's length; in Arrow batches, without a shuffle."""
     t = pairs.select(*keys, tokens(F.col("pred_headers"), F.col("pred_rows")).alias("a"), tokens(F.col("true_headers"), F.col("true_rows")).alias("b"))
-    t = t.withColumn("v", F.array_distinct(F.concat("a", "b")))
-    few = t.where(F.size("v") <= MOST_TOKENS).select(*keys, F.levenshtein(encoded(F.col("a"), F.col("v")), encoded(F.col("b"), F.col("v"))).alias("distance"), F.greatest(F.size("a"), F.size("b")).alias("longest"))
-    many = t.where(F.size("v") > MOST_TOKENS).select(*keys, "a", "b")
-    kinds = dict(many.dtypes)
+    kinds = dict(t.dtypes)
 
     def run(batches):
-        for b in batches:
-            x, y = b.column("a").to_pylist(), b.column("b").to_pylist()
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([distance(*z) for z in zip(x, y)], pa.int32()), pa.array([max(map(len, z)) for z in zip(x, y)], pa.int32())], names=[*keys, "distance", "longest"])
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b")
+            longest = pc.max_element_wise(a.value_lengths(), b.value_lengths())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(distances(a, b), pa.int32()), longest], names=[*keys, "distance", "longest"])
 
-    both = few.unionByName(many.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "distance int, longest int"])))
-    return both.withColumn("teds_score", 1 - F.col("distance") / F.col("longest"))
+    got = t.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "distance int, longest int"]))
+    return got.withColumn("teds_score", 1 - F.col("distance") / F.col("longest"))
 
 
 def grid(headers: Column, rows: Column) -> Column:
@@ -93,43 +135,106 @@ def columns_of(g: Column) -> Column:
     return F.transform(tb.numbers_to(F.coalesce(F.array_max(F.transform(g, F.size)), F.lit(0))), lambda i: F.transform(F.filter(g, lambda r: F.size(r) > i), lambda r: F.get(r, i)))
 
 
+def multiset(line: list[str]) -> frozenset:
+    """Cells of a line, each with how many of its like came before it: sets that share what the multisets share."""
+    seen: Counter = Counter()
+    out = []
+    for cell in line:
+        out.append((cell, seen[cell]))
+        seen[cell] += 1
+    return frozenset(out)
+
+
+class Shelf:
+    """Distinct lines of a table with the places of each cell, for the best likeness of any other line."""
+
+    def __init__(self, lines: list[list[str]]):
+        self.lines = list(dict.fromkeys(map(multiset, lines)))
+        self.known = dict.fromkeys(self.lines, 1.0)
+        self.sizes = np.array([len(x) for x in self.lines])
+        places: dict = {}
+        for j, line in enumerate(self.lines):
+            for e in line:
+                places.setdefault(e, []).append(j)
+        self.places = {e: np.array(at) for e, at in places.items()}
+
+    def best(self, line: list[str]) -> float:
+        own = multiset(line)
+        if own not in self.known:
+            self.known[own] = self.search(own)
+        return self.known[own]
+
+    def search(self, own: frozenset) -> float:
+        """Cells from rare to common: a line first met at a cell shares no more than what is left, and one that is much longer or shorter no more than its length allows."""
+        cells = sorted((e for e in own if e in self.places), key=lambda e: len(self.places[e]))
+        best, met = 0.0, set()
+        for left, e in zip(range(len(cells), 0, -1), cells):
+            if best >= left / len(own):
+                return best
+            if len(self.places[e]) > FEW:
+                break
+            for j in self.places[e]:
+                size = len(self.lines[j])
+                if j not in met and min(size, len(own)) / max(size, len(own)) > best:
+                    shared = len(own & self.lines[j])
+                    best = max(best, shared / (len(own) + size - shared))
+                met.add(j)
+        else:
+            return best
+        shared = np.zeros(len(self.lines), np.int64)
+        for e in cells:
+            shared[self.places[e]] += 1
+        return max(best, float((shared / (len(own) + self.sizes - shared)).max()))
+
+
 def likeness(a: list[list[str]], b: list[list[str]]) -> float:
-    """Mean over the lines of ``a`` of the best likeness to any of ``b``, shared cells over all cells as multisets; two empty ones 1, one empty 0.  Not symmetric."""
-    if not a or not b:
-        return float(not a and not b)
-    places: dict[str, list[tuple[int, int]]] = {}
-    for j, line in enumerate(b):
-        for cell, n in Counter(line).items():
-            places.setdefault(cell, []).append((j, n))
-    held = {cell: np.array(x).T for cell, x in places.items()}
-    sizes = np.array([len(x) for x in b])
-    total = 0.0
-    for line in a:
-        shared = np.zeros(len(b), np.int64)
-        for cell, n in Counter(line).items():
-            if cell in held:
-                j, m = held[cell]
-                shared[j] += np.minimum(m, n)
-        every = len(line) + sizes - shared
-        total += float(np.where(every == 0, 1.0, shared / np.maximum(every, 1)).max())
-    return total / len(a)
+    """Sum over the lines of ``a`` of the best likeness to any of ``b``, shared cells over all cells as multisets; without lines in ``b`` 0.  Not symmetric."""
+    if not b:
+        return 0.0
+    shelf = Shelf(b)
+    return sum((shelf.best(line) for line in a), 0.0)
+
+
+def blocks(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks of about ``BLOCK`` cells of the lines ``a`` of each pair, with all of ``b``; they spread over tasks whatever their pair."""
+    parts = F.greatest(F.lit(1), F.least(F.size("a"), F.ceil(F.size(F.flatten("a")) / BLOCK).cast("int")))
+    each = pairs.withColumn("parts", parts).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = lambda p: F.floor(p * F.size("a") / F.col("parts")).cast("int")
+    own = F.slice("a", first(F.col("part")) + 1, first(F.col("part") + 1) - first(F.col("part")))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return each.select(*keys, "part", own.alias("a"), "b").repartition(n, *keys, "part")
 
 
 def grits(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """MTH-04 to MTH-06: likeness of shape, of rows and of columns; pair by pair in Arrow batches, without a shuffle."""
+    """MTH-04 to MTH-06: likeness of shape, of rows and of columns.
+
+    Pairs go through in Arrow batches without a shuffle; those of more than ``BLOCK`` cells go in blocks of lines to several tasks,
+    whose sums are added.
+    """
     t = pairs.select(*keys, grid(F.col("pred_headers"), F.col("pred_rows")).alias("p"), grid(F.col("true_headers"), F.col("true_rows")).alias("t"))
     t = t.withColumns({"pc": columns_of(F.col("p")), "tc": columns_of(F.col("t"))})
     ratio = lambda a, b: F.when(F.greatest(F.size(a), F.size(b)) > 0, F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))).otherwise(1.0)
     none, one = (F.size("p") == 0) & (F.size("t") == 0), (F.size("p") == 0) | (F.size("t") == 0)
     t = t.withColumn("grits_top", F.when(none, 1.0).when(one, 0.0).otherwise(ratio("p", "t") * ratio("pc", "tc")))
-    kinds = dict(t.dtypes)
-
-    def run(batches):
-        for b in batches:
-            said = [pa.array([likeness(x, y) for x, y in zip(b.column(c).to_pylist(), b.column(d).to_pylist())], pa.float64()) for c, d in (("p", "t"), ("pc", "tc"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("grits_top"), *said], names=[*keys, "grits_top", "grits_con", "grits_loc"])
-
-    return t.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "grits_top double, grits_con double, grits_loc double"]))
+    t = t.withColumns({f"n_{c}": F.size(c) for c in ("p", "t", "pc", "tc")})
+    of = [*keys, "grits_top", "n_p", "n_t", "n_pc", "n_tc"]
+    kinds = dict(t.dtypes) | {"side": "string"}
+    large = F.size(F.flatten("p")) + F.size(F.flatten("t")) > BLOCK
+
+    def summed(rows: DataFrame, kept: list[str], sides: dict[str, tuple[str, str]]) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                said = [pa.array([likeness(x, y) for x, y in zip(b.column(c).to_pylist(), b.column(d).to_pylist())], pa.float64()) for c, d in sides.values()]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *said], names=[*kept, *sides])
+
+        return rows.select(*kept, *{c for s in sides.values() for c in s}).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in kept), *(f"{k} double" for k in sides)]))
+
+    small = summed(t.where(~large), of, {"con": ("p", "t"), "loc": ("pc", "tc")})
+    side = lambda name, a, b: t.where(large).select(*of, F.lit(name).alias("side"), F.col(a).alias("a"), F.col(b).alias("b"))
+    parts = summed(blocks(side("con", "p", "t").unionByName(side("loc", "pc", "tc")), [*of, "side"]), [*of, "side"], {"total": ("a", "b")})
+    spread = parts.groupBy(*of).agg(*[F.sum(F.when(F.col("side") == s, F.col("total"))).alias(s) for s in ("con", "loc")])
+    mean = lambda total, n, m: F.when((F.col(n) > 0) & (F.col(m) > 0), F.try_divide(total, F.col(n))).otherwise((F.col(n) + F.col(m) == 0).cast("double"))
+    return small.unionByName(spread).select(*keys, "grits_top", mean(F.col("con"), "n_p", "n_t").alias("grits_con"), mean(F.col("loc"), "n_pc", "n_tc").alias("grits_loc"))
 
 
 def scores(pairs: DataFrame, keys: list[str], zero: Column | None = None) -> DataFrame:

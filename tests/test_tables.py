@@ -106,12 +106,11 @@ def test_scores_like_plain_python(spark):
             assert got[k][m] == pytest.approx(v, abs=1e-9), (k, m, ph, pr, th, tr)
 
 
-def test_distance_and_many_tokens(spark, monkeypatch):
+def test_distance(spark):
     rng = random.Random(1)
     for _ in range(50):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
         assert metrics.distance(a, b) == edit(a, b)
-    monkeypatch.setattr(metrics, "MOST_TOKENS", 3)
     pairs = random_pairs(10, 9)
     for r in metrics.teds(spark.createDataFrame(pairs, PAIR), ["k"]).collect():
         _, ph, pr, th, tr = pairs[r.k]
