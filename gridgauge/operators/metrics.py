@@ -195,46 +195,60 @@ def likeness(a: list[list[str]], b: list[list[str]]) -> float:
     return sum((shelf.best(line) for line in a), 0.0)
 
 
-def blocks(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks of about ``BLOCK`` cells of the lines ``a`` of each pair, with all of ``b``; they spread over tasks whatever their pair."""
+def blocks(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks of about ``BLOCK`` cells of the lines ``a``, each with all of ``b``: (keys, part, later, a, b); ``later`` where there are several."""
     parts = F.greatest(F.lit(1), F.least(F.size("a"), F.ceil(F.size(F.flatten("a")) / BLOCK).cast("int")))
-    each = pairs.withColumn("parts", parts).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    each = sides.withColumn("parts", parts).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     first = lambda p: F.floor(p * F.size("a") / F.col("parts")).cast("int")
-    own = F.slice("a", first(F.col("part")) + 1, first(F.col("part") + 1) - first(F.col("part")))
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.select(*keys, "part", own.alias("a"), "b").repartition(n, *keys, "part")
+    own = F.when(F.col("parts") > 1, F.slice("a", first(F.col("part")) + 1, first(F.col("part") + 1) - first(F.col("part")))).otherwise(F.col("a"))
+    return each.select(*keys, "part", (F.col("parts") > 1).alias("later"), own.alias("a"), "b")
 
 
-def grits(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """MTH-04 to MTH-06: likeness of shape, of rows and of columns.
+def spread(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks to as many tasks as the session's shuffles have, also those of one pair."""
+    return parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "part")
+
 
-    Pairs go through in Arrow batches without a shuffle; those of more than ``BLOCK`` cells go in blocks of lines to several tasks,
-    whose sums are added.
+def totals(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """``total`` likeness of the blocks of each pair: (keys, total) rows to be added up.
+
+    A pair of one block is worked where it is, and only its figure moves; the blocks of larger ones are spread first.
     """
+    parts = blocks(sides, keys)
+    kinds = dict(parts.dtypes)
+    lines = pa.list_(pa.list_(pa.string()))
+    own = [*keys, "part", "later"]
+
+    def work(now: bool):
+        def run(batches):
+            for batch in batches:
+                due = pc.equal(batch.column("later"), now)
+                for b, fresh in ((batch.filter(due), True), (batch.filter(pc.invert(due)), False)):
+                    if b.num_rows:
+                        said = pa.array([likeness(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())], pa.float64()) if fresh else b.column("total")
+                        kept = [b.column(k) for k in (keys if now else own)]
+                        moved = [] if now else [pa.nulls(b.num_rows, lines) if fresh else b.column(c).cast(lines) for c in ("a", "b")]
+                        yield pa.RecordBatch.from_arrays([*kept, *moved, said], names=[*(keys if now else [*own, "a", "b"]), "total"])
+
+        return run
+
+    schema = lambda names: ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", total double"
+    first = parts.withColumn("total", F.lit(None).cast("double")).mapInArrow(work(False), schema([*own, "a", "b"]))
+    return spread(first, keys).mapInArrow(work(True), schema(keys))
+
+
+def grits(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """MTH-04 to MTH-06: likeness of shape, of rows and of columns; tables of more than ``BLOCK`` cells go to several tasks.  Keys tell pairs apart."""
     t = pairs.select(*keys, grid(F.col("pred_headers"), F.col("pred_rows")).alias("p"), grid(F.col("true_headers"), F.col("true_rows")).alias("t"))
-    t = t.withColumns({"pc": columns_of(F.col("p")), "tc": columns_of(F.col("t"))})
+    t = t.withColumns({"pc": columns_of(F.col("p")), "tc": columns_of(F.col("t"))}).withColumns({f"n_{c}": F.size(c) for c in ("p", "t", "pc", "tc")})
     ratio = lambda a, b: F.when(F.greatest(F.size(a), F.size(b)) > 0, F.least(F.size(a), F.size(b)) / F.greatest(F.size(a), F.size(b))).otherwise(1.0)
     none, one = (F.size("p") == 0) & (F.size("t") == 0), (F.size("p") == 0) | (F.size("t") == 0)
     t = t.withColumn("grits_top", F.when(none, 1.0).when(one, 0.0).otherwise(ratio("p", "t") * ratio("pc", "tc")))
-    t = t.withColumns({f"n_{c}": F.size(c) for c in ("p", "t", "pc", "tc")})
     of = [*keys, "grits_top", "n_p", "n_t", "n_pc", "n_tc"]
-    kinds = dict(t.dtypes) | {"side": "string"}
-    large = F.size(F.flatten("p")) + F.size(F.flatten("t")) > BLOCK
-
-    def summed(rows: DataFrame, kept: list[str], sides: dict[str, tuple[str, str]]) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                said = [pa.array([likeness(x, y) for x, y in zip(b.column(c).to_pylist(), b.column(d).to_pylist())], pa.float64()) for c, d in sides.values()]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *said], names=[*kept, *sides])
-
-        return rows.select(*kept, *{c for s in sides.values() for c in s}).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in kept), *(f"{k} double" for k in sides)]))
-
-    small = summed(t.where(~large), of, {"con": ("p", "t"), "loc": ("pc", "tc")})
-    side = lambda name, a, b: t.where(large).select(*of, F.lit(name).alias("side"), F.col(a).alias("a"), F.col(b).alias("b"))
-    parts = summed(blocks(side("con", "p", "t").unionByName(side("loc", "pc", "tc")), [*of, "side"]), [*of, "side"], {"total": ("a", "b")})
-    spread = parts.groupBy(*of).agg(*[F.sum(F.when(F.col("side") == s, F.col("total"))).alias(s) for s in ("con", "loc")])
+    sides = F.inline(F.array(*[F.struct(F.lit(name).alias("side"), F.col(a).alias("a"), F.col(b).alias("b")) for name, a, b in (("con", "p", "t"), ("loc", "pc", "tc"))]))
+    got = totals(t.select(*of, sides), [*of, "side"]).groupBy(*of).agg(*[F.sum(F.when(F.col("side") == s, F.col("total"))).alias(s) for s in ("con", "loc")])
     mean = lambda total, n, m: F.when((F.col(n) > 0) & (F.col(m) > 0), F.try_divide(total, F.col(n))).otherwise((F.col(n) + F.col(m) == 0).cast("double"))
-    return small.unionByName(spread).select(*keys, "grits_top", mean(F.col("con"), "n_p", "n_t").alias("grits_con"), mean(F.col("loc"), "n_pc", "n_tc").alias("grits_loc"))
+    return got.select(*keys, "grits_top", mean(F.col("con"), "n_p", "n_t").alias("grits_con"), mean(F.col("loc"), "n_pc", "n_tc").alias("grits_loc"))
 
 
 def scores(pairs: DataFrame, keys: list[str], zero: Column | None = None) -> DataFrame:

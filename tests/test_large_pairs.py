@@ -90,7 +90,7 @@ def test_one_large_pair_spreads_over_tasks(spark):
     kept = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "32")
-        spread = metrics.blocks(sides, ["k"]).select(F.spark_partition_id().alias("task"), F.size("a").alias("n")).collect()
+        spread = metrics.spread(metrics.blocks(sides, ["k"]), ["k"]).select(F.spark_partition_id().alias("task"), F.size("a").alias("n")).collect()
         assert len({r.task for r in spread}) >= 4 and sum(r.n for r in spread) == 100_001
         got = metrics.grits(pair, ["k"]).first()
     finally:
