@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridgauge.functions import tables as tb
 from gridgauge.functions import text
 from gridgauge.operators import merge, metrics
 from gridgauge.plans.registry import query
-from gridgauge.sources import bridge, markdown
+from gridgauge.sources import bridge, markdown, payloads
 
 KEYS = ["doc_id", "table_index"]
 with_md = lambda body: f"with {markdown.SQL} {body}"
@@ -51,6 +52,46 @@ def set_03_union(spark, sf_dir):
     return metrics.cell_f1(pairs(spark, sf_dir), KEYS).select(*KEYS, (F.col("tp") + F.col("fp") + F.col("fn")).alias("cells"))
 
 
+def paged_answers(spark, sf_dir, size):
+    """The documents' tables with headers as a block graph in answers of ``size`` blocks, chained by tokens; every third answer is there twice, and an old one leads on to nothing."""
+    t = found(spark, sf_dir).where(F.size("headers") > 0)
+    lines = t.select(*KEYS, F.posexplode(F.concat(F.array("headers"), F.col("rows"))).alias("r", "cells"))
+    cells = lines.select(*KEYS, "r", F.posexplode("cells").alias("c", "x"))
+    of = lambda *parts: F.concat_ws("-", F.lit("t"), *[F.col(p).cast("string") for p in parts])
+    words = F.filter(F.split("x", r"\s+"), lambda w: w != "")
+    cells = cells.select("*", of("table_index", "r", "c").alias("id"), words.alias("words"))
+    child = lambda ids: F.array(F.struct(F.lit("CHILD").alias("Type"), ids.alias("Ids")))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def block(rows, ident, kind, kids=none("array<struct<Type:string,Ids:array<string>>>"), row=none("int"), col=none("int"), heads=none("array<string>"), confidence=none("double"), said=none("string")):
+        return rows.select("doc_id", F.struct(ident.alias("Id"), F.lit(kind).alias("BlockType"), kids.alias("Relationships"), row.alias("RowIndex"), col.alias("ColumnIndex"), heads.alias("EntityTypes"), confidence.alias("Confidence"), said.alias("Text")).alias("b"))
+
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "id"))), lambda x: x["id"])
+    tables = block(cells.groupBy(*KEYS).agg(ids.alias("ids")), of("table_index"), "TABLE", child(F.col("ids")))
+    kids = F.transform("words", lambda w, i: F.concat_ws("-", "id", i.cast("string")))
+    own = block(cells, F.col("id"), "CELL", child(kids), (F.col("r") + 1).cast("int"), (F.col("c") + 1).cast("int"), F.when(F.col("r") == 0, F.array(F.lit("COLUMN_HEADER"))), F.lit(50.0) + F.col("r") % 2)
+    each = cells.select("doc_id", "id", F.posexplode("words").alias("i", "w"))
+    blocks = tables.unionByName(own).unionByName(block(each, F.concat_ws("-", "id", F.col("i").cast("string")), "WORD", said=F.col("w")))
+    placed = blocks.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("b.Id")) - 1) / size))
+    token = lambda n: F.when(n > 0, F.concat(F.lit("next "), n.cast("string")))
+    pages = placed.groupBy("doc_id", "page").agg(F.to_json(F.struct(F.collect_list("b").alias("Blocks"))).alias("payload"))
+    last = F.max("page").over(Window.partitionBy("doc_id"))
+    pages = pages.select("doc_id", "page", token(F.col("page")).alias("token"), F.when(F.col("page") < last, token(F.col("page") + 1)).alias("next_token"), "payload")
+    old = pages.where("page = 0").select("doc_id", F.lit("old").alias("token"), F.lit(None).cast("string").alias("next_token"), "payload")
+    return pages.unionByName(pages.where("page % 3 = 0")).drop("page").unionByName(old)
+
+
+@query(f"""with {markdown.SQL}, t as (select *, greatest(len(headers), list_max(list_transform(rows, lambda r: coalesce(list_max(list_transform(range(0, len(r)), lambda i: case when trim(r[i + 1]) <> '' then i + 1 else 0 end)), 0)))) as w,
+    list_concat(list_transform(headers, lambda x: 50.0), flatten(list_transform(range(0, len(rows)), lambda i: list_transform(rows[i + 1], lambda x: 50.0 + (i + 1) % 2)))) as conf from md_table where len(headers) > 0)
+  select doc_id, table_index, array_to_string(list_transform(range(0, w), lambda i: coalesce(regexp_replace(headers[i + 1], '\\s+', ' ', 'g'), '')), '|') as headers,
+  array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(range(0, w), lambda i: coalesce(regexp_replace(trim(r[i + 1]), '\\s+', ' ', 'g'), '')), '|')), chr(10)) as rows, round(list_avg(conf), 2) as confidence, true as whole from t""", None)
+def src_09_paged_blocks(spark, sf_dir):
+    """Tables read back from the answers of a paged service."""
+    answers = payloads.answers_in_order(paged_answers(spark, sf_dir, 100), ["doc_id"])
+    got = payloads.blocks_to_tables(payloads.blocks_of(answers, ["doc_id", "whole"]), ["doc_id", "whole"])
+    return got.select("doc_id", F.substring_index("table", "-", -1).cast("int").alias("table_index"), F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"), "confidence", "whole")
+
+
 @query()
 def mth_02_03_teds(spark, sf_dir):
     return metrics.teds(pairs(spark, sf_dir), KEYS)

@@ -95,6 +95,46 @@ def blocks_to_tables(blocks: DataFrame, by: list[str]) -> DataFrame:
     return grid.select(*by, "table", cut(F.get("rows", F.col("head"))).alias("headers"), body.alias("rows"), "confidence").where(F.size("rows") > 0)
 
 
+def answers_in_order(answers: DataFrame, by: list[str]) -> DataFrame:
+    """SRC-09: the answers of a paged service in the order of their tokens: (by, place, whole, payload).
+
+    ``answers`` has by, ``token`` (what was asked with; null or empty for the first), ``next_token`` (null or empty in the
+    last) and ``payload``.  Answers that no chain from the first comes to go; of repeated ones that with the greater
+    next token stays.  ``whole`` says whether the chain ends; it doesn't if an answer is missing or a token comes again.
+    A chain is followed in one row of tokens, without their payloads.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    each = answers.groupBy(*by, none("token").alias("token")).agg(F.max(F.struct(none("next_token").alias("next"), "payload")).alias("said"))
+    links = each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("token", "said.next"))).alias("links"))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit("").alias("at"), F.lit(True).alias("sound"), F.lit(False).alias("done"))
+
+    def step(acc, _):
+        to = F.try_element_at("links", acc["at"])
+        more = F.coalesce(to != "", F.lit(False))
+        lost = to.isNull() | more & (F.array_contains(acc["seen"], to) | (to == acc["at"]))
+        seen = F.when(to.isNull(), acc["seen"]).otherwise(F.concat(acc["seen"], F.array(acc["at"])))
+        on = F.struct(seen.alias("seen"), F.coalesce(to, F.lit("")).alias("at"), F.coalesce(~lost, F.lit(False)).alias("sound"), (F.coalesce(lost, F.lit(True)) | ~more).alias("done"))
+        return F.when(acc["done"], acc).otherwise(on)
+
+    chain = links.withColumn("chain", F.aggregate(F.sequence(F.lit(1), F.size("links")), start, step))
+    chain = chain.select(*by, (F.col("chain.sound") & F.col("chain.done")).alias("whole"), F.posexplode("chain.seen").alias("place", "token"))
+    return chain.join(each, [*by, "token"]).select(*by, "place", "whole", "said.payload")
+
+
+BLOCK = "struct<Id:string,BlockType:string,Relationships:array<struct<Type:string,Ids:array<string>>>,RowIndex:int,ColumnIndex:int,RowSpan:int,ColumnSpan:int,EntityTypes:array<string>,Confidence:double,Text:string,SelectionStatus:string>"
+
+
+def blocks_of(answers: DataFrame, by: list[str], payload: str = "payload") -> DataFrame:
+    """SRC-09: the block graph of a service's answers as ``blocks_to_tables`` takes it; a damaged answer has no blocks."""
+    b = answers.select(*by, F.explode(F.from_json(payload, f"struct<Blocks:array<{BLOCK}>>")["Blocks"]).alias("b"))
+    kids = F.flatten(F.transform(F.filter("b.Relationships", lambda r: r["Type"] == "CHILD"), lambda r: r["Ids"]))
+    return b.select(
+        *by, F.col("b.Id").alias("id"), F.col("b.BlockType").alias("type"), F.coalesce(kids, tb.no_cells()).alias("children"), F.col("b.RowIndex").alias("row"), F.col("b.ColumnIndex").alias("col"),
+        F.coalesce("b.RowSpan", F.lit(1)).alias("row_span"), F.coalesce("b.ColumnSpan", F.lit(1)).alias("col_span"), F.coalesce(F.array_contains("b.EntityTypes", "COLUMN_HEADER"), F.lit(False)).alias("is_header"),
+        F.col("b.Confidence").alias("confidence"), F.col("b.Text").alias("text"), (F.col("b.SelectionStatus") == "SELECTED").alias("selected"),
+    )
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC-06: raw files with path, time and length."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
