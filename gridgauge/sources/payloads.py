@@ -69,7 +69,7 @@ def blocks_to_tables(blocks: DataFrame, by: list[str]) -> DataFrame:
 
     Tables join their cells and cells their words by block id.  A cell's text is its words, ``[X]`` for a chosen
     box.  The header is the first row of which half the filled cells are headers, else the first filled row;
-    empty columns at the end go; confidence is the mean of those above zero.
+    empty columns at the end go; confidence is the mean of those above zero.  Cells without a place are left out.
     """
     kids = blocks.select(*by, F.col("id").alias("parent"), "type", F.posexplode("children").alias("nth", "id"))
     words = blocks.where(F.col("type").isin("WORD", "SELECTION_ELEMENT")).select(*by, "id", F.when(F.col("type") == "WORD", F.col("text")).when(F.col("selected"), F.lit("[X]")).alias("w"))
@@ -78,20 +78,21 @@ def blocks_to_tables(blocks: DataFrame, by: list[str]) -> DataFrame:
     own = kids.where("type = 'TABLE'").select(*by, F.col("parent").alias("table"), "nth", "id").join(cells, [*by, "id"])
     place = own.groupBy(*by, "table", "row", "col").agg(
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("text", F.lit("")).alias("t")))), lambda x: text.strip(x["t"])), lambda t: t != ""), " ").alias("t"),
-        F.bool_or("is_header").alias("h"), F.max(F.col("row") + F.col("row_span") - 1).alias("last_row"), F.max(F.col("col") + F.col("col_span") - 1).alias("last_col"), F.min_by("confidence", "nth").alias("conf"),
+        F.bool_or("is_header").alias("h"), F.min_by("confidence", "nth").alias("conf"),
     )
-    grid = place.groupBy(*by, "table").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), F.struct("t", "h")))).alias("g"), F.max("last_row").alias("n"), F.max("last_col").alias("m"), F.round(F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), F.lit(0.0)), 2).alias("confidence")).where("n > 0 and m > 0")
-    at = lambda r, c: F.col("g")[F.struct(r.alias("row"), c.alias("col"))]
-    up = lambda n: F.sequence(F.lit(1), F.col(n))
-    grid = grid.withColumn("rows", F.transform(up("n"), lambda r: F.transform(up("m"), lambda c: F.struct(F.coalesce(at(r, c)["t"], F.lit("")).alias("t"), F.coalesce(at(r, c)["h"], F.lit(False)).alias("h")))))
+    none = F.struct(F.lit("").alias("t"), F.lit(False).alias("h"))
+    line = F.transform(F.sequence(F.lit(1), F.col("last")), lambda c: F.coalesce(F.try_element_at("own", c), none))
+    lines = place.where("row >= 1 and col >= 1").groupBy(*by, "table", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("t", F.coalesce("h", F.lit(False)).alias("h"))))).alias("own"), F.max("col").alias("last"), F.sum(F.when(F.col("conf") > 0, F.col("conf"))).alias("conf"), F.count_if(F.col("conf") > 0).alias("sure"))
+    lines = lines.select(*by, "table", F.struct("row", line.alias("line")).alias("line"), "conf", "sure")
+    grid = lines.groupBy(*by, "table").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"]).alias("rows"), F.round(F.coalesce(F.try_divide(F.sum("conf"), F.sum("sure")), F.lit(0.0)), 2).alias("confidence"))
     full = lambda r: F.size(F.filter(r, lambda x: x["t"] != ""))
     heads = lambda r: F.size(F.filter(r, lambda x: (x["t"] != "") & x["h"]))
     places = lambda p: F.array_min(F.filter(F.transform("rows", lambda r, i: F.when(p(r), i)), lambda i: i.isNotNull()))
     grid = grid.withColumn("head", F.coalesce(places(lambda r: (full(r) > 0) & (heads(r) >= F.greatest(F.lit(1.0), full(r) * 0.5))), places(lambda r: full(r) > 0))).where("head is not null")
     width = F.array_max(F.flatten(F.transform("rows", lambda r: F.transform(r, lambda x, i: F.when(x["t"] != "", i + 1).otherwise(0)))))
     grid = grid.withColumn("w", width)
-    cut = lambda r: F.transform(F.slice(r, 1, F.col("w")), lambda x: x["t"])
-    body = F.filter(F.transform(F.slice("rows", F.col("head") + 2, F.greatest(F.col("n"), F.lit(1))), cut), lambda r: F.exists(r, lambda x: x != ""))
+    cut = lambda r: tb.to_width(F.transform(r, lambda x: x["t"]), F.col("w"))
+    body = F.filter(F.transform(F.slice("rows", F.col("head") + 2, F.size("rows")), cut), lambda r: F.exists(r, lambda x: x != ""))
     return grid.select(*by, "table", cut(F.get("rows", F.col("head"))).alias("headers"), body.alias("rows"), "confidence").where(F.size("rows") > 0)
 
 
