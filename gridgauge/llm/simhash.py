@@ -5,9 +5,11 @@ upper levels of a vantage-point tree: each node holds a fingerprint ``v`` and a
 within ``m`` of ``v`` go one way, the others the other way.  By the triangle bound two items within
 ``r`` of each other can part at a node only if the inner one lies at ``m + 1 - r`` or more, so just those
 are sent along as visitors to the outer side, and visitors follow each branch that the bound leaves
-open.  Inside a shard the tree goes on down to small leaves, which are compared exactly.
+open.  Inside a shard the tree goes on down to small leaves, which are compared exactly.  There each node measures all 64
+bits and sends visitors; a branch ends early once all in it are linked, so a mass of near-equal fingerprints isn't
+compared pair by pair.
 
-A node may measure distance on all 64 bits (radius ``r``) or on a part of them.  Fingerprints are cut into
+A node of the upper levels may measure distance on all 64 bits (radius ``r``) or on a part of them.  Fingerprints are cut into
 ``r + c`` blocks; two within ``r`` of each other agree in at least ``c`` of them, so one tree for each choice of
 ``c`` blocks, with radius 0 on those, finds every pair.  Such a node sends no visitors, so the rows that are
 shuffled are as many as there are choices, whatever the number of shards: 5 for each fingerprint with one
@@ -163,47 +165,50 @@ class Links:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def shard_links(home: np.ndarray, visiting: np.ndarray, part: int, radius: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(home: np.ndarray, visiting: np.ndarray, radius: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, smaller fingerprint that it is linked to) for all that any link joins in this shard.
 
-    Home items are compared with each other and with the visitors.
+    Home items are compared with each other and with the visitors.  Each node measures all 64 bits, links what lies
+    within ``radius`` of its vantage point to it, and ends the branch once all items at home there are linked and no
+    visitor is left that isn't.
     """
     every = np.unique(np.concatenate((home, visiting)))
     links = Links(len(every))
     rng = np.random.default_rng(seed)
-    todo = [(np.searchsorted(every, np.sort(home)), np.searchsorted(every, np.sort(visiting)))]
+    todo = [(np.searchsorted(every, np.unique(home)), np.searchsorted(every, np.unique(visiting)))]
     while todo:
         h, w = todo.pop()
+        if not len(h):
+            continue
+        h, w = unlinked(links, h, w)
         if len(h) > LEAF:
-            x = every[h]
-            best = None
-            for mask, r in ((part, 0), (FULL, radius)):
-                v = x[rng.integers(len(x))]
-                d = np.bitwise_count((x ^ v) & np.uint64(mask)).astype(np.int64)
-                m = int(np.median(d))
-                m -= m == d.max()
-                inner = d <= m
-                n = int(inner.sum())
-                if 0 < n < len(x):
-                    sent = (inner & (d > m - r)).sum() / len(x) + abs(n / len(x) - 0.5)
-                    if best is None or sent < best[0]:
-                        best = (sent, np.uint64(mask), r, v, m, d, inner)
-            if best:
-                _, mask, r, v, m, d, inner = best
-                e = np.bitwise_count((every[w] ^ v) & mask).astype(np.int64)
-                todo += [(h[inner], w[e <= m + r]), (h[~inner], np.concatenate((w[e > m - r], h[inner & (d > m - r)])))]
-                continue
-        if len(h):
+            at = h[rng.integers(len(h))]
+            d, e = (np.bitwise_count(every[x] ^ every[at]) for x in (h, w))
+            for x, to in ((h, d), (w, e)):
+                near = x[to <= radius]
+                links.join(near, np.full(len(near), at))
+            m = int(np.median(d))
+            m -= m == d.max()
+            inner = d <= m
+            todo += [(h[inner], w[e <= m + radius]), (h[~inner], np.concatenate((w[e > m - radius], h[inner & (d > m - radius)])))]
+        elif len(h):
             compare(every, links, h, h, radius)
-            held = links.roots(h)
-            if (held == held[0]).all():  # a visitor that is linked to all of them needs no comparison
-                w = w[links.roots(w) != held[0]]
-            compare(every, links, w, h, radius)
+            compare(every, links, unlinked(links, h, w)[1], h, radius)
     root = links.roots(np.arange(len(every)))
     moved = np.flatnonzero(root != np.arange(len(every)))
     return every[moved], every[root[moved]]
 
 
+def unlinked(links, h, w) -> tuple[np.ndarray, np.ndarray]:
+    """``h`` and ``w`` without what needs no comparison: if all of ``h`` are linked, visitors linked to them, and then ``h`` if none is left."""
+    held = links.roots(h)
+    if len(h) and (held == held[0]).all():
+        w = w[links.roots(w) != held[0]]
+        if not len(w):
+            h = h[:0]
+    return h, w
+
+
 def compare(every, links, a, b, radius, block: int = 1 << 22) -> None:
     x = every[b]
     step = max(1, block // max(len(b), 1))
@@ -242,10 +247,9 @@ def links_between(fps: DataFrame, radius: int = 4) -> DataFrame:
                         visits.append(np.full(len(y), v))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(np.concatenate(fps_).view(np.int64)), pa.array(np.concatenate(visits))], names=["shard", "fp", "visits"])
 
-    def search(key, t):
+    def search(t):
         x, v = t.column("fp").to_numpy().view(np.uint64), t.column("visits").to_numpy()
-        part = masks[int(np.searchsorted(bases, key[0].as_py(), "right")) - 1]
-        a, b = shard_links(x[~v], x[v], part, radius)
+        a, b = shard_links(x[~v], x[v], radius)
         return pa.table({"fp": a.view(np.int64), "to": b.view(np.int64)})
 
     return fps.select("fp").mapInArrow(deal, "shard long, fp long, visits boolean").groupBy("shard").applyInArrow(search, "fp long, to long")

@@ -221,6 +221,64 @@ def test_replication_is_bounded():
         assert 5 * len(x) <= sent < most * len(x)
 
 
+def linked_pairs(x, links):
+    """(fingerprint, root) of all of ``x`` after ``links``, as sets of what is joined."""
+    up = {int(v): int(v) for v in x}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(int(a)), root(int(b))))
+        up[b] = a
+    groups = defaultdict(set)
+    for v in up:
+        groups[root(v)].add(v)
+    return sorted(map(sorted, groups.values()))
+
+
+def brute_pairs(x, radius=4):
+    for k, v in enumerate(x):
+        yield from ((v, u) for u in x[:k][np.bitwise_count(x[:k] ^ v) <= radius])
+
+
+def test_visitors_carry_links_over_boundaries(monkeypatch):
+    """A tree whose nodes all measure 64 bits: links between shards are found by visitors, and without them they are lost."""
+    monkeypatch.setattr(simhash, "LEAF", 8)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    near = base.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64)
+    x = np.unique(np.concatenate((base, near)))
+    tree = simhash.Tree(x, 0, 4, 40)
+    assert tree.shards >= 8 and all(r == 4 and mask == simhash.FULL for mask, r, *_ in tree.nodes)
+    routed = list(tree.route(x))
+    assert sorted(np.concatenate([h for _, h, _ in routed]).tolist()) == x.tolist()
+    want = linked_pairs(x, brute_pairs(x))
+    got = [pair for _, h, v in routed for pair in zip(*simhash.shard_links(h, v, 4))]
+    alone = [pair for _, h, v in routed for pair in zip(*simhash.shard_links(h, v[:0], 4))]
+    assert linked_pairs(x, got) == want != linked_pairs(x, alone)
+
+
+@pytest.mark.parametrize("flips", [1, 2, 4, 7, 12])
+def test_masses_inside_a_shard(flips, monkeypatch):
+    """Many distinct fingerprints around one, from a mass that one vantage point links to one with few links."""
+    monkeypatch.setattr(simhash, "LEAF", 32)
+    rng = np.random.default_rng(flips)
+    x = np.full(900, rng.integers(0, 1 << 64, dtype=np.uint64))
+    for _ in range(flips):
+        x ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+    x = np.unique(x)
+    home, visiting = x[::2], x[1::2]
+    want = linked_pairs(x, ((a, b) for a, b in brute_pairs(x) if a in home or b in home))
+    assert linked_pairs(x, zip(*simhash.shard_links(home, visiting, 4))) == want
+    assert not len(simhash.shard_links(home[:0], visiting, 4)[0])
+    assert linked_pairs(x, zip(*simhash.shard_links(np.repeat(home, 3), visiting, 4))) == want
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges, "a", "b").collect()}
