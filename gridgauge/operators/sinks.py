@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridgauge.functions import tables as tb
+from gridgauge.sources.excel import place
 
 
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -18,6 +22,24 @@ def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def files(df: DataFrame, name: Column, content: Column, path: str) -> int:
+    """A file in the shared folder ``path`` for each row; returns how many.  Tasks write under a hidden name and move the whole file, so one that is done again leaves no half."""
+
+    def write(batches):
+        fs, root = place(path)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for said, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                hidden = f"{root}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(hidden) as out:
+                    out.write(data)
+                fs.move(hidden, f"{root}/{said}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    rows = df.select(name.cast("string").alias("name"), F.coalesce(content.cast("binary"), F.lit(b"")).alias("content"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def run_rows(runs: DataFrame) -> DataFrame:
     """SNK-08: of runs (document_id, tool_name, processing_time_ms, cost_usd, tables, failure_reason, is_transient_failure) one row for each table; time and cost stand on the first.  A run without tables has one row."""
     t = runs.select("*", F.posexplode_outer(F.when(F.size("tables") > 0, F.col("tables"))).alias("pos", "t"))

@@ -61,6 +61,20 @@ def str_03_carrier(spark, sf_dir):
     return bridge.load(spark, sf_dir, "orders").select("o_orderkey", text.carrier(name).alias("carrier"))
 
 
+FILE_OF_PART = "case p_size % 3 when 0 then 'statement_2024-' || p_name || '.pdf' when 1 then p_brand || ' final/' || p_name || '.copy' else 'scan ' || p_size || '_' || p_type || '.PDF' end"
+
+
+@query(f"""with f as (select p_partkey, {FILE_OF_PART} as file from part),
+  w as (select p_partkey, file, list_filter(list_transform(regexp_split_to_array(regexp_replace(file, '\\.[^/.]+$', ''), '[\\s_/-]+'), lambda x: regexp_replace(x, '[^a-zA-Z0-9&]', '', 'g')),
+    lambda x: length(x) >= 2 and not regexp_matches(x, '^[0-9]') and lower(x) not in ({", ".join(f"'{x}'" for x in text.NO_CARRIER)})) as words from f)
+  select p_partkey, file, case when len(words) = 0 then 'Unknown' else upper(words[1][1]) || words[1][2:] end as carrier from w""", None)
+def str_03_carrier_of_files(spark, sf_dir):
+    """File names made of each part's name, brand or type."""
+    k = F.col("p_size") % 3
+    file = F.when(k == 0, F.concat(F.lit("statement_2024-"), "p_name", F.lit(".pdf"))).when(k == 1, F.concat("p_brand", F.lit(" final/"), "p_name", F.lit(".copy"))).otherwise(F.concat(F.lit("scan "), F.col("p_size").cast("string"), F.lit("_"), "p_type", F.lit(".PDF")))
+    return bridge.load(spark, sf_dir, "part").select("p_partkey", file.alias("file")).withColumn("carrier", text.carrier(F.col("file")))
+
+
 @query("""select a.p_partkey, round(len(list_intersect(list_distinct(string_split(a.p_name, ' ')), list_distinct(string_split(a.p_type, ' ')))) / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(a.p_type, ' ')))), 6) as jaccard,
   array_to_string(list_sort(list_distinct(string_split(a.p_type, ' '))), ' ') as words from part a""", None)
 def set_05_07_jaccard(spark, sf_dir):

@@ -238,6 +238,18 @@ def tbl_26_27_repair(spark, sf_dir):
     return got.select("k", F.regexp_replace("said", r"(?<=[:,])\s", "").alias("said"))
 
 
+@query("""with items as (select l_orderkey as k, '{"p":' || l_partkey || ',"n":"' || l_linenumber || '"}' as item from lineitem),
+  placed as (select k, item, row_number() over w as i, sum(length(item) + 1) over (w rows unbounded preceding) as until, sum(length(item) + 1) over (partition by k) + 1 as total from items window w as (partition by k order by item))
+  select k, case when count(*) filter (until <= k * 37 % (total + 1)) > 0 then '[' || string_agg(item, ',' order by item) filter (until <= k * 37 % (total + 1)) || ']' end as said from placed group by k""", None)
+def tbl_26_27_cut_answers(spark, sf_dir):
+    """Lines of each order as a JSON answer that breaks off somewhere: what is left is closed after its last whole line."""
+    item = F.concat(F.lit('{"p":'), F.col("l_partkey").cast("string"), F.lit(',"n":"'), F.col("l_linenumber").cast("string"), F.lit('"}'))
+    whole = bridge.load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(item)), ","), F.lit("]")).alias("whole"))
+    cut = F.substring("whole", F.lit(1), F.col("k") * 37 % (F.length("whole") + 1))
+    said = whole.select("k", F.concat(F.when(F.col("k") % 2 == 0, "```json\n").otherwise("Here it is: "), cut).alias("said"))
+    return payloads.repaired(said, "said").select("k", F.regexp_replace("said", r"(?<=[:,])\s", "").alias("said"))
+
+
 @query("""select o_orderkey as k, '{"a":' || case when o_orderkey % 2 = 0 then 'null' else '"' || o_orderstatus || '"' end || ',"n":' || o_custkey || '}' as said from orders""", None)
 def tbl_02_json_text(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -371,20 +383,13 @@ def snk_14_delete(spark, sf_dir):
 # --- files and tools ----------------------------------------------------------------------------------------------------
 
 
-@query("select r_regionkey as k, length(r_name) as length, '.pdf' as ending from region", None)
+@query("""select s_suppkey as k, length(s_name) + length(s_nationkey::varchar) + 1 as length, '.pdf' as ending, s_name || ' ' || s_nationkey as said from supplier where s_suppkey % 3 > 0""", None)
 def src_06_files(spark, sf_dir):
-    """Files made of the regions, of which the PDF ones are read."""
-    at = folder(spark)
-    r = bridge.load(spark, sf_dir, "region")
-    sc = spark.sparkContext
-    fs = sc._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(sc._jsc.hadoopConfiguration())
-    for k, name in r.select("r_regionkey", "r_name").collect():
-        for ending in (".pdf", ".txt"):
-            out = fs.create(sc._jvm.org.apache.hadoop.fs.Path(f"{at}/{k}{ending}"))
-            out.write(bytearray(name.encode()))
-            out.close()
+    """A file for each supplier, written by the tasks, of which the PDF ones are read."""
+    at, k = folder(spark), F.col("s_suppkey")
+    sinks.files(bridge.load(spark, sf_dir, "supplier"), F.concat(k.cast("string"), F.when(k % 3 > 0, ".pdf").otherwise(".txt")), F.concat_ws(" ", "s_name", F.col("s_nationkey").cast("string")), at)
     got = payloads.pdf_files(spark, at)
-    return got.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("int").alias("k"), F.col("length").cast("long").alias("length"), F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("ending"))
+    return got.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("k"), F.col("length").cast("long").alias("length"), F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("ending"), F.col("content").cast("string").alias("said"))
 
 
 @query("""select o_orderkey as k, t as tool_name, case when t = 'docling' and o_orderkey % 5 = 0 then null else '{"tables":[{"headers":["h"],"rows":[["' || o_orderkey || '"]]}]}' end as raw_output, case when t = 'docling' and o_orderkey % 5 = 0 then 'ValueError' end as kind, case when t = 'docling' and o_orderkey % 5 = 0 then 'bad 0' end as error from orders, (select unnest(['pymupdf', 'docling']) as t)""", None)
