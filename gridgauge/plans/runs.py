@@ -293,6 +293,19 @@ def src_14_arbitrate(spark, sf_dir):
     return orders(spark, sf_dir, F.get(F.get(got, 0)["headers"], 0).alias("won"))
 
 
+@query("""with n as (select l_orderkey as k, count(*) filter (where l_linestatus = 'F') as f, count(*) filter (where l_linestatus <> 'F') as o,
+    string_agg(l_partkey::varchar, ',' order by l_partkey::varchar) filter (where l_linestatus = 'F') as fs, string_agg(l_partkey::varchar, ',' order by l_partkey::varchar) filter (where l_linestatus <> 'F') as os from lineitem group by l_orderkey)
+  select k, case when f > 0 and f >= o then 'structured' else 'text' end as won, case when f > 0 and f >= o then fs else os end as parts from n""", None)
+def src_14_arbitrate_lines(spark, sf_dir):
+    """Finished lines of each order as the structured answer's table, the others as that of its text."""
+    done, part = F.col("l_linestatus") == "F", F.array(F.col("l_partkey").cast("string"))
+    rows = lambda of: F.array_sort(F.collect_list(F.when(of, part)))
+    both = bridge.load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(rows(done).alias("done"), rows(~done).alias("open"))
+    table = lambda name, of: F.when(F.size(of) > 0, F.array(F.struct(F.array(F.lit(name)).alias("headers"), F.col(of).alias("rows"))))
+    won = both.select("k", F.get(payloads.arbitrate(table("structured", "done"), table("text", "open")), 0).alias("t"))
+    return won.select("k", F.get("t.headers", 0).alias("won"), F.array_join(F.flatten("t.rows"), ",").alias("parts"))
+
+
 @query("select o_orderkey as k, 'Name|' || o_custkey as header, 'a b|' || o_orderkey as row from orders", None)
 def src_20_layout(spark, sf_dir):
     block = lambda *t: F.concat(F.lit('{"blocks":['), F.concat_ws(",", *[F.concat(F.lit('{"textBlock":{"text":"'), x, F.lit('"}}')) for x in t]), F.lit("]}"))

@@ -137,7 +137,7 @@ def blocks_of(answers: DataFrame, by: list[str], payload: str = "payload") -> Da
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: raw files with path, time and length."""
+    """SRC-06: raw files with path, time and length.  Files without a byte, which are no PDFs, are left out by Spark's source."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
 
 
