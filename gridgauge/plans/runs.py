@@ -127,6 +127,16 @@ def pol_06_11_exceptions(spark, sf_dir):
     return orders(spark, sf_dir, policy.failure_of_exception(kind, said, code).alias("reason"), policy.retriable(said).alias("retriable"))
 
 
+@query("""with e as (select event_id, event_type, 430 + cast(json_extract_string(props, '$.k') as int) as code from events)
+  select event_id, case when code in (503, 529) then 'rate_limit' when event_type = 'error' then 'server_down' when event_type = 'purchase' then 'timeout' else 'api_error' end as reason, code in (500, 502, 503, 504, 529) as retriable from e""", None)
+def pol_06_11_events(spark, sf_dir):
+    """Each event as a call that failed, with the status that it carries."""
+    code = (430 + F.get_json_object("props", "$.k").cast("int")).cast("string")
+    kind = F.when(F.col("event_type") == "error", "APIConnectionError").when(F.col("event_type") == "purchase", "TimeoutError").otherwise("ValueError")
+    said = F.concat(F.lit("HTTP "), code)
+    return bridge.load(spark, sf_dir, "events").select("event_id", policy.failure_of_exception(kind, said, code).alias("reason"), policy.retriable(said).alias("retriable"))
+
+
 @query(f"select extraction_result_id, round(nullif(cost_usd, 0), 6) as cost, round(f1_score, 6) as f1 from {SCORED}", "tables")
 def jn_03_prj_02_scored(spark, sf_dir):
     """Scored runs with their documents; costs of zero are missing, F1 of zero isn't."""
