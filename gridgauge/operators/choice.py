@@ -26,9 +26,14 @@ def by_tier(rows: DataFrame) -> DataFrame:
 
 
 def as_text(rows: DataFrame, column: str, down: bool = False) -> DataFrame:
-    """SRT-05: by a column as text, null as empty text."""
+    """SRT-05: by a column as text, null as empty text; rows of equal texts by their other columns, from left to right.
+
+    So the order is one and the same each time, and rows of one text, which may be most of all, are cut into ranges for
+    several tasks.
+    """
     c = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return rows.orderBy(c.desc() if down else c.asc())
+    others = [F.col(o) for o, t in rows.dtypes if o != column and "map<" not in t and t != "variant"]
+    return rows.orderBy(c.desc() if down else c.asc(), *others)
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
