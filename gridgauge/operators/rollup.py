@@ -18,9 +18,13 @@ def scored_rows(extraction: DataFrame, score: DataFrame) -> DataFrame:
 
 
 def merge_rows(rows: DataFrame) -> DataFrame:
-    """AGG-01: rollup by document and tool; map-side partial aggregation, one shuffle."""
+    """AGG-01: rollup by document and tool, in one shuffle.
+
+    A run has few rows, which the join has spread over tasks: a rollup before the shuffle would sort them all (a text
+    has no place in a hash aggregate) and merge next to none, so rows are dealt by run first.
+    """
     means = [F.avg(policy.finite(F.col(m))).alias(m) for m in dims.METRICS]
-    return rows.groupBy("document_id", "tool_name").agg(
+    return rows.repartition("document_id", "tool_name").groupBy("document_id", "tool_name").agg(
         F.count("*").alias("n_tables"), F.count(policy.finite(F.col("f1_score"))).alias("scored_tables"), *means,
         F.greatest(F.max(F.coalesce("processing_time_ms", F.lit(0))), F.lit(0)).alias("processing_time_ms"),
         F.sum(F.coalesce(F.col("cost_usd"), F.lit(0.0))).alias("cost_usd"),
@@ -37,16 +41,18 @@ def slots(documents: DataFrame, rows: DataFrame, truth: DataFrame) -> DataFrame:
     """JN-05, POL-03: every document with every tool, with the rollup where there is one.
 
     The seven tools are an array that is exploded, so there is no cross join; rollup and truth counts are
-    aggregated before they meet the documents, by the documents' key.
+    aggregated before they meet the documents, by the documents' key.  What a document says by itself (tier, carrier)
+    is found before the tools are exploded, once for all seven.
     """
     tools = F.explode(F.array(*[F.struct(F.lit(k).alias("tool_rank"), F.lit(t).alias("tool_name")) for k, t in enumerate(dims.TOOLS)]))
+    documents = documents.withColumns({"tier": policy.tier(F.col("complexity_tier")), "carrier": carrier(F.col("filename"))})
     docs = documents.join(truth_counts(truth), "document_id", "left").select("*", tools.alias("t")).select("*", "t.*").drop("t")
     found = docs.join(merge_rows(rows).withColumn("has_extraction", F.lit(True)), ["document_id", "tool_name"], "left")
     zero = {"n_tables": 0, "scored_tables": 0, "gt_tables": 0, "processing_time_ms": 0, "cost_usd": 0.0, "has_extraction": False, "is_transient_failure": False}
     found = found.fillna(zero)
     return found.select(
-        "*", policy.tier(F.col("complexity_tier")).alias("tier"), dims.generation(F.col("tool_name")).alias("generation"), dims.label(F.col("tool_name")).alias("label"),
-        F.col("tool_name").isin(*dims.OPEN_SOURCE).alias("open_source"), carrier(F.col("filename")).alias("carrier"),
+        "*", dims.generation(F.col("tool_name")).alias("generation"), dims.label(F.col("tool_name")).alias("label"),
+        F.col("tool_name").isin(*dims.OPEN_SOURCE).alias("open_source"),
         F.when((F.col("page_count") > 0) & F.col("has_extraction"), F.col("cost_usd") / F.col("page_count")).alias("cost_per_page"),
         policy.reliability(F.col("has_extraction"), F.col("is_transient_failure"), F.col("scored_tables"), F.col("n_tables"), F.col("gt_tables")).alias("reliability"),
     )

@@ -21,3 +21,17 @@ def test_sort_by_a_text_of_few_values(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_rollup_is_dealt_before_it_is_sorted(spark, sf_dir):
+    """No aggregate of texts stands below the rollup's shuffle, where it would sort all rows for nothing."""
+    lines = plan(rollup.merge_rows(rows_of(spark, sf_dir))).split("\n")
+    first = next(k for k, x in enumerate(lines) if "Exchange" in x)
+    assert not any("Aggregate" in x for x in lines[first:])
+
+
+def test_what_a_document_says_is_found_once(spark, sf_dir):
+    """The carrier's patterns run below the explode of the seven tools."""
+    lines = plan(slots_of(spark, sf_dir).select("document_id", "tool_name", "carrier")).split("\n")
+    explode = next(k for k, x in enumerate(lines) if "Generate explode" in x and "pymupdf" in x)
+    assert [k > explode for k, x in enumerate(lines) if "regexp_replace" in x and "Project" in x] == [True]
