@@ -23,7 +23,7 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays: that of the smallest id."""
+    """One document of each group of near copies stays, that of the smallest id: SimHash finds them, the similarity of five-word shingles (0.8) decides."""
     return nearcopies.keep_apart(docs)
 
 

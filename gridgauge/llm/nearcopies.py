@@ -1,12 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies: SimHash finds them, the Jaccard similarity of word shingles decides.
 
-Texts with the same set of shingles are one node.  Candidates share a band of min-hashes; every candidate's
-similarity is then computed from the whole sets of shingles.  A pair at the similarity 0.8 shares one of 28
-bands of 6 with a probability of 0.9998, and more similar ones with a higher one.
+Texts with the same set of shingles are one node.  Each set has a SimHash of its shingles, and operator 4's search by
+vantage-point trees (``simhash.links_between``) finds the fingerprints at 4 or fewer differing bits.  The similarity of
+each such set to the first one of its group is then computed from the whole sets; what passes is linked.
 
-Bands are searched twice.  First each set meets two of its bucket: the smallest one, and the most central one, that
-with the most others in all its buckets, which in a group of variants is the text that they vary.  Then, in the buckets
-that still hold more than one component, all sets meet, in pairs of blocks, through the shingles that they share.
+At the similarity 0.8 fingerprints differ in about 10 bits, out of that search's reach, so what SimHash leaves apart is
+searched by bands of min-hashes: a pair at 0.8 shares one of 28 bands of 6 with a probability of 0.9998, and more similar
+ones with a higher one.  Bands are searched twice.  First each set meets two of its bucket, unless SimHash has linked them:
+the smallest one, and the most central one, that with the most others in all its buckets, which in a group of variants is
+the text that they vary.  Then, in the buckets that still hold more than one component, all sets meet, in pairs of blocks,
+through the shingles that they share.
 
 Cases: null text is empty; texts without words are one set; shorter texts than a shingle are one shingle; of equal
 ids and texts one row stays; rows without an id are kept; other columns are kept, whatever their names; an empty
@@ -22,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgauge.llm.common import per_batch, with_text, written
-from gridgauge.llm.simhash import LOWER, Links, components, digest, keep_firsts
+from gridgauge.llm.simhash import LOWER, Links, components, digest, keep_firsts, links_between, majority
 
 BANDS, BAND = 28, 6
+#: Bits in which linked fingerprints differ at most.
+RADIUS = 4
 #: Sets of one bucket, and bytes of their shingles, that are compared with as many others in one group, about.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 RNG = np.random.default_rng(20)
@@ -58,19 +63,24 @@ def signed(x: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 7)).view(np.int64))
 
 
+def fingerprint(x: np.ndarray, block: int = 1 << 16) -> int:
+    """SimHash of a set of shingles, as a signed long; of none zero."""
+    return int(np.uint64(majority((x[at : at + block].byteswap().tobytes() for at in range(0, len(x), block)), len(x))).view(np.int64))
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id_col``, ``digest`` of the text, ``fp`` and ``size`` of the set of shingles, ``bands``."""
+    """``id_col``, ``digest`` of the text, ``fp`` and ``size`` of the set of shingles, its SimHash ``sim``, ``bands``."""
     kind = dict(df.dtypes)[id_col]
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(x, words) for x in b.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), pa.array(map(signed, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], names=[id_col, "digest", "fp", "size", "bands"])
+            return pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), pa.array(map(signed, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(fingerprint, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))], names=[id_col, "digest", "fp", "size", "sim", "bands"])
 
         return f
 
     rows = with_text(df, text_col, (id_col, "id")).withColumn("digest", digest("text"))
-    return per_batch(rows, make, f"`{id_col}` {kind}, digest long, fp long, size long, bands array<long>")
+    return per_batch(rows, make, f"`{id_col}` {kind}, digest long, fp long, size long, sim long, bands array<long>")
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -105,21 +115,34 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return per_batch(rows.select("fp", "to", "held", "other"), make, "fp long, to long")
 
 
+def by_simhash(sets: DataFrame) -> DataFrame:
+    """(fp, to): each set with the first one of those that SimHash finds it with: equal fingerprints, or a chain of links of ``RADIUS`` bits."""
+    sims, _ = written(sets.select("sim").distinct())
+    found, _ = written(links_between(sims.withColumnRenamed("sim", "fp"), RADIUS))
+    joined = components(found, "fp", "to")
+    rooted = sets.select("fp", "sim").join(joined, F.col("sim") == joined.node, "left").select("fp", F.coalesce("root", "sim").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("fp").alias("to"), F.max("fp").alias("most")).where("to < most").select("root", "to")
+    return rooted.join(firsts, "root").where("fp <> to").select("fp", "to")
+
+
 def links(df: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     """(fp, to): edges that join all sets of shingles in ``docs`` that candidates of at least the similarity ``least`` link."""
-    sets = docs.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("id"), "digest")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sets = docs.groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("id"), "digest")).alias("first"), F.first("size").alias("size"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
     sets, _ = written(sets)
+    near, _ = written(by_simhash(sets))
     keys = sets.select("fp", "size", F.explode("bands").alias("band"))
     of_bucket, _ = written(keys.groupBy("band").agg(F.min("fp").alias("to"), F.max("fp").alias("most"), F.count("*").alias("n")).where("to < most").drop("most"))
     met, _ = written(keys.join(of_bucket, "band"))
     often = met.groupBy("fp").agg(F.sum("n").alias("others"))
     central = met.where("n > 2").join(often, "fp").groupBy("band").agg(F.max_by("fp", F.struct("others", "fp")).alias("central"))
     shared, _ = written(met.drop("n").join(central, "band", "left"))
-    wanted = sets.join(shared.select("fp").distinct(), "fp", "left_semi").select("first.*")
+    meet = shared.select("fp").union(near.select("fp")).union(near.select("to")).distinct()
+    wanted = sets.join(meet, "fp", "left_semi").select("first.*")
     held, _ = written(sets_of(df, wanted, id_col, text_col, words))
     ends = F.explode(F.array_distinct(F.array("to", F.coalesce("central", "to")))).alias("to")
-    pairs = shared.select("fp", ends).where("fp <> to").distinct()
-    first, _ = written(verified(pairs, held, least))
+    close, _ = written(verified(near, held, least))
+    pairs = shared.select("fp", ends).where("fp <> to").distinct().join(close, ["fp", "to"], "left_anti")
+    first, _ = written(close.union(verified(pairs, held, least)))
     joined = components(first, "fp", "to")
     rooted = shared.join(joined, shared.fp == joined.node, "left").select("band", "fp", "size", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size")).where("low < high")

@@ -26,7 +26,7 @@ gives an empty result; texts are read whole, in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -69,9 +69,14 @@ def fingerprint(text: str, words: int = 4, block: int = 1 << 16) -> int:
     starts = ends - n
     k = max(1, len(parts) - words + 1)
     starts, ends = starts[:k].tolist(), ends[min(words, len(parts)) - 1 :].tolist()
-    digest, total = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for at in range(0, k, block):
-        raw = b"".join([digest(data[a:b], 42) for a, b in zip(starts[at : at + block], ends[at : at + block])])
+    digest = xxhash.xxh64_digest
+    return majority((b"".join([digest(data[a:b], 42) for a, b in zip(starts[at : at + block], ends[at : at + block])]) for at in range(0, k, block)), k)
+
+
+def majority(blocks: Iterable[bytes], k: int) -> int:
+    """Fingerprint of ``k`` hashes of 8 bytes, the highest first, that come in blocks: the bits that over half of them have."""
+    total = np.zeros(64, np.int64)
+    for raw in blocks:
         total += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > k).tobytes(), "big")
 

@@ -96,3 +96,18 @@ def test_scratch_tables_go(spark):
         df, path = written(spark.range(4))
         keep(path)
     assert df.count() == 4 and len(set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before) == 1
+
+
+def test_simhash_finds_near_copies(spark, monkeypatch):
+    """Without bands, copies with a word more are found by their fingerprints alone; a far text within 4 bits isn't linked."""
+    monkeypatch.setattr(nearcopies, "bands", lambda x: [nearcopies.signed(x)])
+    base, other = ([f"{c}{k}" for k in range(400)] for c in "wv")
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, " ".join(["first", *base])), (4, " ".join(other)), (5, " ".join([*other, "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs, _ = nearcopies.written(nearcopies.signatures(df, "doc_id", "text", 5))
+    found = {(r.fp, r.to) for r in nearcopies.by_simhash(docs.select("fp", "sim").distinct()).collect()}
+    fps = {r.doc_id: r.fp for r in docs.collect()}
+    assert {frozenset(p) for p in found} == {frozenset((fps[a], min(fps[i] for i in g))) for g in ((1, 2, 3), (4, 5)) for a in g if fps[a] != min(fps[i] for i in g)}
+    assert {r.doc_id for r in nearcopies.keep_apart(df).collect()} == {1, 4}
+    monkeypatch.setattr(nearcopies, "fingerprint", lambda x: 0)
+    assert {r.doc_id for r in nearcopies.keep_apart(df.where("doc_id in (1, 4)")).collect()} == {1, 4}
