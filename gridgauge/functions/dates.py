@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from gridgauge.functions import text
 # What parts the two dates of a range.
 RANGE = r"(?i)\s+(?:through|thru|thr|to|-|–|—|until|till)\s+"
 FORMATS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "d.M.yyyy", "d/M/yyyy", "d-M-yyyy")
+#: What each part of a format may look like, at least: a text of another shape can't be read by it.
+SHAPES = {"yyyy": r"[+-]?\d{4,}", "MMMM": r"[^\d\s]{3,}", "MMM": r"[^\d\s]{3,}", "M": r"0*(?:[1-9]|1[0-2])", "d": r"0*(?:[1-9]|[12]\d|3[01])"}
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 PATTERNS = (
     r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b",
@@ -27,22 +31,37 @@ PATTERNS = (
 )
 
 
+def shape(form: str) -> str:
+    """An expression that every text fits that ``form`` can read."""
+    return "^" + re.sub(r"yyyy|MMMM|MMM|M|d|\.", lambda m: SHAPES.get(m[0], r"\."), form) + "$"
+
+
 def parse(c: Column) -> Column:
-    """DAT-03: the date that a text is, by the first format that fits; years of two digits below 50 are of this century.  Else null."""
+    """DAT-03: the date that a text is, by the first format that fits; years of two digits below 50 are of this century.  Else null.
+
+    The text is cleaned once, and only formats of its shape are tried: one that fails costs an exception.
+    """
+    return F.get(F.transform(F.array(_cleaned(c)), _read), 0)
+
+
+def _cleaned(c: Column) -> Column:
     v = F.regexp_replace(text.strip(c), r"\.(?=\s)", "")
-    v = F.regexp_replace(F.regexp_replace(v, r"(?<=\d)\s*([/-])\s*(?=\d)", "$1"), rf"(?i)^({MONTHS})\.?(\d{{1,2}}),?(\d{{4}})$", "$1 $2 $3")
+    return F.regexp_replace(F.regexp_replace(v, r"(?<=\d)\s*([/-])\s*(?=\d)", "$1"), rf"(?i)^({MONTHS})\.?(\d{{1,2}}),?(\d{{4}})$", "$1 $2 $3")
+
+
+def _read(v: Column) -> Column:
     short = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2})$"
     part = lambda k: F.regexp_extract(v, short, k).try_cast("int")
     year = F.when(part(3) < 50, part(3) + 2000).otherwise(part(3) + 1900)
     two = F.when(v.rlike(short), F.try_to_date(F.concat_ws("-", year, part(1), part(2)), "yyyy-M-d"))
-    return F.coalesce(two, *[F.try_to_date(v, f) for f in FORMATS])
+    return F.coalesce(two, *[F.when(v.rlike(shape(f)), F.try_to_date(v, f)) for f in FORMATS])
 
 
 def statement_date(c: Column) -> Column:
     """DAT-01: the first date of a range as ISO text; what can't be read stays as it is."""
-    start = F.get(F.split(text.strip(c), RANGE, 2), 0)
-    inside = F.coalesce(*[F.try_element_at(F.filter(F.regexp_extract_all(start, F.lit("(?i)" + p), 0), lambda x: parse(x).isNotNull()), F.lit(1)) for p in PATTERNS])
-    return F.coalesce(F.date_format(F.coalesce(parse(start), parse(inside)), "yyyy-MM-dd"), c)
+    inside = lambda start: F.coalesce(*[F.array_min(F.slice(F.filter(F.transform(F.regexp_extract_all(start, F.lit("(?i)" + p), 0), parse), lambda x: x.isNotNull()), 1, 1)) for p in PATTERNS])
+    day = F.transform(F.array(F.get(F.split(text.strip(c), RANGE, 2), 0)), lambda start: F.coalesce(parse(start), inside(start)))
+    return F.coalesce(F.date_format(F.get(day, 0), "yyyy-MM-dd"), c)
 
 
 def find(c: Column) -> Column:

@@ -1,7 +1,10 @@
 """Steps whose work or memory must not gather in one task, or be done again for each row."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from gridgauge.functions import dates
 from gridgauge.operators import choice, rollup
 from gridgauge.plans.registry import rows_of, slots_of
 
@@ -39,3 +42,12 @@ def test_what_a_document_says_is_found_once(spark, sf_dir):
     lines = plan(slots_of(spark, sf_dir).select("document_id", "tool_name", "carrier")).split("\n")
     explode = next(k for k, x in enumerate(lines) if "Generate explode" in x and "pymupdf" in x)
     assert [k > explode for k, x in enumerate(lines) if "regexp_replace" in x and "Project" in x] == [True]
+
+
+def test_only_formats_of_a_dates_shape_are_tried(spark):
+    """Each format is behind a check of the text's shape, which every text fits that it can read; the text is cleaned once."""
+    text = plan(spark.createDataFrame([("3/4/2024",)], "t string").select(dates.parse(F.col("t"))))
+    assert text.count("RLIKE") > len(dates.FORMATS) and text.count("regexp_replace") < 10
+    for form, said in (("M/d/yyyy", "0003/4/+12024"), ("MMMM yyyy", "May -2024"), ("d MMM yyyy", "07 jan 2024"), ("d.M.yyyy", "31.12.2024")):
+        assert re.search(dates.shape(form), said), (form, said)
+    assert not re.search(dates.shape("M/d/yyyy"), "13/4/2024") and not re.search(dates.shape("yyyy-M-d"), "3-4-2024")
