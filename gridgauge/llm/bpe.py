@@ -17,14 +17,13 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridgauge.llm.common import per_batch, with_text
+from gridgauge.llm.common import kept, per_batch, with_text
 
 # Code point ranges that the regex package's Unicode data has as letters and numbers and the tokenizers
 # library's (Unicode 16) hasn't.
@@ -379,9 +378,8 @@ class Encoder:
         return ids, ",".join(map(self.said.__getitem__, at.tolist()))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(Vocabulary(path))
+    return kept(("bpe", path), lambda: Encoder(Vocabulary(path)))
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:

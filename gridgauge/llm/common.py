@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -68,16 +68,39 @@ def with_text(df: DataFrame, text_col: str, *others: tuple[str, str]) -> DataFra
 
 #: Rows that a task turns into Python objects at once.
 ROWS = 512
+#: What a worker process keeps from task to task, and the keys that the task at hand has asked for.
+_kept: dict = {}
+_asked: set = set()
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """``make()``, once as long as a worker's tasks ask for it; it goes with the first task of ``per_batch`` that doesn't.
+
+    Workers outlive a job's stages: what one stage remembers of its words must not stand beside what the next one needs.
+    """
+    _asked.add(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_unasked() -> None:
+    """Forget what the task at hand hasn't asked for."""
+    for key in _kept.keys() - _asked:
+        del _kept[key]
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Map Arrow batches, ``ROWS`` rows at a time, with what ``make()`` returns; it is called once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _asked.clear()
         f = make()
+        drop_unasked()
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 yield f(b.slice(at, ROWS))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

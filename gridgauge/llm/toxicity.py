@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgauge.llm.common import per_batch, with_text, words
+from gridgauge.llm.common import kept, per_batch, with_text, words
 
 #: Labelled ids of the sample, at most; hashed features.
 SAMPLE, HASHES = 10_000, 1 << 22
@@ -75,9 +74,8 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.array(self.cuts)[None, :] - x[:, None], -50, 50)))
 
 
-@lru_cache(maxsize=2)
 def prepared(model: Model) -> tuple[Features, np.ndarray]:
-    return Features({f: k for k, f in enumerate(model.features)}), np.array(model.weights)
+    return kept(("toxicity", model), lambda: (Features({f: k for k, f in enumerate(model.features)}), np.array(model.weights)))
 
 
 def fit(features: np.ndarray, n: np.ndarray, toxic: np.ndarray, steps: int = 800, rate: float = 0.1, ridge: float = 1e-5) -> Model:
