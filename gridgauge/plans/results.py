@@ -15,8 +15,9 @@ from gridgauge.sources import bridge
 
 def scored(spark, sf_dir) -> DataFrame:
     """JN-03: score, extraction and document; unscored rows vanish."""
-    er = bridge.extractions(spark, sf_dir)
-    return bridge.scores(er).join(er.drop("l_discount", "l_tax", "l_partkey"), "extraction_result_id").join(bridge.documents(spark, sf_dir), "document_id")
+    er, n = bridge.extractions(spark, sf_dir), bridge.tasks(bridge.load(spark, sf_dir, "lineitem"))
+    rows = bridge.scores(er).join(er.drop("l_discount", "l_tax", "l_partkey").repartition(n, "extraction_result_id"), "extraction_result_id")
+    return rows.repartition(n, "document_id").join(bridge.documents(spark, sf_dir), "document_id")
 
 
 SCORED = "(select e.*, d.filename, d.complexity_tier, d.is_digital, d.page_count, s.f1_score, s.\"precision\", s.recall, s.teds_score, s.grits_top, s.grits_con, s.grits_loc from fx_score s join fx_extraction e using (extraction_result_id) join fx_document d using (document_id))"

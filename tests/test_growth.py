@@ -2,11 +2,14 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridgauge.functions import dates
-from gridgauge.operators import choice, rollup
+from gridgauge.operators import choice, metrics, rollup, store
+from gridgauge.plans import QUERIES, values
 from gridgauge.plans.registry import rows_of, slots_of
+from gridgauge.sources import bridge, excel, markdown
 
 
 def plan(df):
@@ -51,3 +54,11 @@ def test_only_formats_of_a_dates_shape_are_tried(spark):
     for form, said in (("M/d/yyyy", "0003/4/+12024"), ("MMMM yyyy", "May -2024"), ("d MMM yyyy", "07 jan 2024"), ("d.M.yyyy", "31.12.2024")):
         assert re.search(dates.shape(form), said), (form, said)
     assert not re.search(dates.shape("M/d/yyyy"), "13/4/2024") and not re.search(dates.shape("yyyy-M-d"), "3-4-2024")
+
+
+def test_runs_are_counted_in_one_sort_of_bounded_tasks(spark, sf_dir, monkeypatch):
+    """One sort for lines and tables; more rows are more tasks, not larger ones."""
+    assert len(re.findall(r"\bSort \[", plan(bridge.extractions(spark, sf_dir)))) == 1
+    few = bridge.tasks(bridge.load(spark, sf_dir, "lineitem"))
+    monkeypatch.setattr(bridge, "ROWS", 500)
+    assert bridge.extractions(spark, sf_dir).rdd.getNumPartitions() > few
