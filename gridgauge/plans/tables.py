@@ -9,6 +9,7 @@ from gridgauge.functions import tables as tb
 from gridgauge.functions import text
 from gridgauge.operators import merge, metrics
 from gridgauge.plans.registry import query
+from gridgauge.shared import written
 from gridgauge.sources import bridge, markdown, payloads
 
 KEYS = ["doc_id", "table_index"]
@@ -87,7 +88,7 @@ def paged_answers(spark, sf_dir, size):
   array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(range(0, w), lambda i: coalesce(regexp_replace(trim(r[i + 1]), '\\s+', ' ', 'g'), '')), '|')), chr(10)) as rows, round(list_avg(conf), 2) as confidence, true as whole from t""", None)
 def src_09_paged_blocks(spark, sf_dir):
     """Tables read back from the answers of a paged service."""
-    answers = payloads.answers_in_order(paged_answers(spark, sf_dir, 100), ["doc_id"])
+    answers = payloads.answers_in_order(written(paged_answers(spark, sf_dir, 100)), ["doc_id"])
     got = payloads.blocks_to_tables(payloads.blocks_of(answers, ["doc_id", "whole"]), ["doc_id", "whole"])
     return got.select("doc_id", F.substring_index("table", "-", -1).cast("int").alias("table_index"), F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"), "confidence", "whole")
 
@@ -115,7 +116,7 @@ def mth_06_all_metrics(spark, sf_dir):
 
 def fragments(spark, sf_dir):
     """Rows of each order as tables of a page, so that neighbours may go together."""
-    lines = bridge.load(spark, sf_dir, "lineitem")
+    lines = bridge.dealt(bridge.load(spark, sf_dir, "lineitem"), "l_orderkey")
     got = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"), F.count("*").alias("k"))
     n = F.col("l_linenumber")
     rows = F.when(F.col("part") % 10 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array(n.cast("string"), F.col("part").cast("string"))))

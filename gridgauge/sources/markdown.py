@@ -16,7 +16,8 @@ def tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     with a pipe leave the scan; runs are found by position less rank.
     """
     lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line")).select("id", "pos", text.strip(F.col("line")).alias("line"))
-    piped = lines.where(F.col("line").contains("|"))
+    # As many tasks as the session's shuffles have: lines are short and alike, so that sizes in bytes say little of the work on them.
+    piped = lines.where(F.col("line").contains("|")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     runs = piped.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos")))
     got = runs.groupBy("id", "run").agg(F.min("pos").alias("at"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     cells = lambda x: F.transform(F.slice(F.split(x, r"\|"), 2, F.greatest(F.size(F.split(x, r"\|")) - 2, F.lit(0))), text.strip)

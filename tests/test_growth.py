@@ -62,3 +62,8 @@ def test_runs_are_counted_in_one_sort_of_bounded_tasks(spark, sf_dir, monkeypatc
     few = bridge.tasks(bridge.load(spark, sf_dir, "lineitem"))
     monkeypatch.setattr(bridge, "ROWS", 500)
     assert bridge.extractions(spark, sf_dir).rdd.getNumPartitions() > few
+
+
+def test_lines_of_tables_are_dealt_by_number(spark, sf_dir):
+    """Spark's sizing by bytes put all lines with a pipe into one task below a union."""
+    assert "REPARTITION_BY_NUM" in plan(markdown.tables(bridge.load(spark, sf_dir, "documents")))
