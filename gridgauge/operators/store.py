@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from gridgauge.operators import truth
+from gridgauge.shared import written
 
 BUCKET, MARKER = "gridgauge_bucket", "gridgauge_marker"
+#: Rows of a task of a change, about.
+ROWS = 250_000
 
 
 class Table:
@@ -44,22 +47,29 @@ class Table:
         rows = self.spark.read.parquet(self.path)
         return rows.select(*[c for c in rows.columns if c != BUCKET], F.col(BUCKET).cast("long").alias(BUCKET))
 
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        # Rebalancing splits a bucket that holds much more than others.
+    def _write(self, rows: DataFrame, mode: str, even: bool = True) -> None:
+        # Rebalancing splits a bucket that holds much more than others; it moves all rows once.
         bucket = self._bucket() if BUCKET not in rows.columns else F.coalesce(F.col(BUCKET), self._bucket())
-        rows.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        rows = rows.withColumn(BUCKET, bucket)
+        (rows.hint("rebalance", BUCKET) if even else rows).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
-    def change(self, keys: DataFrame, made: Callable[[DataFrame], DataFrame]) -> None:
-        """Rows of the buckets of ``keys`` become what ``made`` gives for them; it must leave rows of other keys alone."""
+    def change(self, keys: DataFrame, made: Callable[[DataFrame], DataFrame], by: list[str] | None = None, even: bool = True) -> None:
+        """Rows of the buckets of ``keys`` become what ``made`` gives for them; it must leave rows of other keys alone.
+
+        With ``by``, ``made`` gets them dealt by the columns that it joins them by, over tasks of about ``ROWS`` rows, however many they are.
+        Not ``even``: rows are written by the tasks that have them, for changes that add none.
+        """
         touched = sorted(r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect())
         if not touched:
             return
         held = self._all()
         old = held.where(F.col(BUCKET).isin(touched) & ~F.col(MARKER)).drop(BUCKET, MARKER)
+        if by:
+            old = old.repartition(old.count() // ROWS + self.spark.sparkContext.defaultParallelism, *by)
         new = made(old).select(*old.columns).withColumn(MARKER, F.lit(False)).withColumn(BUCKET, F.lit(None).cast("long"))
         marks = self.spark.createDataFrame([(b,) for b in touched], StructType([StructField(BUCKET, LongType())]))
         marks = marks.select(*[F.lit(None).cast(t).alias(c) for c, t in old.dtypes], F.lit(True).alias(MARKER), BUCKET)
-        self._write(new.unionByName(marks), "overwrite")
+        self._write(new.unionByName(marks), "overwrite", even)
 
     def append(self, new: DataFrame, keys: list[str]) -> None:
         """SNK-08: rows whose ``keys`` the table lacks are added."""
@@ -71,7 +81,7 @@ class Table:
 
     def replace_run(self, new: DataFrame) -> None:
         """SNK-10: a run's tables are replaced; what is known of the run as a whole stays."""
-        self.change(new, lambda old: truth.replace_run(old, new))
+        self.change(new, lambda old: truth.replace_run(old, new), ["document_id", "tool_name"])
 
     def insert_absent(self, new: DataFrame, keys: list[str]) -> DataFrame:
         """SNK-12: adds the rows whose key is new; returns those that were there before, which are refused (a table beside this one)."""
@@ -86,12 +96,14 @@ class Table:
 
     def delete(self, gone: DataFrame, keys: list[str]) -> None:
         """SNK-14: rows of the given keys go; other indexes stay."""
-        self.change(gone, lambda old: truth.delete(old, gone, keys))
+        self.change(gone, lambda old: truth.delete(old, gone, keys), even=False)
 
 
 def delete_documents(documents: Table, tables: Table, runs: Table, scores: Table, gone: DataFrame) -> None:
     """SNK-09: documents with their truth, runs and scores.  Children go first, so a delete that was cut short can be done again."""
     ids = gone.select("document_id")
-    scores.delete(runs.read().join(ids, "document_id", "left_semi").select("extraction_result_id"), ["extraction_result_id"])
+    # Asked for twice, for its buckets and for its rows: the runs are joined once.
+    own = written(runs.read().join(ids, "document_id", "left_semi").select("extraction_result_id"))
+    scores.delete(own, ["extraction_result_id"])
     for t in (runs, tables, documents):
         t.delete(ids, ["document_id"])

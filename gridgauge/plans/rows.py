@@ -10,6 +10,7 @@ from gridgauge.functions import tables as tb
 from gridgauge.operators import boxes, policy, quality, sequences, store, truth
 from gridgauge.plans.figures import r6
 from gridgauge.plans.registry import folder, query
+from gridgauge.shared import written
 from gridgauge.sources import bridge, payloads
 from gridgauge.streaming import progress
 
@@ -17,7 +18,7 @@ from gridgauge.streaming import progress
 def lines(spark, sf_dir) -> DataFrame:
     """Order lines numbered without ties."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return bridge.load(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w))
+    return bridge.dealt(bridge.load(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("rn", F.row_number().over(w))
 
 
 LINES = "ln as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as rn from lineitem)"
@@ -359,9 +360,11 @@ def jn_09_10_diff(spark, sf_dir):
 @query("select (select count(*) from fx_document where document_id % 10 <> 0) as docs, (select count(*) from fx_gt where document_id % 10 <> 0) as truths, (select count(*) from fx_extraction where document_id % 10 <> 0) as runs, (select count(*) from fx_score s join fx_extraction e using (extraction_result_id) where document_id % 10 <> 0) as scores", "tables")
 def snk_09_cascade_delete(spark, sf_dir):
     """From four written tables; what is left of each."""
-    er, at = bridge.extractions(spark, sf_dir), folder(spark)
-    frames = {"docs": bridge.documents(spark, sf_dir), "truths": bridge.ground_truth(spark, sf_dir), "runs": er, "scores": bridge.scores(er)}
-    made = {n: store.Table(spark, f"{at}/{n}", "extraction_result_id" if n == "scores" else "document_id", 16).create(f) for n, f in frames.items()}
+    at = folder(spark)
+    frames = {"docs": bridge.documents(spark, sf_dir), "truths": bridge.ground_truth(spark, sf_dir), "runs": bridge.extractions(spark, sf_dir)}
+    made = {n: store.Table(spark, f"{at}/{n}", "document_id", 16).create(f) for n, f in frames.items()}
+    # The written runs have what scores are made of: their lines aren't numbered again.
+    made["scores"] = store.Table(spark, f"{at}/scores", "extraction_result_id", 16).create(bridge.scores(made["runs"].read()))
     store.delete_documents(*made.values(), frames["docs"].where("document_id % 10 = 0"))
     left = [t.read().select(F.lit(n).alias("part")) for n, t in made.items()]
     return left[0].union(left[1]).union(left[2]).union(left[3]).agg(*[F.count_if(F.col("part") == n).alias(n) for n in made])
@@ -387,9 +390,11 @@ def snk_10_11_12_replace(spark, sf_dir):
 def snk_10_replace_run(spark, sf_dir):
     """Each run of every sixth document gets two tables in a written table; time and cost of the run stay on the first."""
     er = bridge.extractions(spark, sf_dir).select("document_id", "tool_name", "table_index", "processing_time_ms", "cost_usd", F.lit("old").alias("origin"))
-    new = er.where("document_id % 6 = 0").select("document_id", "tool_name").distinct()
-    new = new.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("table_index"), F.lit(7).alias("processing_time_ms"), F.lit(7.0).alias("cost_usd"), F.lit("new").alias("origin"))
     t = store.Table(spark, folder(spark), buckets=16).create(er)
+    # Written, as the table itself changes; from it, so that lines aren't numbered again for each use.
+    new = t.read().where("document_id % 6 = 0").select("document_id", "tool_name").distinct()
+    new = new.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("table_index"), F.lit(7).alias("processing_time_ms"), F.lit(7.0).alias("cost_usd"), F.lit("new").alias("origin"))
+    new = written(new)
     t.replace_run(new)
     t.replace_run(new)
     return t.read().select("document_id", "tool_name", "table_index", F.col("processing_time_ms").alias("ms"), r6(F.col("cost_usd")).alias("cost"), "origin")

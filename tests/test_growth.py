@@ -67,3 +67,13 @@ def test_runs_are_counted_in_one_sort_of_bounded_tasks(spark, sf_dir, monkeypatc
 def test_lines_of_tables_are_dealt_by_number(spark, sf_dir):
     """Spark's sizing by bytes put all lines with a pipe into one task below a union."""
     assert "REPARTITION_BY_NUM" in plan(markdown.tables(bridge.load(spark, sf_dir, "documents")))
+
+
+def test_a_delete_does_not_move_what_stays(spark, tmp_path, monkeypatch):
+    """Rows are rebalanced where a change adds some, not where it only takes some away."""
+    t = store.Table(spark, f"{tmp_path}/t", buckets=4).create(spark.range(100).select(F.col("id").alias("document_id")))
+    hints, kind = [], type(t.read())
+    own = kind.hint
+    monkeypatch.setattr(kind, "hint", lambda self, *x: hints.append(x) or own(self, *x))
+    t.delete(spark.createDataFrame([(3,), (50,)], "document_id long"), ["document_id"])
+    assert not hints and sorted(r[0] for r in t.read().collect()) == [k for k in range(100) if k not in (3, 50)]
