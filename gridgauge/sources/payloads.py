@@ -76,6 +76,7 @@ def blocks_to_tables(blocks: DataFrame, by: list[str]) -> DataFrame:
     texts = kids.where(F.col("type").isin("CELL", "MERGED_CELL")).join(words, [*by, "id"]).where("w is not null").groupBy(*by, F.col("parent").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "w"))), lambda x: x["w"]), " ").alias("text"))
     cells = blocks.where(F.col("type").isin("CELL", "MERGED_CELL")).drop("text", "type", "children").join(texts, [*by, "id"], "left")
     own = kids.where("type = 'TABLE'").select(*by, F.col("parent").alias("table"), "nth", "id").join(cells, [*by, "id"])
+    own = own.repartition(*by, "table")  # the three groupings that follow need no other shuffle
     place = own.groupBy(*by, "table", "row", "col").agg(
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("text", F.lit("")).alias("t")))), lambda x: text.strip(x["t"])), lambda t: t != ""), " ").alias("t"),
         F.bool_or("is_header").alias("h"), F.min_by("confidence", "nth").alias("conf"),

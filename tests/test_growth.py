@@ -77,3 +77,8 @@ def test_a_delete_does_not_move_what_stays(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(kind, "hint", lambda self, *x: hints.append(x) or own(self, *x))
     t.delete(spark.createDataFrame([(3,), (50,)], "document_id long"), ["document_id"])
     assert not hints and sorted(r[0] for r in t.read().collect()) == [k for k in range(100) if k not in (3, 50)]
+
+
+def test_places_lines_and_grids_in_one_shuffle(spark, sf_dir):
+    """Cells are dealt by their table once, not again by place and by row."""
+    assert not re.search(r"hashpartitioning\([^)]*\brow#", plan(QUERIES["src_09_tbl_09_10_blocks"](spark, sf_dir)))
