@@ -33,7 +33,7 @@ from gridgauge.functions import dates
 
 SCHEMA = "path string, sheet string, sheet_index int, row int, cells array<struct<col:int,kind:string,value:string>>, error string"
 #: Bytes of a file from which on each sheet is a partition of its own; bytes of smaller files in one partition, about; rows of a batch.
-LARGE, TOGETHER, ROWS = 4 << 20, 32 << 20, 2048
+LARGE, TOGETHER, ROWS = 4 << 20, 4 << 20, 2048
 
 # Number formats of dates and times that need no format code.
 DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])

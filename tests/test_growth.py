@@ -82,3 +82,10 @@ def test_a_delete_does_not_move_what_stays(spark, tmp_path, monkeypatch):
 def test_places_lines_and_grids_in_one_shuffle(spark, sf_dir):
     """Cells are dealt by their table once, not again by place and by row."""
     assert not re.search(r"hashpartitioning\([^)]*\brow#", plan(QUERIES["src_09_tbl_09_10_blocks"](spark, sf_dir)))
+
+
+def test_small_workbooks_fill_several_partitions(tmp_path):
+    for k in range(4):
+        with open(tmp_path / f"{k}.xlsx", "wb") as f:
+            f.truncate(3 << 20)
+    assert len(excel.Reader({"path": str(tmp_path)}).partitions()) == 2
