@@ -195,6 +195,11 @@ def likeness(a: list[list[str]], b: list[list[str]]) -> float:
     return sum((shelf.best(line) for line in a), 0.0)
 
 
+def likenesses(a: pa.Array, b: pa.Array) -> list[float]:
+    """``likeness`` of each pair; only one pair's cells are Python's at a time, however many a batch has."""
+    return [likeness(a[k].as_py(), b[k].as_py()) for k in range(len(a))]
+
+
 def blocks(sides: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks of about ``BLOCK`` cells of the lines ``a``, each with all of ``b``: (keys, part, later, a, b); ``later`` where there are several."""
     parts = F.greatest(F.lit(1), F.least(F.size("a"), F.ceil(F.size(F.flatten("a")) / BLOCK).cast("int")))
@@ -225,7 +230,7 @@ def totals(sides: DataFrame, keys: list[str]) -> DataFrame:
                 due = pc.equal(batch.column("later"), now)
                 for b, fresh in ((batch.filter(due), True), (batch.filter(pc.invert(due)), False)):
                     if b.num_rows:
-                        said = pa.array([likeness(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())], pa.float64()) if fresh else b.column("total")
+                        said = pa.array(likenesses(b.column("a"), b.column("b")), pa.float64()) if fresh else b.column("total")
                         kept = [b.column(k) for k in (keys if now else own)]
                         moved = [] if now else [pa.nulls(b.num_rows, lines) if fresh else b.column(c).cast(lines) for c in ("a", "b")]
                         yield pa.RecordBatch.from_arrays([*kept, *moved, said], names=[*(keys if now else [*own, "a", "b"]), "total"])

@@ -89,3 +89,9 @@ def test_small_workbooks_fill_several_partitions(tmp_path):
         with open(tmp_path / f"{k}.xlsx", "wb") as f:
             f.truncate(3 << 20)
     assert len(excel.Reader({"path": str(tmp_path)}).partitions()) == 2
+
+
+def test_likenesses_one_pair_at_a_time():
+    """Cells of a batch aren't Python's all at once."""
+    a, b = (pa.array([[["x", "y"]], [["p"]]] * n, pa.list_(pa.list_(pa.string()))) for n in (2, 2))
+    assert metrics.likenesses(a, b) == [1.0] * 4
