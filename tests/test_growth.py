@@ -95,3 +95,8 @@ def test_likenesses_one_pair_at_a_time():
     """Cells of a batch aren't Python's all at once."""
     a, b = (pa.array([[["x", "y"]], [["p"]]] * n, pa.list_(pa.list_(pa.string()))) for n in (2, 2))
     assert metrics.likenesses(a, b) == [1.0] * 4
+
+
+def test_parts_are_dealt_over_tasks(spark, sf_dir):
+    """A small file's rows are several tasks' work."""
+    assert values.parts(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
